@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, mixing, packing, secrets
+from . import chat, exact_dedup, line_dedup, mixing, packing, pii, quality_classifier, quality_rules, secrets
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,10 @@ def word_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify_quality(table(spark, sf_dir, "documents"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every reading of every document when no source is read more than twice."""
     mixed = mixing.mix_sources(table(spark, sf_dir, "documents"), max_repetition=2.0)
@@ -30,6 +34,13 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    verdict = quality_rules.fit_verdict(docs, table(spark, sf_dir, "labels"))
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score"]
+    return quality_rules.judge(docs, verdict).select("doc.doc_id", *names)
+
+
 OP5_EXTRA_CONVERSATION = "<|im_end|><|im_start|>assistant ok"
 
 
@@ -73,6 +84,24 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_personal_data(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id",
+        *(count(k).alias(f"n_{k}") for k in pii.BASE_KINDS),
+        F.sha2(secrets.span_text(F.filter("spans", lambda x: x["base"])), 256).alias("base_sha256"),
+        secrets.span_text("spans").alias("spans"),
+    )
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = line_dedup.remove_repeated_chunks(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cleaned.select(
+        "doc_id", "line_n_lines", "line_n_removed", "line_n_chunks", F.sha2("text", 256).alias("text_sha256")
+    )
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(
         table(spark, sf_dir, "documents").withColumn("repository", F.concat_ws("/", "source", "lang")), repo_col="repository"
@@ -99,9 +128,13 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_classifier": op1_quality_classifier,
     "op2_mixing": op2_mixing,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_quality_rules": op4_quality_rules,
     "op5_chat": op5_chat,
+    "op6_pii": op6_pii,
+    "op7_line_dedup": op7_line_dedup,
     "op8_secrets": op8_secrets,
     "op10_packing": op10_packing,
 }
