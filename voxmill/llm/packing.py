@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -27,7 +28,7 @@ from pyspark.sql import types as T
 WINDOW = 4096
 END_ID = 2
 #: Most words whose ids a worker keeps, about 200 bytes each; then it starts afresh.
-MEMO_WORDS = 250_000
+MEMO_WORDS = 600_000
 _SEQUENCES_PER_TASK = 1 << 32
 
 # A run of Latin letters before a space, one of .,;:!? or the end is a word of its own to the tokenizer's
@@ -35,33 +36,47 @@ _SEQUENCES_PER_TASK = 1 << 32
 _PIECES = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[\t-\r .,;:!?]|\\Z)|[^\t-\r ]+")
 
 
-class WordTokenizer:
-    """Ids of whole texts from a word-level tokenizer file, each distinct piece being encoded once.
+_LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+#: Two-byte letters as the byte-level alphabet writes their UTF-8 bytes: those of 0xC3 and 0xA1..0xAC, 0xAE..0xBF
+#: stand for themselves; 0x80..0xA0 and 0xAD are moved behind 0x100, after the 33 other moved bytes.
+_BYTE_LEVEL = {
+    c: "Ã" + (chr(low) if low > 0xA0 and low != 0xAD else chr(0x143) if low == 0xAD else chr(0x122 + low - 0x80))
+    for c in (*range(0xE0, 0xF7), *range(0xF8, 0x100), 0xDF)
+    for low in [chr(c).encode()[1]]
+}
+
+
+class WordTokenizer(dict):
+    """Ids of whole texts from a word-level tokenizer file; it holds the ids of pieces seen before.
 
     Equal to encoding the whole text, because this vocabulary splits at white space and between letters
-    and punctuation before it merges.
+    and punctuation before it merges.  A piece of Latin letters goes to the library's merging step at once,
+    all others through the whole of it.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        super().__init__()
         self._tokenizer = Tokenizer.from_file(path)
-        self._memo: dict[str, bytes] = {}
+        self._model = self._tokenizer.model
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) > MEMO_WORDS:
+            self.clear()
+        if _LATIN.fullmatch(piece):
+            lower = piece.lower()
+            coded = lower if lower.isascii() else lower.translate(_BYTE_LEVEL)
+            ids = [t.id for t in self._model.tokenize(coded)]
+        else:
+            ids = self._tokenizer.encode(piece, add_special_tokens=False).ids
+        out = self[piece] = array("I", ids).tobytes()
+        return out
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        pieces = _PIECES.findall(text)
-        memo = self._memo
-        try:
-            return b"".join(map(memo.__getitem__, pieces))
-        except KeyError:
-            if len(memo) > MEMO_WORDS:
-                memo.clear()
-            new = [p for p in dict.fromkeys(pieces) if p not in memo]
-            for piece, coded in zip(new, self._tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                memo[piece] = b"".join(i.to_bytes(4, "little") for i in coded.ids)
-            return b"".join(map(memo.__getitem__, pieces))
+        return b"".join(map(self.__getitem__, _PIECES.findall(text)))
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
