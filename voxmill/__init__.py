@@ -1,0 +1 @@
+"""Analytics over labelled volumes, triangle meshes and skeleton graphs, as DataFrames."""
