@@ -79,7 +79,7 @@ def decomposed(soup: DataFrame, box: float) -> DataFrame:
     for a in "xyz":
         low = F.floor(F.least(*(F.col(f"{n}.{a}") for n in "abc")) / box).cast("long")
         high = F.greatest(low, F.ceil(F.greatest(*(F.col(f"{n}.{a}") for n in "abc")) / box).cast("long") - 1)
-        out = out.withColumn(f"f{a}", F.explode(F.sequence(low, high)))
+        out = out.withColumn(f"f{a}", F.explode_outer(F.sequence(low, high)))
         for above in (True, False):
             shifted = {n: F.col(n).withField(a, F.col(f"{n}.{a}") - (F.col(f"f{a}") + (0 if above else 1)) * box) for n in "abc"}
             out = mesh.clip_half_space(out.withColumns(shifted), a, 0.0, above)

@@ -302,7 +302,9 @@ def clip_half_space(soup: DataFrame, axis: str, at: float, keep_above: bool) ->
         .when(F.col("_in") == 2, F.array(three(pq, q, r), three(pq, r, pr)))
     )
     keep = [c for c in soup.columns if c not in "abc"]
-    return turned.filter("_in > 0").select(*keep, F.explode(pieces).alias("_t")).select(*keep, "_t.a", "_t.b", "_t.c")
+    # An outer explode, as the optimizer copies what an inner one explodes into filters below it.
+    out = turned.select(*keep, F.explode_outer(pieces).alias("_t")).filter("_t is not null")
+    return out.select(*keep, "_t.a", "_t.b", "_t.c")
 
 
 def rescaled(vertices: DataFrame, scale: tuple[float, float, float]) -> DataFrame:

@@ -731,3 +731,126 @@ def point_segment_distance(spark, sf_dir):
     p, s = (F.col("x"), F.col("y"), F.col("z")), (F.col("y"), F.col("z"), F.col("x"))
     e = tuple(c + d for c, d in zip(s, (2.0, 1.0, 2.0), strict=True))
     return _rounded(a.clouds(spark, sf_dir).select("vid", g.segment_distance(p, s, e).alias("distance")), ["distance"])
+
+
+# ------------------------------------------------------------------------------------------------ steps within one object
+
+
+def _grown(spark, sf_dir) -> DataFrame:
+    from ..operators import kernels
+
+    return kernels.nested_meshes(*a.terrain(spark, sf_dir))
+
+
+def _counts(meshes: DataFrame) -> DataFrame:
+    return meshes.select("segment_id", F.size("vertices").alias("n_vertices"), F.size("faces").alias("n_faces"))
+
+
+@query(None)
+def qem_decimate(spark, sf_dir):
+    from . import pipelines
+
+    return pipelines.levels_by_decimation(_grown(spark, sf_dir), 3, 2, least=12).select("segment_id", "lod", F.size("vertices").alias("n_vertices"), F.size("faces").alias("n_faces"))
+
+
+@query(None)
+def simplify_smooth(spark, sf_dir):
+    from functools import partial
+
+    from ..operators import kernels
+
+    return _counts(kernels.per_mesh(_grown(spark, sf_dir), partial(kernels.simplified_and_smoothed, reduction=0.5, iterations=5)))
+
+
+@query(None)
+def repair(spark, sf_dir):
+    from ..operators import kernels
+
+    return _counts(kernels.per_mesh(_grown(spark, sf_dir), kernels.repaired))
+
+
+def _branching(spark, sf_dir) -> DataFrame:
+    """Each customer's orders as branches from the path of the customer's nation: a skeleton for each nation."""
+    from ..operators import kernels
+
+    nodes, _ = a.trees(spark, sf_dir)
+    customers = nodes.filter("depth = 2").select(F.col("parent").alias("skel_id"), "node", "x", "y", "z", "radius")
+    from pyspark.sql.window import Window
+
+    after = F.lead("node").over(Window.partitionBy("skel_id").orderBy("node"))
+    spine = customers.select("skel_id", F.col("node").alias("src"), after.alias("dst")).filter("dst is not null")
+    orders = nodes.filter("depth = 3").select(F.col("node"), F.col("parent"), "x", "y", "z", "radius")
+    twigs = orders.join(customers.select("skel_id", F.col("node").alias("parent")), "parent")
+    all_nodes = customers.unionByName(twigs.select("skel_id", "node", "x", "y", "z", "radius"))
+    edges = spine.unionByName(twigs.select("skel_id", F.col("parent").alias("src"), F.col("node").alias("dst")))
+    return kernels.nested_skeletons(all_nodes, edges)
+
+
+@query(None)
+def skel_polylines(spark, sf_dir):
+    from ..operators import kernels
+
+    return kernels.per_skeleton(_branching(spark, sf_dir), lambda n, e: [(i, len(p)) for i, p in enumerate(kernels.polylines(len(n), e))], "branch long, n_points long")
+
+
+@query(None)
+def skel_prune(spark, sf_dir):
+    from ..operators import kernels
+
+    paths = a.tracks(spark, sf_dir)
+    nodes = paths.select("skel_id", F.col("event_id").alias("node"), "x", "y", "z", F.lit(1.0).alias("radius"))
+    from pyspark.sql.window import Window
+
+    after = F.lead("event_id").over(Window.partitionBy("skel_id").orderBy("ts", "event_id"))
+    edges = paths.select("skel_id", F.col("event_id").alias("src"), after.alias("dst")).filter("dst is not null")
+    return kernels.per_skeleton(kernels.nested_skeletons(nodes, edges), lambda n, e: [(len(kernels.pruned(n, e, 200.0)[0]),)], "n_nodes long")
+
+
+@query(None)
+def skel_rdp(spark, sf_dir):
+    from ..operators import kernels
+
+    paths = a.tracks(spark, sf_dir).select("skel_id", "ts", "event_id", "x", "y", "z")
+    from pyspark.sql.window import Window
+
+    number = (F.row_number().over(Window.partitionBy("skel_id").orderBy("ts", "event_id")) - 1).cast("long")
+    nodes = paths.select("skel_id", number.alias("node"), "x", "y", "z", F.lit(1.0).alias("radius"))
+    edges = nodes.filter("node > 0").select("skel_id", (F.col("node") - 1).alias("src"), F.col("node").alias("dst"))
+    return kernels.per_skeleton(kernels.nested_skeletons(nodes, edges), lambda n, e: [(len(kernels.simplified_skeleton(n, e, 150.0)[0]),)], "n_nodes long")
+
+
+@query(f"WITH {TERRAIN}, y AS (SELECT segment_id, count(*) AS n_vertices FROM v GROUP BY 1), t AS (SELECT segment_id, count(*) AS n_faces FROM f GROUP BY 1) SELECT segment_id, 4 + 12 * n_vertices + 12 * coalesce(n_faces, 0) AS n_bytes FROM y LEFT JOIN t USING (segment_id)")
+def ngmesh_sizes(spark, sf_dir):
+    from ..sources import formats
+
+    return formats.mesh_payloads(_grown(spark, sf_dir)).select("segment_id", F.octet_length("payload").cast("long").alias("n_bytes"))
+
+
+@query(None)
+def meshify_pipeline(spark, sf_dir):
+    from . import pipelines
+
+    return _counts(pipelines.meshes_of_volume(a.solids(spark, sf_dir), factor=2, method="mode", voxel=4.0))
+
+
+@query(None)
+def multires_pipeline(spark, sf_dir):
+    from . import pipelines
+
+    levels = pipelines.levels_by_decimation(_grown(spark, sf_dir), 3, 2, least=12)
+    files = pipelines.multires_of_levels(levels, target_faces=20)
+    return files.select("segment_id", F.octet_length("data").alias("n_data"), F.octet_length("fragment_index").alias("n_index"))
+
+
+@query(None)
+def skeleton_pipeline(spark, sf_dir):
+    from . import pipelines
+
+    return pipelines.skeleton_metrics(pipelines.skeletons_of_meshes(_grown(spark, sf_dir)), 0.5)
+
+
+@query(None)
+def mesh_metric_table(spark, sf_dir):
+    from . import pipelines
+
+    return pipelines.mesh_metrics(*a.terrain(spark, sf_dir))
