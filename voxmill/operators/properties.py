@@ -77,7 +77,7 @@ def columnar(ids: DataFrame, values: DataFrame) -> dict:
     order = [r["property"] for r in values.select("property", "position").distinct().orderBy("position").collect()]
     for r in values.collect():
         held.setdefault(r["property"], {})[r["segment_id"]] = r["value"]
-    names = sorted((r["segment_id"] for r in ids.collect()), key=int)
+    names = sorted((str(r["segment_id"]) for r in ids.collect()), key=int)
     out = []
     for name in order:
         kind = kinds[name]
