@@ -12,10 +12,10 @@ a metric, which the search below relies on.
 
 Scale: texts with the same words are one node.  Nodes that share sketches, directly or in a chain, form a
 candidate cluster; each node's text travels once, to its cluster.  A cluster is dealt into shards of bounded size.
-In a shard every node links to a leader, or becomes one; a link between two members of different leaders implies
-that a member is within 0.6 of the other leader, so only such pairs are compared further.  Leaders of
-different shards are compared in pairs of blocks; leaders within 0.4 of each other whose classes are still apart
-have their members compared, in blocks.  So no link among candidates is lost, no pairs of a group are listed,
+In a shard pairs that share enough windows are aligned, while their classes are apart.  Where a cluster has several
+shards, every node also links to a leader of its shard, or becomes one, and leaders of all shards are compared in
+pairs of blocks.  A link between members of two leaders implies that the leaders are 0.4 or more alike; such leaders
+whose classes are still apart have their members compared, in blocks.  So no link among candidates is lost, no pairs of a group are listed,
 and no task holds more than two blocks.  Classes are connected components of the links.
 
 A pair at similarity 0.8 shares no sketch with a chance of about 3 in 10**6.
@@ -28,7 +28,6 @@ gives no rows; extra columns are ignored.
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -177,63 +176,73 @@ class Classes:
             self.up[max(a, b)] = min(a, b)
 
 
-class LeaderIndex:
-    """Leaders by window, to find those that share enough with a text."""
+#: Cells of the dense table that counts shared windows, filled column block by column block.
+_TABLE_CELLS = 8_000_000
 
-    def __init__(self):
-        self._of: dict[int, list[int]] = defaultdict(list)
-        self._leaders: list[tuple[int, Windows]] = []
-
-    def add(self, node: int, w: Windows) -> None:
-        for x in w.windows.tolist():
-            self._of[x].append(len(self._leaders))
-        self._leaders.append((node, w))
-
-    def near(self, w: Windows, least: float) -> list[tuple[float, int]]:
-        """(similarity, leader) of leaders at ``least`` or more, nearest first."""
-        if not w.n:
-            return [(1.0, node) for node, x in self._leaders if not x.n]
-        shared: dict[int, int] = defaultdict(int)
-        for x in w.windows.tolist():
-            for i in self._of.get(x, ()):
-                shared[i] += 1
-        out = []
-        for i, c in shared.items():
-            node, x = self._leaders[i]
-            if c >= least * (w.n + x.n - c) and (s := similarity(w, x, least)) >= least:
-                out.append((s, node))
-        return sorted(out, key=lambda x: (-x[0], x[1]))
-
-
-def cluster_shard(texts: list[tuple[int, Windows]], least: float = SIMILARITY) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """(node, leader) of every node, and (a, b) links that join the stars of two leaders."""
-    index, star, own, close = LeaderIndex(), defaultdict(list), {}, []
-    classes = Classes()
-    reach = 2 * least - 1  # a member that links to a member of another star is so near its leader
-    of = dict(texts)
-    for node, w in sorted(texts, key=lambda x: x[0]):
-        found = index.near(w, reach)
-        if found and found[0][0] >= least:
-            own[node] = found[0][1]
-        else:
-            own[node] = node
-            index.add(node, w)
-        star[own[node]].append(node)
-        classes.join(node, own[node])
-        close += [(node, leader) for _, leader in found if leader != own[node]]
-    if len(star) > 1:  # the leaders that came later
-        for node, w in texts:
-            close += [(node, leader) for _, leader in index.near(w, reach) if leader > node]
-    links = []
-    for node, leader in close:
-        if classes.find(node) == classes.find(leader):
-            continue
-        for other in star[leader]:
-            if similarity(of[node], of[other], least) >= least:
-                classes.join(node, other)
-                links.append((node, other))
+
+def shared_windows(left: list[Windows], right: list[Windows] | None = None) -> np.ndarray:
+    """How many windows each text of ``left`` shares with each of ``right``, or of ``left`` itself.
+
+    Windows that only one text has are left out; the rest form a 0/1 table that is multiplied with itself.
+    """
+    held = left if right is None else [*left, *right]
+    out = np.zeros((len(left), len(left if right is None else right)), np.float32)
+    row = np.repeat(np.arange(len(held)), [w.n for w in held])
+    if not len(row):
+        return out
+    _, name, times = np.unique(np.concatenate([w.windows for w in held]), return_inverse=True, return_counts=True)
+    common = times > 1
+    number = np.cumsum(common) - 1
+    keep = common[name]
+    row, column = row[keep], number[name[keep]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    width = max(1, _TABLE_CELLS // len(held))
+    for first in range(0, int(common.sum()), width):
+        lo, hi = np.searchsorted(column, (first, first + width))
+        cells = np.zeros((len(held), min(width, int(common.sum()) - first)), np.float32)
+        cells[row[lo:hi], column[lo:hi] - first] = 1
+        out += cells[: len(left)] @ (cells if right is None else cells[len(left) :]).T
+    return out
+
+
+def likeness(left: list[Windows], right: list[Windows] | None = None) -> np.ndarray:
+    """An upper bound of each pair's similarity: what it would be if shared windows came in one order."""
+    shared = shared_windows(left, right)
+    n, m = (np.array([w.n for w in x], np.float32) for x in (left, left if right is None else right))
+    total = n[:, None] + m[None, :] - shared
+    return np.where(total > 0, shared / np.maximum(total, 1), 1.0)
+
+
+def cluster_shard(texts: list[tuple[int, Windows]], stars: bool, least: float = SIMILARITY) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """(node, leader) of every node and the links (a, b) that make the classes.
+
+    Pairs that may be similar enough are tried from the likeliest on, but only while their classes are apart.
+    Without ``stars`` the leader is the least node of the class; with them it is a node that links to the node itself.
+    """
+    texts = sorted(texts, key=lambda x: x[0])
+    nodes, held = [n for n, _ in texts], [w for _, w in texts]
+    like = likeness(held)
+    classes, links = Classes(), []
+    a, b = np.nonzero(np.triu(like >= least - 1e-6, 1))
+    for k in np.argsort(-like[a, b], kind="stable").tolist():
+        i, j = int(a[k]), int(b[k])
+        if classes.find(i) != classes.find(j) and similarity(held[i], held[j], least) >= least:
+            classes.join(i, j)
+            links.append((nodes[i], nodes[j]))
+            if len(links) == len(nodes) - 1:
                 break
-    return list(own.items()), links
+    if not stars:
+        return [(nodes[i], nodes[classes.find(i)]) for i in range(len(nodes))], links
+    leaders: list[int] = []
+    own = []
+    for i in range(len(nodes)):
+        near = sorted((x for x in leaders if like[i, x] >= least - 1e-6), key=lambda x: -like[i, x])
+        leader = next((x for x in near if similarity(held[i], held[x], least) >= least), i)
+        if leader == i:
+            leaders.append(i)
+        own.append((nodes[i], nodes[leader]))
+    return own, links
 
 
 def _groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
@@ -368,8 +377,8 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
-        for _, group in _groups(batches, 2):
-            own, links = cluster_shard([(n, Windows(t)) for n, t in dict(group).items()])
+        for (*_, shards), group in _groups(batches, 3):
+            own, links = cluster_shard([(n, Windows(t)) for n, t in dict(group).items()], shards > 1)
             out += [(n, leader, 0) for n, leader in own]
             out += [(a, b, 1) for a, b in links]
             if len(out) > 10_000:
@@ -377,7 +386,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 out = []
         yield _links(out)
 
-    found = _grouped(texts.select("cluster", "shard", "node", "text"), ["cluster", "shard"]).mapInArrow(shard, _LINKS)
+    found = _grouped(texts.select("cluster", "shard", "shards", "node", "text"), ["cluster", "shard"]).mapInArrow(shard, _LINKS)
     links = scratch.put(found, "links")
     if dealt.filter("shards > 1").take(1):
         links = _across_shards(texts, dealt, links, scratch)
@@ -419,18 +428,19 @@ def _across_shards(texts: DataFrame, dealt: DataFrame, links: DataFrame, scratch
     )
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        far = 3 * SIMILARITY - 2
         for (_, i, j), group in _groups(batches, 3):
-            index, out = LeaderIndex(), []
-            held = [(block, node, Windows(t)) for block, node, t in group]
-            for block, node, w in held:
-                if i == j:
-                    out += [(node, other, 1 if s >= SIMILARITY else 2) for s, other in index.near(w, 3 * SIMILARITY - 2)]
-                if block == i:
-                    index.add(node, w)
-            if i != j:
-                for block, node, w in held:
-                    if block == j:
-                        out += [(node, other, 1 if s >= SIMILARITY else 2) for s, other in index.near(w, 3 * SIMILARITY - 2)]
+            ours = [(node, Windows(t)) for block, node, t in group if block == i]
+            theirs = ours if i == j else [(node, Windows(t)) for block, node, t in group if block == j]
+            like = likeness([w for _, w in ours], None if i == j else [w for _, w in theirs])
+            a, b = np.nonzero(np.triu(like >= far - 1e-6, 1) if i == j else like >= far - 1e-6)
+            out, classes = [], Classes()
+            for k in np.argsort(-like[a, b], kind="stable").tolist():
+                (x, v), (y, w) = ours[a[k]], theirs[b[k]]
+                if classes.find(x) != classes.find(y) and (s := similarity(v, w, far)) >= far:
+                    out.append((x, y, 1 if s >= SIMILARITY else 2))
+                    if s >= SIMILARITY:
+                        classes.join(x, y)
             yield _links(out)
 
     met = scratch.put(_grouped(pairs, ["cluster", "i", "j"]).mapInArrow(compare, _LINKS), "met")
@@ -464,7 +474,11 @@ def _across_shards(texts: DataFrame, dealt: DataFrame, links: DataFrame, scratch
         for _, group in _groups(batches, 4):
             held = [(left, node, Windows(t)) for left, node, t in group]
             ours, theirs = [x for x in held if x[0]], [x for x in held if not x[0]]
-            hit = next(((x, y) for _, x, v in ours for _, y, w in theirs if similarity(v, w) >= SIMILARITY), None)
+            like = likeness([w for *_, w in ours], [w for *_, w in theirs])
+            a, b = np.nonzero(like >= SIMILARITY - 1e-6)
+            order = np.argsort(-like[a, b], kind="stable")
+            pairs = ((ours[a[k]], theirs[b[k]]) for k in order.tolist())
+            hit = next(((x[1], y[1]) for x, y in pairs if similarity(x[2], y[2]) >= SIMILARITY), None)
             yield _links([(*hit, 1)] if hit else [])
 
     more = _grouped(sides[0].union(sides[1]), ["a", "b", "i", "j"]).mapInArrow(members_of, _LINKS)
