@@ -21,7 +21,8 @@ def word_tokenizer() -> str:
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_classifier.classify_quality(table(spark, sf_dir, "documents"))
+    found = quality_classifier.classify_quality(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "score", "weak_posterior", "votes", F.col("good").alias("kept"))
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
