@@ -7,8 +7,9 @@ sketches; texts that share any are candidates.
 
 Candidates are verified by alignment: since labelled windows are distinct, the longest common subsequence of two
 texts is the longest rising run of matched places, kept to a band of shifts that the similarity allows.
-With W windows in it, similarity is W / (Wa + Wb - W), and 0.8 or more makes a link.  One minus this similarity is
-a metric, which the search below relies on.
+With W windows in it, similarity is W / (Wa + Wb - W).  The sets of distinct windows must be as similar, so that a
+phrase repeated over and over does not make two texts alike.  0.8 or more of both makes a link.  One minus the lesser
+of the two is a metric, which the search below relies on.
 
 Scale: texts with the same words are one node.  Nodes that share sketches, directly or in a chain, form a
 candidate cluster; each node's text travels once, to its cluster.  A cluster is dealt into shards of bounded size.
@@ -43,9 +44,14 @@ SHINGLE = 5
 SIMILARITY = 0.8
 SKETCHES = 24
 TUPLE = 4
+#: So many occurrences of one window may be sampled; a phrase repeated over and over would else fill the sketches.
+LABELS = 2
 #: A shard or block holds about so many nodes, and about so many words, unless one node has more.
-BLOCK_NODES = 1000
+BLOCK_NODES = 400
 BLOCK_WORDS = 2_000_000
+#: The places of at most so many nodes in clusters (about 60 bytes each) are broadcast to the texts; more are joined by
+#: shuffle.
+BROADCAST_ROWS = 500_000
 
 # Multipliers of a public 64-bit finaliser; arrays of one element wrap around without a warning.
 _M1, _M2, _M3 = (np.array([x], np.uint64) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15))
@@ -75,11 +81,11 @@ def word_hashes(text: str | None) -> np.ndarray:
     return np.fromiter(map(_WORD_HASH.__getitem__, words), np.uint64, len(words))
 
 
-def labelled_windows(words: np.ndarray) -> np.ndarray:
-    """Hashes of the windows in text order, made distinct by how often each occurred before."""
+def labelled_windows(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the windows in text order, made distinct by how often each occurred before, and that number."""
     n = len(words)
     if not n:
-        return words
+        return words, np.zeros(0, np.uint64)
     k = min(SHINGLE, n)
     out = np.zeros(n - k + 1, np.uint64)
     for i in range(k):
@@ -87,13 +93,13 @@ def labelled_windows(words: np.ndarray) -> np.ndarray:
     order = np.argsort(out, kind="stable")
     ranked = out[order]
     again = ranked[1:] == ranked[:-1]
+    label = np.zeros(len(out), np.uint64)
     if again.any():
         first = np.flatnonzero(np.concatenate(([True], ~again)))
         times = np.arange(len(out)) - np.repeat(first, np.diff(np.append(first, len(out))))
-        label = np.empty(len(out), np.uint64)
         label[order] = times
         out = np.where(label > 0, _mixed(out + label * _M2), out)
-    return out
+    return out, label
 
 
 def _seeds(n: int) -> np.ndarray:
@@ -130,31 +136,33 @@ def rising(places: np.ndarray) -> int:
 class Windows:
     """A text's labelled windows, sorted for matching, with their places."""
 
-    __slots__ = ("at", "n", "order", "windows")
+    __slots__ = ("at", "first", "n", "n_first", "order", "windows")
 
     def __init__(self, text: str | None):
-        self.windows = labelled_windows(word_hashes(text))
-        self.n = len(self.windows)
+        self.windows, label = labelled_windows(word_hashes(text))
+        self.first = label == 0
+        self.n, self.n_first = len(self.windows), int(self.first.sum())
         self.order = np.argsort(self.windows)
         self.at = self.windows[self.order]
 
 
 def similarity(a: Windows, b: Windows, least: float = SIMILARITY) -> float:
-    """The aligned similarity, or 0 where it is surely less than ``least``."""
+    """The aligned similarity, or that of the sets of windows if it is less; 0 where it is less than ``least``."""
     if not a.n or not b.n:
         return float(a.n == b.n)
-    if min(a.n, b.n) < least * max(a.n, b.n):
+    if min(a.n, b.n) < least * max(a.n, b.n) or min(a.n_first, b.n_first) < least * max(a.n_first, b.n_first):
         return 0.0
     spot = np.minimum(np.searchsorted(b.at, a.windows), b.n - 1)
     found = b.at[spot] == a.windows
-    common = int(found.sum())
-    if common < least * (a.n + b.n - common):
+    common, once = int(found.sum()), int((found & a.first).sum())
+    if common < least * (a.n + b.n - common) or once < least * (a.n_first + b.n_first - once):
         return 0.0
     place = b.order[spot[found]]
     # At similarity s a matched window is shifted by fewer than (1 - s) * (Wa + Wb) places.
     shift = np.abs(place - np.flatnonzero(found))
     common = rising(place[shift <= (1 - least) * (a.n + b.n) + 1])
-    return common / (a.n + b.n - common)
+    aligned = common / (a.n + b.n - common)
+    return min(aligned, once / (a.n_first + b.n_first - once)) if aligned >= least else 0.0
 
 
 class Classes:
@@ -181,16 +189,16 @@ _TABLE_CELLS = 8_000_000
 
 
 def shared_windows(left: list[Windows], right: list[Windows] | None = None) -> np.ndarray:
-    """How many windows each text of ``left`` shares with each of ``right``, or of ``left`` itself.
+    """How many distinct windows each text of ``left`` shares with each of ``right``, or of ``left`` itself.
 
     Windows that only one text has are left out; the rest form a 0/1 table that is multiplied with itself.
     """
     held = left if right is None else [*left, *right]
     out = np.zeros((len(left), len(left if right is None else right)), np.float32)
-    row = np.repeat(np.arange(len(held)), [w.n for w in held])
+    row = np.repeat(np.arange(len(held)), [w.n_first for w in held])
     if not len(row):
         return out
-    _, name, times = np.unique(np.concatenate([w.windows for w in held]), return_inverse=True, return_counts=True)
+    _, name, times = np.unique(np.concatenate([w.windows[w.first] for w in held]), return_inverse=True, return_counts=True)
     common = times > 1
     number = np.cumsum(common) - 1
     keep = common[name]
@@ -207,9 +215,9 @@ def shared_windows(left: list[Windows], right: list[Windows] | None = None) -> n
 
 
 def likeness(left: list[Windows], right: list[Windows] | None = None) -> np.ndarray:
-    """An upper bound of each pair's similarity: what it would be if shared windows came in one order."""
+    """The similarity of each pair's sets of windows, which bounds their similarity."""
     shared = shared_windows(left, right)
-    n, m = (np.array([w.n for w in x], np.float32) for x in (left, left if right is None else right))
+    n, m = (np.array([w.n_first for w in x], np.float32) for x in (left, left if right is None else right))
     total = n[:, None] + m[None, :] - shared
     return np.where(total > 0, shared / np.maximum(total, 1), 1.0)
 
@@ -313,7 +321,8 @@ def sketch_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 place = np.arange(1, len(words) + 1, dtype=np.uint64) * _M3
                 names.append([int(_mixed(words ^ place).sum(dtype=np.uint64)), int(_mixed(words + place).sum(dtype=np.uint64))])
                 sizes.append(len(words))
-                found.append(sketches(labelled_windows(words)).view(np.int64).tolist() if len(words) else [])
+                windows, label = labelled_windows(words)
+                found.append(sketches(windows[label < LABELS]).view(np.int64).tolist() if len(words) else [])
             pair = np.array(names, np.uint64).reshape(-1, 2).view(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -370,10 +379,11 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
     dealt = scratch.put(dealt, "dealt")
     k1, k2 = content_key(id_col, text_col)
+    small = dealt.count() <= BROADCAST_ROWS
     texts = docs.select(k1, k2, F.col(text_col).alias("text")).join(
-        dealt, (F.col("_k1") == F.col("_f1")) & (F.col("_k2") == F.col("_f2"))
+        F.broadcast(dealt) if small else dealt, (F.col("_k1") == F.col("_f1")) & (F.col("_k2") == F.col("_f2"))
     )
-    texts = texts.select("cluster", "shard", "shards", "node", "text")
+    texts = scratch.put(texts.select("cluster", "shard", "shards", "node", "text"), "texts")
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
@@ -402,7 +412,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     result = named.join(whole, F.col("label") == F.col("_label")).select("w1", "w2", "n", "best", "class_size")
     result = scratch.put(result.withColumnsRenamed({"w1": "_w1", "w2": "_w2", "n": "_nw"}), "result")
     same = (F.col("w1") == F.col("_w1")) & (F.col("w2") == F.col("_w2")) & (F.col("n") == F.col("_nw"))
-    scratch.drop("nodes", "named", "links", "dealt", "dealt-clusters")
+    scratch.drop("nodes", "named", "links", "dealt", "dealt-clusters", "texts")
     return rows.join(result, same).select(
         F.col("_id").alias(id_col),
         F.col("best._id").alias("class_id"),
