@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,3 +79,19 @@ def content_key(id_col: str, text_col: str) -> list[Column]:
 def tokens_of(text: Column) -> Column:
     """Number of words of a text, counted in the JVM over the whole text."""
     return F.regexp_count(text, F.lit(WORD_CLASS)).cast("long")
+
+
+def shielded(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Operators that return their input's columns use names with a leading underscore on the way; input columns with
+    such names wait under others meanwhile."""
+
+    @wraps(operator)
+    def call(docs: DataFrame, *args, **options) -> DataFrame:
+        other = {c: f"held{i}{c}" for i, c in enumerate(docs.columns) if c.startswith("_")}
+        if not other:
+            return operator(docs, *args, **options)
+        args = [other.get(a, a) if isinstance(a, str) else a for a in args]
+        options = {k: other.get(v, v) if isinstance(v, str) else v for k, v in options.items()}
+        return operator(docs.withColumnsRenamed(other), *args, **options).withColumnsRenamed({v: k for k, v in other.items()})
+
+    return call

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import SPACE_CLASS, Scratch, whole_text
+from .common import SPACE_CLASS, Scratch, shielded, whole_text
 
 BLOCK_BYTES = 4096
 NAME_BUCKETS = 1 << 16
@@ -129,6 +129,7 @@ def exact_groups(
     )
 
 
+@shielded
 def drop_exact_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES
 ) -> DataFrame:

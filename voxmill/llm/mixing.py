@@ -21,11 +21,13 @@ their own names if ``prefix`` is set apart from them.
 
 from __future__ import annotations
 
+from math import exp, log
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Scratch, tokens_of, whole_text
+from .common import Scratch, shielded, tokens_of, whole_text
 
 N_BLOCKS = 256
 #: A plan of at most so many rows (under 100 bytes each) is broadcast; a larger one is joined by shuffle.
@@ -64,16 +66,12 @@ def fit_exponent(
             got = list(known.agg(*sums).first())
             if got[0] is None:
                 return 1.0
-            from math import log
-
             entropy = [(log(z) - s / z) / log(2) for z, s in zip(got[::2], got[1::2], strict=True)]
             over = [h >= target_entropy for h in entropy]
         else:
             ends = known.agg(F.min(ln), F.max(ln)).first()
             if ends[0] is None:
                 return 1.0
-            from math import exp
-
             over = [exp((1 - a) * (ends[1] - ends[0])) > max_repetition for a in grid]
         at = sum(over)  # both fall as the exponent rises
         if at == 0:
@@ -84,6 +82,7 @@ def fit_exponent(
     return high if max_repetition is not None else (low + high) / 2
 
 
+@shielded
 def mix_sources(
     docs: DataFrame,
     id_col: str = "doc_id",
