@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, content_key
+from .common import Scratch, content_key, shielded
 from .textstats import WORDS
 
 SHINGLE = 5
@@ -47,7 +47,7 @@ TUPLE = 4
 #: So many occurrences of one window may be sampled; a phrase repeated over and over would else fill the sketches.
 LABELS = 2
 #: A shard or block holds about so many nodes, and about so many words, unless one node has more.
-BLOCK_NODES = 400
+BLOCK_NODES = 1000
 BLOCK_WORDS = 2_000_000
 #: The places of at most so many nodes in clusters (about 60 bytes each) are broadcast to the texts; more are joined by
 #: shuffle.
@@ -466,11 +466,14 @@ def _across_shards(texts: DataFrame, dealt: DataFrame, links: DataFrame, scratch
     members = large.join(stars, F.col("node") == F.col("_m")).select("leader", "node", "text")
     members = scratch.put(members, "members")
     counts = members.groupBy("leader").agg(
-        F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_NODES), F.ceil(F.sum(F.octet_length("text")) / (6 * BLOCK_WORDS))).cast("int").alias("nb")
+        F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_NODES), F.ceil(F.sum(F.octet_length("text")) / (6 * BLOCK_WORDS))).cast("int").alias("nb"),
+        F.count(F.lit(1)).alias("held"),
     )
     counts = scratch.put(counts.withColumnRenamed("leader", "_c"), "counts")
-    na, nb = (counts.select(F.col("_c").alias(f"_c{x}"), F.col("nb").alias(f"n{x}")) for x in "ab")
-    wide = apart.join(na, F.col("a") == F.col("_ca")).join(nb, F.col("b") == F.col("_cb")).select("a", "b", "na", "nb")
+    na, nb = (counts.select(F.col("_c").alias(f"_c{x}"), F.col("nb").alias(f"n{x}"), F.col("held").alias(f"held{x}")) for x in "ab")
+    wide = apart.join(na, F.col("a") == F.col("_ca")).join(nb, F.col("b") == F.col("_cb"))
+    # Two leaders without other members have been compared already.
+    wide = wide.filter("helda > 1 or heldb > 1").select("a", "b", "na", "nb")
     wide = scratch.put(wide, "wide")
     sides = []
     for side, mine, others in (("a", "na", "nb"), ("b", "nb", "na")):
@@ -495,6 +498,7 @@ def _across_shards(texts: DataFrame, dealt: DataFrame, links: DataFrame, scratch
     return links.union(scratch.put(more, "more"))
 
 
+@shielded
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with their columns, one row of each class."""
     kept = near_classes(docs, id_col, text_col).filter("kept").select(F.col("_k1").alias("_f1"), F.col("_k2").alias("_f2")).distinct()
