@@ -23,13 +23,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, content_key
+from .common import Scratch, content_key, shielded
 
 #: A boundary falls behind a line with a chance of 1 in MEAN_LINES.
 MEAN_LINES = 4
 #: Lines whose hashes the rolling hash covers.
 WINDOW = 2
 MIN_LINES = 2
+#: The chunks to remove are broadcast if they and their documents number at most so many (under 100 MB); more are joined
+#: by shuffle.
+BROADCAST_ROWS = 1_000_000
 _MASK = (1 << 64) - 1
 
 
@@ -124,6 +127,7 @@ def repeated_chunks(
     return scratch.put(removed.groupBy("_k1", "_k2").agg(F.sort_array(F.collect_set("place")).alias("places")), "removed")
 
 
+@shielded
 def remove_repeated_chunks(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -138,9 +142,11 @@ def remove_repeated_chunks(
     places = repeated_chunks(docs, id_col, text_col, mean_lines, min_lines, scratch).withColumnsRenamed(
         {"_k1": "_r1", "_k2": "_r2", "places": "_places"}
     )
+    load = places.agg(F.count(F.lit(1)) + F.coalesce(F.sum(F.size("_places")), F.lit(0))).first()[0]
+    places = F.broadcast(places) if load <= BROADCAST_ROWS else places.hint("merge")
     k1, k2 = content_key(id_col, text_col)
     joined = docs.select("*", k1, k2).join(places, (F.col("_k1") == F.col("_r1")) & (F.col("_k2") == F.col("_r2")), "left")
-    joined = joined.select(F.struct(*docs.columns).alias("doc"), F.col(text_col).alias("text"), F.col("_places").alias("places"))
+    joined = joined.select(F.struct(*(F.col(c) for c in docs.columns if c != text_col)).alias("doc"), F.col(text_col).alias("text"), F.col("_places").alias("places"))
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
