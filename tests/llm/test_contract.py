@@ -344,6 +344,52 @@ def test_op7(spark, table, rows):
     same([(r.doc_id, r.line_n_lines, r.line_n_chunks, r.text_sha256) for r in got], want)
 
 
+def brute_runs(docs):
+    """Per id, the lines in any run of over 50 words (first and last line with a word) that occurred before."""
+    seen, gone = set(), collections.defaultdict(set)
+    for i, t in docs:
+        lines = t.split("\n")
+        words = [len(WORD.findall(x)) for x in lines]
+        for a in range(len(lines)):
+            for b in range(a, len(lines)):
+                if words[a] and words[b] and sum(words[a : b + 1]) > 50:
+                    run = tuple(lines[a : b + 1])
+                    if run in seen:
+                        gone[i].update(range(a, b + 1))
+                    seen.add(run)
+    return gone
+
+
+def removed_lines(spark, docs):
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    out = line_dedup.remove_repeated_chunks(df, mean_lines=1 << 40)  # no chunk ends, so only whole texts are chunks
+    return {r.doc_id: (r.line_n_removed, r.text) for r in out.collect()}
+
+
+def test_op7_removes_all_repeated_long_runs(spark, sf):
+    import random
+
+    rng = random.Random(7)
+    line = lambda n: " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
+    shared = [[rng.choice(["", line(rng.choice([1, 5, 20, 49, 50, 51, 70]))]) for _ in range(rng.randrange(1, 12))] for _ in range(12)]
+    docs = []
+    for i in range(60):
+        parts = []
+        for _ in range(3):
+            passage = rng.choice(shared)
+            a = rng.randrange(len(passage))
+            parts += [line(rng.randrange(1, 30)), *passage[a : rng.randrange(a, len(passage)) + 1]]
+        docs.append((i, "\n".join([*parts, line(4)])))
+    texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").collect() if r.text]
+    docs += [(100 + i, t) for i, t in enumerate(t for t in dict.fromkeys(texts) if t.count("\n") < 60)]
+    gone, got = brute_runs(docs), removed_lines(spark, docs)
+    assert sum(map(len, gone.values())) > 100
+    for i, t in docs:
+        kept = [x + "\n" for x in t.split("\n")]
+        kept[-1] = kept[-1][:-1]
+        assert got[i] == (len(gone[i]), "".join(x for k, x in enumerate(kept) if k not in gone[i])), i
+
+
 def test_line_chunks_resist_shifts():
     lines = [f"line number {i * 7919 % 1000}" for i in range(400)]
     a = ["".join(c) for c in line_dedup.line_chunks("\n".join(lines))]

@@ -99,7 +99,9 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = line_dedup.remove_repeated_chunks(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return cleaned.select(
-        "doc_id", "line_n_lines", "line_n_removed", "line_n_chunks", F.sha2("text", 256).alias("text_sha256")
+        "doc_id", "line_n_lines", "line_n_removed", "line_n_chunks", "line_n_run_lines",
+        F.coalesce("line_chunks_sha256", F.sha2("text", 256)).alias("text_sha256"),  # without repeated chunks alone
+        F.sha2("text", 256).alias("line_text_sha256"),  # the text as returned
     )
 
 
