@@ -390,6 +390,13 @@ def test_op7_removes_all_repeated_long_runs(spark, sf):
         assert got[i] == (len(gone[i]), "".join(x for k, x in enumerate(kept) if k not in gone[i])), i
 
 
+def test_op7_removes_a_repeated_long_line(spark):
+    long, short = (" ".join(f"v{i}" for i in range(n)) for n in (51, 50))
+    docs = [(i, f"a{i}\n{long}\nb{i}\n{short}\nc{i}") for i in range(3)]
+    got = {r.doc_id: r.text for r in line_dedup.remove_repeated_chunks(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {0: docs[0][1], 1: f"a1\nb1\n{short}\nc1", 2: f"a2\nb2\n{short}\nc2"}
+
+
 def test_line_chunks_resist_shifts():
     lines = [f"line number {i * 7919 % 1000}" for i in range(400)]
     a = ["".join(c) for c in line_dedup.line_chunks("\n".join(lines))]
