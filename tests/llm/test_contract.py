@@ -218,6 +218,18 @@ def test_op8_ownership(spark):
     assert [(s.kind, s.live) for s in got[10]] == [("pem", True)]
 
 
+def test_op8_whole_private_keys(spark):
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----\n", "-----END RSA PRIVATE KEY-----"
+    base = lambda n, c: "\n".join([(c + "Q9+/") * 12 + "ab=="] * n) + "\n"
+    header = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A1B2C3D\n\n"
+    keys = [begin + base(200, "a"), begin + header + base(3, "b"), begin + header + base(3, "c"), begin + base(200, "d")]
+    texts = [f"x {keys[0]}{end} y", f"x {keys[1]}{end} y", f"x {keys[2]}. y", f"x {keys[3]}"]
+    rows = [(i, t, f"s{i}") for i, t in enumerate(texts)]
+    got = {r.doc_id: r.spans for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    pem = [[s for s in got[i] if s.kind == "pem"] for i in range(4)]
+    assert [[(s.start, s.end, s.value_hash) for s in x] for x in pem] == [[(2, 2 + len(k), sha(k))] for k in keys]
+
+
 def test_op10(spark, table, rows):
     from tokenizers import Tokenizer
 

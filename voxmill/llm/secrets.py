@@ -34,7 +34,15 @@ BASE_KINDS = [
     ("hex", "t rlike '[0-9a-f]{24}'", r"[0-9a-f]{24,}", 0, 24),
 ]
 EXTRA_KINDS = [
-    ("pem", "contains(t, '-----BEGIN')", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=\s]{0,8000}", 0, 40),
+    (
+        "pem",
+        "contains(t, '-----BEGIN')",
+        # All up to the end marker; a key without one, its header lines and what looks like its body.
+        r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----(?:[^-]*+(?:-(?!----)[^-]*+)*+(?=-----END [A-Z ]*PRIVATE KEY-----)"
+        r"|(?:\s*+[A-Z][A-Za-z0-9]*+-[A-Za-z0-9-]++:[^\n]*+)*+[A-Za-z0-9+/=\s]*+)",
+        0,
+        40,
+    ),
     (
         "provider",
         "contains(t, 'gh') or contains(t, 'xox') or contains(t, 'AIza') or contains(t, 'k_live_')",
