@@ -186,6 +186,15 @@ def test_pii_adds_what_labellers_agree_on(spark):
     assert pii.mask_personal_data("call 123 now", [(5, 8, "phone_local")]) == "call [phone_local] now"
 
 
+def test_pii_fits_on_distinct_candidates(spark, monkeypatch):
+    fits, train = [], pii.train
+    monkeypatch.setattr(pii, "train", lambda rows: fits.append(rows) or train(rows))
+    rows = [(i, "please call my phone (212) 555-1000 today" + f" or phone (212) 556-{1000 + i}" * (i % 8 == 0)) for i in range(160)]
+    pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string").repartition(16)).count()
+    copies = [r for r in fits[0] if r[2] > 100]
+    assert len(copies) == 1 and sum(r[2] for r in fits[0]) >= 160 and len(fits[0]) <= 60
+
+
 def naive_secrets(text):
     out = []
     for m in re.finditer(r"""(?a)(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text):

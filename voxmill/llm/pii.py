@@ -187,18 +187,18 @@ def _slots(rank: int, votes: tuple[int, ...], near: str, found: str) -> list[int
     return [zlib.crc32(m.encode()) & ((1 << HASH_BITS) - 1) for m in marks]
 
 
-def train(rows: list[tuple[list[int], float]], rounds: int = 400, rate: float = 0.5) -> np.ndarray:
-    """Weights of a logistic model without bias on soft targets."""
+def train(rows: list[tuple[list[int], float, int]], rounds: int = 400, rate: float = 0.5) -> np.ndarray:
+    """Weights of a logistic model without bias on soft targets; a row is (slots, target, how often it occurs)."""
     weights = np.zeros(1 << HASH_BITS)
     if not rows:
         return weights
-    row = np.repeat(np.arange(len(rows)), [len(s) for s, _ in rows])
-    slot = np.array([i for s, _ in rows for i in s])
-    target = np.array([t for _, t in rows])
-    each = np.bincount(slot, minlength=len(weights)) + 1.0
+    row = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
+    slot = np.array([i for r in rows for i in r[0]])
+    target, n = np.array([r[1] for r in rows]), np.array([r[2] for r in rows], float)
+    each = np.bincount(slot, n[row], len(weights)) + 1.0
     for _ in range(rounds):
         z = np.bincount(row, weights[slot], len(rows))
-        error = 1 / (1 + np.exp(-z)) - target
+        error = n * (1 / (1 + np.exp(-z)) - target)
         weights -= rate * np.bincount(slot, error[row], len(weights)) / each
     return weights
 
@@ -234,9 +234,11 @@ def find_personal_data(
     counted = sorted((r["rank"], *r["votes"], r["n"]) for r in proposed.groupBy("rank", "votes").agg(F.sum("n").alias("n")).collect())
     patterns = [r[:-1] for r in counted]
     posterior = dict(zip(patterns, reliabilities(patterns, [r[-1] for r in counted]), strict=True))
-    fit = proposed.orderBy(F.xxhash64("near", "found", "rank"), "n").limit(fit_spans).collect()
+    # One row for each candidate, however many batches have it; it weighs as often as it occurs.
+    distinct = proposed.groupBy("rank", "votes", "near", "found").agg(F.sum("n").alias("n"))
+    fit = distinct.orderBy(F.xxhash64("near", "found", "rank"), "near", "found", "rank", "votes").limit(fit_spans).collect()
     weights = train(
-        [(_slots(r["rank"], tuple(r["votes"]), r["near"], r["found"]), posterior[(r["rank"], *r["votes"])]) for r in fit]
+        [(_slots(r["rank"], tuple(r["votes"]), r["near"], r["found"]), posterior[(r["rank"], *r["votes"])], r["n"]) for r in fit]
     )
     sent = docs.sparkSession.sparkContext.broadcast(weights)
     span = pa.struct(
