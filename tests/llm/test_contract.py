@@ -328,6 +328,17 @@ def test_op2(spark, table, rows):
     assert got.filter("mix_epoch = 1").count() == len(rows)
 
 
+def test_mixing_keeps_empty_documents(spark):
+    lost = []
+    for k in range(40):
+        ids = [f"{k}-{i}" for i in range(4)]
+        order = sorted(ids, key=lambda x: hashlib.md5(f"mix:1:{int(hashlib.md5(f'mix:{x}'.encode()).hexdigest()[:15], 16) % mixing.N_BLOCKS}".encode()).hexdigest())
+        lost.append((ids, order[-1]))  # the text read last is empty
+    rows = [(i, "" if i == last else "a b", f"s{k}") for k, (ids, last) in enumerate(lost) for i in ids]
+    got = mixing.mix_sources(spark.createDataFrame(rows, "doc_id string, text string, source string"), max_repetition=1.0)
+    assert sorted(r.doc_id for r in got.filter("mix_epoch = 1").collect()) == sorted(r[0] for r in rows)
+
+
 def test_mixing_meets_entropy_and_budget(spark):
     rows = [(i, "w " * 10, "big" if i < 900 else f"small{i % 3}") for i in range(1200)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")

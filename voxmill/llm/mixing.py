@@ -129,7 +129,8 @@ def mix_sources(
     plan = (
         spread.withColumn("rank", _hash(seed, F.col("epoch").cast("string"), F.col("block").cast("string")))
         .withColumn("before", F.coalesce(F.sum("tokens").over(turn), F.lit(0)))
-        .filter("total = 0 or wanted > before")
+        # Where a source is read in full, blocks of empty texts alone that come last are read too.
+        .filter("total = 0 or wanted > before or (epoch = 1 and wanted >= total)")
         .select(
             "src", "block", "epoch",
             F.coalesce(F.try_divide("before", "wanted"), F.lit(0.0)).alias("slot"),
