@@ -19,11 +19,13 @@ SPACE_CLASS = r"[\x20\x09-\x0D]+"
 def scratch_root(spark: SparkSession) -> str:
     """Folder that driver and executors share.
 
-    ``spark.checkpoint.dir`` names it.  Only where it is unset, as in local tests, a temporary folder
-    is created and recorded in the session.
+    ``spark.checkpoint.dir`` names it.  Only where it is unset and the master is local, as in tests, a temporary
+    folder is created and recorded in the session; machines of a cluster would not share it.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         root = "file://" + tempfile.mkdtemp(prefix="voxmill-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -58,6 +60,28 @@ class Scratch:
         target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
 
 
+#: A key that holds more than one in HOT_PARTS of all rows is joined by broadcast; there are fewer than HOT_PARTS of them.
+HOT_PARTS = 2000
+#: Keys with no more rows than this are never hot.
+HOT_LEAST = 20
+
+
+def join_hot(left: DataFrame, right: DataFrame, keys: list[str], scratch: Scratch, name: str, how: str = "inner") -> DataFrame:
+    """``left`` joined on ``keys`` with ``right``, which has one row a key; a hot key does not land in one task.
+
+    Keys of many rows are counted first.  Their rows of ``right``, fewer than ``HOT_PARTS``, are broadcast; all other
+    keys are joined by shuffle.  ``left`` should be a table, as it is read three times.
+    """
+    least = max(HOT_LEAST, left.count() // HOT_PARTS)
+    hot = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > least).select(*keys)
+    hot = scratch.put(hot.na.drop(), name)
+    if not hot.take(1):
+        return left.join(right, keys, how)
+    few = F.broadcast(right.join(F.broadcast(hot), keys, "left_semi"))
+    split = left.join(F.broadcast(hot), keys, "left_semi").join(few, keys, how)
+    return split.unionByName(left.join(F.broadcast(hot), keys, "left_anti").join(right, keys, how))
+
+
 def whole_text(col: str | Column) -> Column:
     """The text itself; null counts as empty."""
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))

@@ -4,12 +4,15 @@ A document is its token ids followed by an end id.  Documents longer than a wind
 full windows; what is left of them and the shorter documents are placed, longest first, into the open
 window with the least sufficient room.  A segment tree indexed by remaining capacity finds that window.
 
-Each task packs the documents that it reads, one bounded batch after another, and keeps its windows open
-between batches; so no ids are shuffled and a task that runs again packs alike.  The sequence number
-holds the partition in its upper bits.
+Packing has two rounds.  First each task packs what it reads, one bounded batch after another; windows that end up
+almost full are closed.  The pieces of all other windows are packed again, across tasks: their lengths alone are
+shuffled into groups of bounded size, each packed by itself, so the room that is left does not depend on how many
+partitions the documents have.  Ids of closed windows are never shuffled.  Pieces are written to the shared folder once,
+so a task that runs again changes no placement.  Sequence numbers of the second round are negative.
 
 Edge cases: a null text counts as empty and gives the end id alone; repeated ids and rows are packed
-row by row; an empty table gives no pieces; extra columns are ignored.
+row by row; an empty table gives no pieces; extra columns are ignored, also those named like the added ones; a null id
+is kept.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,10 +29,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import Scratch
+
 WINDOW = 4096
 END_ID = 2
 #: Most words whose ids a worker keeps, about 200 bytes each; then it starts afresh.
-MEMO_WORDS = 600_000
+MEMO_WORDS = 300_000
+#: A window with at most this part of it free is closed.
+CLOSED_ROOM = 1 / 64
+#: A group of the second round has about so many pieces (under 200 bytes each in the worker).
+GROUP_PIECES = 200_000
 _SEQUENCES_PER_TASK = 1 << 32
 
 # A run of Latin letters before a space, one of .,;:!? or the end is a word of its own to the tokenizer's
@@ -126,7 +136,7 @@ class OpenWindows:
 
 
 class Packer:
-    """Best-fit decreasing over batches of pieces; windows stay open from batch to batch."""
+    """Best-fit decreasing; windows stay open from one call to the next."""
 
     def __init__(self, window: int, first_sequence: int = 0):
         self.window = window
@@ -155,34 +165,43 @@ _PIECE_FIELDS = [
     ("sequence_id", pa.int64(), T.LongType()),
     ("offset", pa.int64(), T.LongType()),
     ("input_ids", pa.binary(), T.BinaryType()),
+    ("piece", pa.int64(), T.LongType()),
 ]
 
 
-def pack_documents(
-    docs: DataFrame,
-    tokenizer_path: str,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    window: int = WINDOW,
-    end_id: int = END_ID,
-    batch_tokens: int = 4_000_000,
+def _first_round(
+    docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str, window: int, end_id: int, batch_tokens: int
 ) -> DataFrame:
-    """Pieces of all documents: id, start, length, doc_tokens, sequence_id, offset, input_ids (binary,
-    little-endian unsigned 32-bit).  ``batch_tokens`` bounds what a task holds besides one document."""
+    """Pieces with their ids; those of windows that are not almost full have no sequence, but a number, ``piece``."""
     end = end_id.to_bytes(4, "little")
+    room = int(window * CLOSED_ROOM)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = tokenizer_at(tokenizer_path)
-        packer = Packer(window, TaskContext.get().partitionId() * _SEQUENCES_PER_TASK)
+        first = TaskContext.get().partitionId() * _SEQUENCES_PER_TASK
+        sequence = piece = first
         rows: list[tuple] = []
         held = 0
 
         def flush() -> pa.RecordBatch:
+            nonlocal sequence, piece
+            packer = Packer(window, sequence)
             spots = packer.place([r[2] for r in rows])
-            ids, start, length, total, piece = zip(*rows, strict=True)
-            sequence, offset = zip(*spots, strict=True)
-            columns = [pa.array(x, t) for x, (_, t, _) in zip((start, length, total, sequence, offset, piece), _PIECE_FIELDS, strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(ids, id_type), *columns], [id_col, *(f[0] for f in _PIECE_FIELDS)])
+            used: Counter[int] = Counter()
+            for (at, _), r in zip(spots, rows, strict=True):
+                used[at] += r[2]
+            closed = {k: sequence + i for i, k in enumerate(sorted(k for k, n in used.items() if n >= window - room))}
+            sequence += len(closed)
+            placed, offset, number = [], [], []
+            for at, before in spots:
+                placed.append(closed.get(at))
+                offset.append(before if at in closed else None)
+                number.append(None if at in closed else piece)
+                piece += at not in closed
+            ids, start, length, total, coded = zip(*rows, strict=True)
+            columns = (start, length, total, placed, offset, coded, number)
+            arrays = [pa.array(x, t) for x, (_, t, _) in zip(columns, _PIECE_FIELDS, strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(ids, id_type), *arrays], ["id", *(f[0] for f in _PIECE_FIELDS)])
 
         for batch in batches:
             id_type = batch.schema.field(0).type
@@ -190,8 +209,8 @@ def pack_documents(
                 coded = tokenizer.encode(text.as_py() or "") + end
                 total = len(coded) // 4
                 for start in range(0, total, window):
-                    piece = coded[4 * start : 4 * (start + window)]
-                    rows.append((key, start, len(piece) // 4, total, piece))
+                    part = coded[4 * start : 4 * (start + window)]
+                    rows.append((key, start, len(part) // 4, total, part))
                 held += total
                 if held >= batch_tokens:
                     yield flush()
@@ -199,7 +218,46 @@ def pack_documents(
         if rows:
             yield flush()
 
-    schema = T.StructType(
-        [T.StructField(id_col, docs.schema[id_col].dataType), *(T.StructField(n, t) for n, _, t in _PIECE_FIELDS)]
-    )
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(pack, schema)
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *(T.StructField(n, t) for n, _, t in _PIECE_FIELDS)])
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(pack, schema)
+
+
+def _second_round(left: DataFrame, window: int) -> DataFrame:
+    """(piece, sequence_id, offset) of the pieces that the first round left; ``left`` has piece and length."""
+    groups = max(1, -(-left.count() // GROUP_PIECES))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for group, held in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                pieces = sorted((x["piece"], x["length"]) for x in held.as_py())
+                spots = Packer(window).place([n for _, n in pieces])
+                columns = (
+                    [k for k, _ in pieces],
+                    [-1 - group * _SEQUENCES_PER_TASK - at for at, _ in spots],
+                    [offset for _, offset in spots],
+                )
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["_piece", "_sequence", "_offset"])
+
+    group = F.pmod(F.xxhash64("piece"), F.lit(groups)).alias("group")
+    dealt = left.groupBy(group).agg(F.collect_list(F.struct("piece", "length")).alias("held"))
+    return dealt.mapInArrow(pack, "_piece long, _sequence long, _offset long")
+
+
+def pack_documents(
+    docs: DataFrame,
+    tokenizer_path: str,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    window: int = WINDOW,
+    end_id: int = END_ID,
+    batch_tokens: int = 4_000_000,
+) -> DataFrame:
+    """Pieces of all documents: id, start, length, doc_tokens, sequence_id, offset, input_ids (binary,
+    little-endian unsigned 32-bit).  ``batch_tokens`` bounds what a task holds besides one document."""
+    scratch = Scratch(docs.sparkSession, "pack")
+    pieces = scratch.put(_first_round(docs, tokenizer_path, id_col, text_col, window, end_id, batch_tokens), "pieces")
+    spots = scratch.put(_second_round(pieces.filter("piece is not null"), window), "spots")
+    named = [F.col("id").alias(id_col), "start", "length", "doc_tokens"]
+    done = pieces.filter("piece is null").select(*named, "sequence_id", "offset", "input_ids")
+    moved = pieces.filter("piece is not null").join(spots, F.col("piece") == F.col("_piece"))
+    return done.union(moved.select(*named, F.col("_sequence"), F.col("_offset"), "input_ids"))

@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterable
 from typing import NamedTuple
 
 from .common import WORD_CLASS
@@ -47,10 +46,10 @@ def repeat_words(words: list[str]) -> int:
     return covered
 
 
-def statistics(text: str | None) -> Statistics:
-    """A null text has no words; so has an empty one."""
+def statistics(text: str | None, words: list[str] | None = None) -> Statistics:
+    """A null text has no words; so has an empty one.  ``words`` are those of the text, if they are known already."""
     text = text or ""
-    words = WORDS.findall(text)
+    words = WORDS.findall(text) if words is None else words
     lines = [x for x in text.split("\n") if x.strip(_SPACES)]
     return Statistics(
         len(words),
@@ -80,7 +79,3 @@ def ratios(s: Statistics) -> list[float]:
         s.word_chars / n,
         s.n_shouted / n,
     ]
-
-
-def many(texts: Iterable[str | None]) -> list[Statistics]:
-    return [statistics(t) for t in texts]
