@@ -66,14 +66,20 @@ HOT_PARTS = 2000
 HOT_LEAST = 20
 
 
-def join_hot(left: DataFrame, right: DataFrame, keys: list[str], scratch: Scratch, name: str, how: str = "inner") -> DataFrame:
+def join_hot(
+    left: DataFrame, right: DataFrame, keys: list[str], scratch: Scratch, name: str, how: str = "inner", counted: str | None = None
+) -> DataFrame:
     """``left`` joined on ``keys`` with ``right``, which has one row a key; a hot key does not land in one task.
 
-    Keys of many rows are counted first.  Their rows of ``right``, fewer than ``HOT_PARTS``, are broadcast; all other
-    keys are joined by shuffle.  ``left`` should be a table, as it is read three times.
+    Keys of many rows are counted first, unless ``right`` has their rows in the column ``counted``.  Their rows of
+    ``right``, fewer than ``HOT_PARTS``, are broadcast; all other keys are joined by shuffle.  ``left`` should be a table,
+    as it is read three times.
     """
     least = max(HOT_LEAST, left.count() // HOT_PARTS)
-    hot = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > least).select(*keys)
+    if counted:
+        hot = right.filter(F.col(counted) > least).select(*keys)
+    else:
+        hot = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > least).select(*keys)
     hot = scratch.put(hot.na.drop(), name)
     if not hot.take(1):
         return left.join(right, keys, how)

@@ -5,22 +5,24 @@ takes the ``TUPLE`` windows with the least hash of one hash function and keeps t
 share a sketch with a chance that falls with their edits and their order.  ``SKETCHES`` functions give as many
 sketches; texts that share any are candidates.
 
-Candidates are verified by alignment: since labelled windows are distinct, the longest common subsequence of two
-texts is the longest rising run of matched places, kept to a band of shifts that the similarity allows.
-With W windows in it, similarity is W / (Wa + Wb - W).  The sets of distinct windows must be as similar, so that a
-phrase repeated over and over does not make two texts alike.  0.8 or more of both makes a link.  One minus the lesser
-of the two is a metric, which the search below relies on.
-
-Scale: texts with the same words are one node.  Nodes that share sketches, directly or in a chain, form a
-candidate cluster; each node's text travels once, to its cluster.  A cluster is dealt into shards of bounded size.
-In a shard pairs that share enough windows are aligned, while their classes are apart.  Where a cluster has several
-shards, every node also links to a leader of its shard, or becomes one, and leaders of all shards are compared in
-pairs of blocks.  A link between members of two leaders implies that the leaders are 0.4 or more alike; such leaders
-whose classes are still apart have their members compared, in blocks.  So no link among candidates is lost, no pairs of a group are listed,
-and no task holds more than two blocks.  Classes are connected components of the links.
-
-A pair at similarity 0.8 shares no sketch with a chance of about 3 in 10**6 if it has hundreds of windows, but of 6 in
-10**5 with 8 windows in common of 10, and 0.5 % with 4 of 5; such links are lost.
+Candidates are verified by banded alignment of their words: with L words in the longest common subsequence of two
+texts of a and b words, similarity is L / (a + b - L), and 0.8 or more makes a link.  An alignment of that similarity
+shifts no word by more than (a + b) / 9 places, so cells outside that band are not computed.  One minus the similarity is
+a metric, which the search below relies on.
+
+Scale: texts with the same words are one node.  All nodes with one sketch are a bucket.  In each round every bucket's
+least node leads it and is compared with the others; those linked to it leave with it, the rest stay for the next round.
+A node meets a leader once, however many buckets they share, and the members of a leader are dealt to several tasks.
+That gives classes.  What could still link two of them is compared in full: a node that its leader is not linked to
+but is 0.4 or more alike, with the leader's links (nodes less alike than that can't be linked to any of them); and the
+nodes that a bucket has left after ``ROUNDS`` rounds, with each other.  Both in pairs of bounded blocks of similar
+lengths, and only where classes differ.  So no link among candidates is lost, no pairs of a group are listed, and no task
+holds more than two blocks.  Classes are connected components of the links.
+
+What is lost is a link whose texts share no sketch.  With c windows in common of u in all, the chance is
+(1 - c (c - 1) / (u (u - 1))) ** 24: for c / u = 0.8 about 10 ** -11, for 0.6 2 in 10 ** 5, for 0.5 0.1 %, for 0.4 1.5 %,
+for 0.3 10 %.  Edits that lie far apart cost most windows: 3 scattered edits in 100 words leave c / u = 0.73, 6 leave
+0.53.  Texts under seven words have too few windows to be found unless they share the first one or two.
 
 Edge cases: a null text counts as empty; texts without words are one node; a text with fewer than five words has one
 window of all its words; a null id ranks behind all others; repeated rows fall into one class; an empty table
@@ -29,8 +31,9 @@ gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
-from bisect import bisect_left
+import math
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -38,20 +41,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, content_key, shielded
+from .common import Scratch, content_key, join_hot, shielded
 from .textstats import WORDS
 
 SHINGLE = 5
 SIMILARITY = 0.8
+#: Texts less alike than this can't both be linked to a third.
+FAR = 3 * SIMILARITY - 2
 SKETCHES = 24
-TUPLE = 4
-#: So many occurrences of one window may be sampled; a phrase repeated over and over would else fill the sketches.
-LABELS = 2
-#: A shard or block holds about so many nodes, and about so many words, unless one node has more.
+TUPLE = 2
+#: Rounds in which each bucket has a leader.
+ROUNDS = 3
+#: Members that one task compares with a leader.
+MEMBERS = 500
+#: A block holds about so many nodes, and about so many words, unless one node has more.
 BLOCK_NODES = 1000
 BLOCK_WORDS = 2_000_000
-#: The places of at most so many nodes in clusters (about 60 bytes each) are broadcast to the texts; more are joined by
-#: shuffle.
+#: The keys of at most so many nodes (about 40 bytes each) are broadcast to the texts; more are joined by shuffle.
 BROADCAST_ROWS = 500_000
 
 # Multipliers of a public 64-bit finaliser; arrays of one element wrap around without a warning.
@@ -82,12 +88,12 @@ def word_hashes(text: str | None) -> np.ndarray:
     return np.fromiter(map(_WORD_HASH.__getitem__, words), np.uint64, len(words))
 
 
-def labelled_windows(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def labelled_windows(words: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the windows in text order, made distinct by how often each occurred before, and that number."""
     n = len(words)
     if not n:
         return words, np.zeros(0, np.uint64)
-    k = min(SHINGLE, n)
+    k = min(size, n)
     out = np.zeros(n - k + 1, np.uint64)
     for i in range(k):
         out = _mixed(out * _M3 + words[i : n - k + 1 + i])
@@ -111,8 +117,9 @@ def sketches(windows: np.ndarray, n: int = SKETCHES, size: int = TUPLE) -> np.nd
     """For each hash function one number: the least windows in text order."""
     size = min(size, len(windows))
     least = np.empty((n, size), np.int64)
-    for i, seed in enumerate(_seeds(n)):
-        least[i] = np.argpartition(_mixed(windows ^ seed), size - 1)[:size]
+    step = max(1, 1_000_000 // len(windows))
+    for i in range(0, n, step):
+        least[i : i + step] = np.argpartition(_mixed(windows ^ _seeds(n)[i : i + step, None]), size - 1, axis=1)[:, :size]
     least.sort(axis=1)
     out = np.arange(n, dtype=np.uint64)
     for column in windows[least].T:
@@ -120,50 +127,73 @@ def sketches(windows: np.ndarray, n: int = SKETCHES, size: int = TUPLE) -> np.nd
     return out
 
 
-def rising(places: np.ndarray) -> int:
-    """Length of the longest strictly rising subsequence."""
-    if len(places) < 2 or (places[1:] > places[:-1]).all():
-        return len(places)
-    tails: list[int] = []
-    for p in places.tolist():
-        i = bisect_left(tails, p)
-        if i == len(tails):
-            tails.append(p)
-        else:
-            tails[i] = p
-    return len(tails)
+class Words:
+    """A text's words as hashes, in text order and, labelled by how often each occurred before, sorted."""
 
+    __slots__ = ("labelled", "n", "words")
 
-class Windows:
-    """A text's labelled windows, sorted for matching, with their places."""
+    def __init__(self, text: str | None):
+        self.words = word_hashes(text)
+        self.n = len(self.words)
+        self.labelled = np.sort(labelled_windows(self.words, 1)[0])
 
-    __slots__ = ("at", "first", "n", "n_first", "order", "windows")
 
-    def __init__(self, text: str | None):
-        self.windows, label = labelled_windows(word_hashes(text))
-        self.first = label == 0
-        self.n, self.n_first = len(self.windows), int(self.first.sum())
-        self.order = np.argsort(self.windows)
-        self.at = self.windows[self.order]
+def common_words(a: Words, b: Words) -> int:
+    """How many words two texts share, in any order; that bounds their alignment."""
+    if not a.n or not b.n:
+        return 0
+    spot = np.minimum(np.searchsorted(b.labelled, a.labelled), b.n - 1)
+    return int((b.labelled[spot] == a.labelled).sum())
 
 
-def similarity(a: Windows, b: Windows, least: float = SIMILARITY) -> float:
-    """The aligned similarity, or that of the sets of windows if it is less; 0 where it is less than ``least``."""
+def aligned(x: np.ndarray, y: np.ndarray, band: int) -> int:
+    """Length of the longest common subsequence in which no word is shifted by more than ``band`` places.
+
+    Bit j of ``row`` says that column j adds nothing to the row; a row of the table is one addition of long integers as
+    wide as the band.
+    """
+    least = min(len(x), len(y))
+    differ = np.flatnonzero(x[:least] != y[:least])
+    head = int(differ[0]) if len(differ) else least
+    x, y = x[head:], y[head:]
+    least -= head
+    differ = np.flatnonzero(x[len(x) - least :] != y[len(y) - least :])
+    tail = least - 1 - int(differ[-1]) if len(differ) else least
+    x, y = x[: len(x) - tail].tolist(), y[: len(y) - tail].tolist()
+    if not x or not y:
+        return head + tail
+    width = 2 * band + 1
+    every, top = (1 << width) - 1, 1 << (width - 1)
+    # Where each word stands in y, in stretches as wide as the band.
+    spots: dict[tuple[int, int], int] = {}
+    for j, word in enumerate(y):
+        key = j // width, word
+        spots[key] = spots.get(key, 0) | 1 << (j % width)
+    at = spots.get
+    row, count = every, 0
+    for i, word in enumerate(x):
+        if i:
+            count += not row & 1
+            row = row >> 1 | top
+        stretch, skip = divmod(i - band, width)
+        match = (at((stretch, word), 0) >> skip | at((stretch + 1, word), 0) << (width - skip)) & every
+        if match:
+            both = row & match
+            row = (row + both | row - both) & every
+    return head + tail + count + width - row.bit_count()
+
+
+def similarity(a: Words, b: Words, least: float = SIMILARITY) -> float:
+    """The aligned similarity; 0 where it is less than ``least``."""
     if not a.n or not b.n:
         return float(a.n == b.n)
-    if min(a.n, b.n) < least * max(a.n, b.n) or min(a.n_first, b.n_first) < least * max(a.n_first, b.n_first):
-        return 0.0
-    spot = np.minimum(np.searchsorted(b.at, a.windows), b.n - 1)
-    found = b.at[spot] == a.windows
-    common, once = int(found.sum()), int((found & a.first).sum())
-    if common < least * (a.n + b.n - common) or once < least * (a.n_first + b.n_first - once):
+    total = a.n + b.n
+    if min(a.n, b.n) < least * max(a.n, b.n) or (c := common_words(a, b)) < least * (total - c):
         return 0.0
-    place = b.order[spot[found]]
-    # At similarity s a matched window is shifted by fewer than (1 - s) * (Wa + Wb) places.
-    shift = np.abs(place - np.flatnonzero(found))
-    common = rising(place[shift <= (1 - least) * (a.n + b.n) + 1])
-    aligned = common / (a.n + b.n - common)
-    return min(aligned, once / (a.n_first + b.n_first - once)) if aligned >= least else 0.0
+    # Of texts so alike at most this many words are unmatched, and no word is shifted by more.
+    length = aligned(a.words, b.words, int((1 - least) / (1 + least) * total + 1e-9))
+    found = length / (total - length)
+    return found if found >= least else 0.0
 
 
 class Classes:
@@ -185,101 +215,77 @@ class Classes:
             self.up[max(a, b)] = min(a, b)
 
 
-#: Cells of the dense table that counts shared windows, filled column block by column block.
+#: Cells of the dense table that counts shared words, filled column block by column block.
 _TABLE_CELLS = 8_000_000
 
 
-def shared_windows(left: list[Windows], right: list[Windows] | None = None) -> np.ndarray:
-    """How many distinct windows each text of ``left`` shares with each of ``right``, or of ``left`` itself.
+def likeness(left: list[Words], right: list[Words] | None = None) -> np.ndarray:
+    """What each text of ``left`` and each of ``right`` (or of ``left``) are alike in words in any order, which bounds their
+    similarity.
 
-    Windows that only one text has are left out; the rest form a 0/1 table that is multiplied with itself.
+    Labelled words that only one text has are left out; the rest form a 0/1 table that is multiplied with itself.
     """
     held = left if right is None else [*left, *right]
-    out = np.zeros((len(left), len(left if right is None else right)), np.float32)
-    row = np.repeat(np.arange(len(held)), [w.n_first for w in held])
-    if not len(row):
-        return out
-    _, name, times = np.unique(np.concatenate([w.windows[w.first] for w in held]), return_inverse=True, return_counts=True)
-    common = times > 1
-    number = np.cumsum(common) - 1
-    keep = common[name]
-    row, column = row[keep], number[name[keep]]
-    order = np.argsort(column, kind="stable")
-    row, column = row[order], column[order]
-    width = max(1, _TABLE_CELLS // len(held))
-    for first in range(0, int(common.sum()), width):
-        lo, hi = np.searchsorted(column, (first, first + width))
-        cells = np.zeros((len(held), min(width, int(common.sum()) - first)), np.float32)
-        cells[row[lo:hi], column[lo:hi] - first] = 1
-        out += cells[: len(left)] @ (cells if right is None else cells[len(left) :]).T
-    return out
-
-
-def likeness(left: list[Windows], right: list[Windows] | None = None) -> np.ndarray:
-    """The similarity of each pair's sets of windows, which bounds their similarity."""
-    shared = shared_windows(left, right)
-    n, m = (np.array([w.n_first for w in x], np.float32) for x in (left, left if right is None else right))
+    shared = np.zeros((len(left), len(left if right is None else right)), np.float32)
+    row = np.repeat(np.arange(len(held)), [w.n for w in held])
+    if len(row):
+        _, name, times = np.unique(np.concatenate([w.labelled for w in held]), return_inverse=True, return_counts=True)
+        common = times > 1
+        number = np.cumsum(common) - 1
+        keep = common[name]
+        row, column = row[keep], number[name[keep]]
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        width = max(1, _TABLE_CELLS // len(held))
+        for first in range(0, int(common.sum()), width):
+            lo, hi = np.searchsorted(column, (first, first + width))
+            cells = np.zeros((len(held), min(width, int(common.sum()) - first)), np.float32)
+            cells[row[lo:hi], column[lo:hi] - first] = 1
+            shared += cells[: len(left)] @ (cells if right is None else cells[len(left) :]).T
+    n, m = (np.array([w.n for w in x], np.float32) for x in (left, left if right is None else right))
     total = n[:, None] + m[None, :] - shared
     return np.where(total > 0, shared / np.maximum(total, 1), 1.0)
 
 
-def cluster_shard(texts: list[tuple[int, Windows]], stars: bool, least: float = SIMILARITY) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """(node, leader) of every node and the links (a, b) that make the classes.
-
-    Pairs that may be similar enough are tried from the likeliest on, but only while their classes are apart.
-    Without ``stars`` the leader is the least node of the class; with them it is a node that links to the node itself.
-    """
-    texts = sorted(texts, key=lambda x: x[0])
-    nodes, held = [n for n, _ in texts], [w for _, w in texts]
-    like = likeness(held)
-    classes, links = Classes(), []
-    a, b = np.nonzero(np.triu(like >= least - 1e-6, 1))
+def block_links(ours: list[tuple], theirs: list[tuple] | None) -> list[tuple[int, int]]:
+    """Links between two blocks of (node, label, side, words), or within one, that join classes which are apart; nodes of
+    one side but 0 are not compared with each other.  The likeliest pairs are tried first."""
+    like = likeness([x[3] for x in ours], None if theirs is None else [x[3] for x in theirs])
+    able = like >= SIMILARITY - 1e-6
+    if theirs is None:
+        theirs = ours
+        able = np.triu(able, 1)
+    (p, u), (q, v) = (np.array([(x[1], x[2]) for x in side], np.int64).reshape(-1, 2).T for side in (ours, theirs))
+    able &= (p[:, None] != q[None, :]) & ((u[:, None] != v[None, :]) | (u[:, None] == 0))
+    a, b = np.nonzero(able)
+    classes, out = Classes(), []
     for k in np.argsort(-like[a, b], kind="stable").tolist():
-        i, j = int(a[k]), int(b[k])
-        if classes.find(i) != classes.find(j) and similarity(held[i], held[j], least) >= least:
-            classes.join(i, j)
-            links.append((nodes[i], nodes[j]))
-            if len(links) == len(nodes) - 1:
-                break
-    if not stars:
-        return [(nodes[i], nodes[classes.find(i)]) for i in range(len(nodes))], links
-    leaders: list[int] = []
-    own = []
-    for i in range(len(nodes)):
-        near = sorted((x for x in leaders if like[i, x] >= least - 1e-6), key=lambda x: -like[i, x])
-        leader = next((x for x in near if similarity(held[i], held[x], least) >= least), i)
-        if leader == i:
-            leaders.append(i)
-        own.append((nodes[i], nodes[leader]))
-    return own, links
-
-
-def _groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
-    """Rows by their first columns; equal keys follow each other."""
-    key, rows = None, []
-    for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if row[:n_keys] != key:
-                if rows:
-                    yield key, rows
-                key, rows = row[:n_keys], []
-            rows.append(row[n_keys:])
-    if rows:
-        yield key, rows
-
-
-def _links(rows: list[tuple]) -> pa.RecordBatch:
-    """(a, b, kind): 0 a member and its leader, 1 a link, 2 leaders that may have linked members."""
-    return pa.RecordBatch.from_arrays(
-        [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32()))], ["a", "b", "kind"]
-    )
+        x, y = ours[a[k]], theirs[b[k]]
+        if classes.find(x[1]) != classes.find(y[1]) and similarity(x[3], y[3]):
+            classes.join(x[1], y[1])
+            out.append((x[0], y[0]))
+    return out
+
+
+def _groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[tuple, Iterator[tuple]]]:
+    """Rows by their first columns; equal keys follow each other.  Rows are read one by one, as they are asked for."""
+
+    def rows() -> Iterator[tuple]:
+        for batch in batches:
+            narrow = [c.to_pylist() for c in batch.columns[:-1]]
+            for i, text in enumerate(batch.columns[-1]):
+                yield (*(c[i] for c in narrow), text.as_py())
 
+    for key, group in groupby(rows(), key=lambda r: r[:n_keys]):
+        yield key, (r[n_keys:] for r in group)
 
-_LINKS = "a long, b long, kind int"
 
+def _grouped(df: DataFrame, keys: list[str], then: str | None = None) -> DataFrame:
+    return df.repartition(*(F.col(k) for k in keys)).sortWithinPartitions(*keys, *([then] if then else []))
 
-def _grouped(df: DataFrame, keys: list[str]) -> DataFrame:
-    return df.repartition(*(F.col(k) for k in keys)).sortWithinPartitions(*keys)
+
+def _pairs(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(len(names))], names)
 
 
 def components(nodes: DataFrame, links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -294,16 +300,18 @@ def components(nodes: DataFrame, links: DataFrame, scratch: Scratch, name: str)
     step = 0
     while True:
         step += 1
-        heard = both.join(labels, F.col("b") == F.col("node")).groupBy(F.col("a").alias("_n")).agg(F.min("label").alias("_l"))
+        told = join_hot(both, labels.withColumnRenamed("node", "b"), ["b"], scratch, f"{name}-{step}h")
+        heard = told.groupBy(F.col("a").alias("_n")).agg(F.min("label").alias("_l"))
         moved = labels.join(heard, F.col("node") == F.col("_n"), "left").select(
             "node", F.col("label").alias("was"), F.least("label", F.coalesce("_l", "label")).alias("label")
         )
         moved = scratch.put(moved, f"{name}-{step}a")
-        # Jump: the label of one's label.
-        far = moved.select(F.col("node").alias("_n"), F.col("label").alias("_l"))
-        jumped = moved.filter("label <> node").join(far, F.col("label") == F.col("_n")).select("node", "was", F.col("_l").alias("label"))
+        # Jump: the label of one's label; a label that many nodes have is joined apart.
+        apart = scratch.put(moved.filter("label <> node"), f"{name}-{step}b")
+        far = moved.select(F.col("node").alias("label"), F.col("label").alias("_l"))
+        jumped = join_hot(apart, far, ["label"], scratch, f"{name}-{step}j").select("node", "was", F.col("_l").alias("label"))
         new = scratch.put(jumped.union(moved.filter("label = node")), f"{name}-{step}")
-        scratch.drop(f"{name}-{step - 1}", f"{name}-{step}a")
+        scratch.drop(f"{name}-{step - 1}", *(f"{name}-{step}{x}" for x in "habj"))
         labels = new.select("node", "label")
         if not new.filter("label <> was").take(1):
             scratch.drop(f"{name}-edges")
@@ -317,13 +325,12 @@ def sketch_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names, sizes, found = [], [], []
-            for text in batch.column(3).to_pylist():
-                words = word_hashes(text)
+            for text in batch.column(3):
+                words = word_hashes(text.as_py())
                 place = np.arange(1, len(words) + 1, dtype=np.uint64) * _M3
                 names.append([int(_mixed(words ^ place).sum(dtype=np.uint64)), int(_mixed(words + place).sum(dtype=np.uint64))])
                 sizes.append(len(words))
-                windows, label = labelled_windows(words)
-                found.append(sketches(windows[label < LABELS]).view(np.int64).tolist() if len(words) else [])
+                found.append(sketches(labelled_windows(words)[0]).view(np.int64).tolist() if len(words) else [])
             pair = np.array(names, np.uint64).reshape(-1, 2).view(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -341,26 +348,134 @@ def sketch_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return source.mapInArrow(work, T.StructType([T.StructField(a, b) for a, b in fields]))
 
 
-def _candidate_clusters(nodes: DataFrame, scratch: Scratch) -> DataFrame:
-    """(node, cluster) of nodes that share a sketch with another."""
-    each = nodes.select("node", F.posexplode("sketches").alias("slot", "sketch"))
-    shared = scratch.put(
-        each.groupBy("slot", "sketch").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-        .select(F.col("slot").alias("_slot"), F.col("sketch").alias("_sketch"), "first"),
-        "shared",
+def _with_texts(docs: DataFrame, id_col: str, text_col: str, nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, text) of ``nodes``, which has the key (_f1, _f2) of a row of each."""
+    k1, k2 = content_key(id_col, text_col)
+    small = nodes.count() <= BROADCAST_ROWS
+    texts = docs.select(k1, k2, F.col(text_col).alias("text"))
+    texts = texts.join(F.broadcast(nodes) if small else nodes, (F.col("_k1") == F.col("_f1")) & (F.col("_k2") == F.col("_f2")))
+    texts = scratch.put(texts.select("node", "text"), "texts")
+    # Rows that agree in id and text share a key; one of them will do.
+    return texts if texts.count() == nodes.count() else scratch.put(texts.dropDuplicates(["node"]), "texts1")
+
+
+def _compared(pairs: DataFrame, texts: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """(leader, node, state) of the pairs (leader, node): 2 linked, 1 not, but perhaps alike enough to share a link, 0 else."""
+    counts = pairs.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("parts"))
+    counts = scratch.put(counts, f"{name}-counts")
+    dealt = join_hot(pairs, counts, ["leader"], scratch, f"{name}-hot").select(
+        "leader", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), "node"
     )
-    # A star from each sketch's least node connects just what sharing the sketch connects.
-    star = each.join(shared, (F.col("slot") == F.col("_slot")) & (F.col("sketch") == F.col("_sketch")))
-    star = scratch.put(star.select(F.col("node").alias("a"), F.col("first").alias("b")).distinct(), "stars")
-    met = star.select(F.col("a").alias("node")).distinct()
-    out = components(met, star, scratch, "clusters").withColumnRenamed("label", "cluster")
-    scratch.drop("shared", "stars")
-    return out
+    members = dealt.join(texts, "node").select("leader", "part", "node", "text")
+    leaders = counts.join(texts, F.col("leader") == F.col("node")).select(
+        "leader", F.explode(F.expr("sequence(0, parts - 1)")).alias("part"), F.lit(None).cast("long").alias("node"), "text"
+    )
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        for (leader, _), rows in _groups(batches, 2):
+            first = Words(next(rows)[1])  # the leader's row has no node, so it comes first
+            for node, text in rows:
+                words = Words(text)
+                shared = common_words(first, words)
+                near = shared >= FAR * (first.n + words.n - shared)
+                out.append((leader, node, 2 if similarity(first, words) else int(near)))
+            if len(out) > 10_000:
+                yield _pairs(out, ["leader", "node", "state"])
+                out = []
+        yield _pairs(out, ["leader", "node", "state"])
+
+    found = _grouped(members.union(leaders), ["leader", "part"], "node").mapInArrow(compare, "leader long, node long, state long")
+    return scratch.put(found, name)
+
+
+def _in_blocks(groups: DataFrame, texts: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """Links (a, b) within groups (g, side, node, label, n) between nodes of different labels and sides (or side 0)."""
+    groups = scratch.put(groups, f"{name}-groups")
+    sizes = groups.groupBy("g").agg(F.count(F.lit(1)).alias("held"), F.sum("n").alias("words"))
+    sizes = scratch.put(sizes, f"{name}-sizes")
+    # Texts linked differ in length by a quarter at most, so only neighbouring bands of lengths meet.
+    one = (F.col("held") <= BLOCK_NODES) & (F.col("words") <= BLOCK_WORDS)
+    band = F.when(one, 0).otherwise(F.floor(F.log(F.greatest("n", F.lit(1))) / math.log(1 / SIMILARITY) - 1e-9)).cast("int")
+    banded = join_hot(groups, sizes, ["g"], scratch, f"{name}-hot").select("g", "side", "node", "label", "n", band.alias("band"))
+    banded = scratch.put(banded, f"{name}-banded")
+    parts = banded.groupBy("g", "band").agg(
+        F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_NODES), F.ceil(F.sum("n") / BLOCK_WORDS)).cast("int").alias("p")
+    )
+    parts = scratch.put(parts.groupBy("g").agg(F.map_from_entries(F.collect_list(F.struct("band", "p"))).alias("parts")), f"{name}-parts")
+    held = join_hot(banded, parts, ["g"], scratch, f"{name}-hot2")
+    held = held.withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.expr("parts[band]")).cast("int"))
+    place = F.expr(
+        """concat(
+          transform(sequence(0, parts[band] - 1), j -> struct(band as b1, least(block, j) as i, band as b2, greatest(block, j) as j)),
+          if(parts[band + 1] is null, array(), transform(sequence(0, parts[band + 1] - 1), j -> struct(band as b1, block as i, band + 1 as b2, j as j))),
+          if(parts[band - 1] is null, array(), transform(sequence(0, parts[band - 1] - 1), j -> struct(band - 1 as b1, j as i, band as b2, block as j))))"""
+    )
+    spread = held.withColumn("at", F.explode(place)).select("g", "at.*", "band", "block", "side", "node", "label")
+    keys = ["g", "b1", "i", "b2", "j"]
+    spread = spread.join(texts, "node").select(*keys, "band", "block", "side", "node", "label", "text")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (_, b1, i, b2, j), rows in _groups(batches, len(keys)):
+            held = [(node, label, side, band, block, Words(text)) for band, block, side, node, label, text in rows]
+            ours, theirs = ([(*x[:3], x[5]) for x in held if x[3:5] == block] for block in ((b1, i), (b2, j)))
+            yield _pairs(block_links(ours, None if (b1, i) == (b2, j) else theirs), ["a", "b"])
+
+    return scratch.put(_grouped(spread, keys).mapInArrow(compare, "a long, b long"), name)
+
+
+def _links(docs: DataFrame, id_col: str, text_col: str, nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """Links (a, b) that connect just the nodes of each class."""
+    each = nodes.select("node", "n", F.explode("sketches").alias("sketch"))
+    buckets = each.groupBy("sketch").agg(F.min(F.struct("node", "n")).alias("first"), F.count(F.lit(1)).alias("held")).filter("held > 1")
+    buckets = scratch.put(buckets.select("sketch", F.col("first.node").alias("leader"), F.col("first.n").alias("nl"), "held"), "buckets")
+    active = scratch.put(join_hot(each, buckets, ["sketch"], scratch, "hot", counted="held").drop("held"), "active0")
+    wanted = nodes.join(active.select("node").distinct(), "node", "left_semi")
+    wanted = wanted.select("node", F.col("first._k1").alias("_f1"), F.col("first._k2").alias("_f2"))
+    texts = _with_texts(docs, id_col, text_col, scratch.put(wanted, "wanted"), scratch)
+
+    links = maybe = None
+    for r in range(ROUNDS):
+        met = active.filter("node <> leader").select("leader", "node", "n", "nl").distinct()
+        ratio = F.least("n", "nl") / F.greatest("n", "nl")
+        met = scratch.put(met.withColumn("ratio", ratio), f"met{r}")
+        found = _compared(met.filter(F.col("ratio") >= SIMILARITY).select("leader", "node"), texts, scratch, f"found{r}")
+        short = met.filter(F.col("ratio") < SIMILARITY).select("leader", "node", (F.col("ratio") >= FAR).cast("long").alias("state"))
+        found = found.unionByName(short)
+        new = found.filter("state = 2").select(F.col("leader").alias("a"), F.col("node").alias("b"))
+        links = new if links is None else links.union(new)
+        near = found.filter("state = 1").select("leader", "node")
+        maybe = near if maybe is None else maybe.union(near)
+        left = active.join(found.filter("state < 2").select("leader", "node"), ["leader", "node"]).select("sketch", "node", "n")
+        left = scratch.put(left, f"left{r}")
+        leads = left.groupBy("sketch").agg(F.min(F.struct("node", "n")).alias("first"), F.count(F.lit(1)).alias("held")).filter("held > 1")
+        leads = scratch.put(leads.select("sketch", F.col("first.node").alias("leader"), F.col("first.n").alias("nl"), "held"), f"leads{r}")
+        active = join_hot(left, leads, ["sketch"], scratch, f"hot{r}", counted="held").drop("held")
+        active = scratch.put(active, f"active{r + 1}")
+        scratch.drop(f"active{r}", f"left{r}", f"leads{r}", f"hot{r}")
+
+    # What could still link two classes.
+    labels = components(nodes.join(texts.select("node"), "node", "left_semi"), links, scratch, "first")
+    labelled = scratch.put(labels.join(nodes.select("node", "n"), "node"), "labelled")
+    of_leader = labels.select(F.col("node").alias("leader"), F.col("label").alias("ll"))
+    maybe = scratch.put(maybe.distinct().join(labelled, "node"), "maybe")
+    maybe = join_hot(maybe, of_leader, ["leader"], scratch, "maybe-hot").filter("label <> ll")
+    maybe = scratch.put(maybe.select(F.col("leader").alias("g"), F.lit(1).alias("side"), "node", "label", "n"), "apart")
+    stars = links.select(F.col("a").alias("g"), F.col("b").alias("node")).distinct()
+    stars = stars.join(maybe.select("g").distinct(), "g", "left_semi").join(labelled, "node")
+    members = maybe.union(stars.select("g", F.lit(2).alias("side"), "node", "label", "n"))
+    rest = scratch.put(active.select(F.col("sketch").alias("g"), "node").join(labelled, "node"), "rest-rows")
+    mixed = rest.groupBy("g").agg((F.min("label") < F.max("label")).alias("mixed"), F.count(F.lit(1)).alias("held")).filter("mixed")
+    rest = join_hot(rest, mixed, ["g"], scratch, "rest-hot", counted="held")
+    rest = rest.select("g", F.lit(0).alias("side"), "node", "label", "n")
+    more = _in_blocks(members, texts, scratch, "members").union(_in_blocks(rest, texts, scratch, "rest"))
+    return links.union(more)
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, class_id (least id of the class), class_size (rows), kept (one row a class, or
-    all rows that agree in id and text with it), and the row's content key (_k1, _k2)."""
+    """One row per input row: id, class_id (least id of the class), class_size (rows), n_links (links of the row's words to
+    other texts that the search verified; it verifies as many as connect the class), kept (one row a class, or all rows
+    that agree in id and text with it), and the row's content key (_k1, _k2)."""
     scratch = Scratch(docs.sparkSession, "near")
     rows = scratch.put(sketch_rows(docs, id_col, text_col), "rows")
     first = F.struct(F.col("_id").isNull().alias("no_id"), "_id", "_k1", "_k2")
@@ -368,137 +483,30 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.min(first).alias("first"), F.count(F.lit(1)).alias("copies"), F.any_value("sketches").alias("sketches")
     )
     nodes = scratch.put(merged.select(F.monotonically_increasing_id().alias("node"), "*"), "nodes")
-
-    clusters = scratch.put(_candidate_clusters(nodes, scratch), "dealt-clusters")
-    placed = clusters.join(nodes.select("node", "n", "first"), "node")
-    sizes = placed.groupBy("cluster").agg(
-        F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_NODES), F.ceil(F.sum("n") / BLOCK_WORDS)).cast("int").alias("shards")
-    )
-    dealt = placed.join(sizes, "cluster").select(
-        "node", "cluster", "shards", F.pmod(F.xxhash64("node"), F.col("shards")).cast("int").alias("shard"),
-        F.col("first._k1").alias("_f1"), F.col("first._k2").alias("_f2"),
-    )
-    dealt = scratch.put(dealt, "dealt")
-    k1, k2 = content_key(id_col, text_col)
-    small = dealt.count() <= BROADCAST_ROWS
-    texts = docs.select(k1, k2, F.col(text_col).alias("text")).join(
-        F.broadcast(dealt) if small else dealt, (F.col("_k1") == F.col("_f1")) & (F.col("_k2") == F.col("_f2"))
-    )
-    texts = scratch.put(texts.select("cluster", "shard", "shards", "node", "text"), "texts")
-
-    def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = []
-        for (*_, shards), group in _groups(batches, 3):
-            own, links = cluster_shard([(n, Windows(t)) for n, t in dict(group).items()], shards > 1)
-            out += [(n, leader, 0) for n, leader in own]
-            out += [(a, b, 1) for a, b in links]
-            if len(out) > 10_000:
-                yield _links(out)
-                out = []
-        yield _links(out)
-
-    found = _grouped(texts.select("cluster", "shard", "shards", "node", "text"), ["cluster", "shard"]).mapInArrow(shard, _LINKS)
-    links = scratch.put(found, "links")
-    if dealt.filter("shards > 1").take(1):
-        links = _across_shards(texts, dealt, links, scratch)
-
-    linked = clusters.select("node")
-    classes = components(linked, links.filter("kind < 2"), scratch, "classes")
-    named = nodes.join(classes.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select(
-        "w1", "w2", "n", "first", "copies", F.coalesce("label", "node").alias("label")
+    links = scratch.put(_links(docs, id_col, text_col, nodes, scratch).distinct(), "links")
+    ends = links.select(F.col("a").alias("node")).union(links.select("b"))
+    degree = ends.groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
+    classes = components(degree.select("node"), links, scratch, "classes").join(degree, "node")
+    named = nodes.join(classes, "node", "left").select(
+        "w1", "w2", "n", "first", "copies", F.coalesce("label", "node").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links")
     )
     named = scratch.put(named, "named")
-    whole = named.groupBy("label").agg(F.min("first").alias("best"), F.sum("copies").alias("class_size"))
-    whole = whole.withColumnRenamed("label", "_label")
-    result = named.join(whole, F.col("label") == F.col("_label")).select("w1", "w2", "n", "best", "class_size")
-    result = scratch.put(result.withColumnsRenamed({"w1": "_w1", "w2": "_w2", "n": "_nw"}), "result")
-    same = (F.col("w1") == F.col("_w1")) & (F.col("w2") == F.col("_w2")) & (F.col("n") == F.col("_nw"))
-    scratch.drop("nodes", "named", "links", "dealt", "dealt-clusters", "texts")
-    return rows.join(result, same).select(
+    whole = scratch.put(named.groupBy("label").agg(F.min("first").alias("best"), F.sum("copies").alias("class_size")), "whole")
+    result = join_hot(named, whole, ["label"], scratch, "hot-label").select("w1", "w2", "n", "best", "class_size", "n_links")
+    result = scratch.put(result, "result")
+    held = scratch.put(rows.drop("sketches"), "held")
+    scratch.drop("nodes", "named", "links", "texts", "texts1", "rows", "whole")
+    return join_hot(held, result, ["w1", "w2", "n"], scratch, "hot-words").select(
         F.col("_id").alias(id_col),
         F.col("best._id").alias("class_id"),
         "class_size",
+        "n_links",
         ((F.col("_k1") == F.col("best._k1")) & (F.col("_k2") == F.col("best._k2"))).alias("kept"),
         "_k1",
         "_k2",
     )
 
 
-def _across_shards(texts: DataFrame, dealt: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
-    """Adds the links between shards of one cluster."""
-    stars = links.filter("kind = 0").select(F.col("a").alias("_m"), F.col("b").alias("leader"))
-    large = texts.filter("shards > 1")
-    leaders = large.join(stars.filter("_m = leader"), F.col("node") == F.col("_m")).select("cluster", "node", "text", F.octet_length("text").alias("size"))
-    leaders = scratch.put(leaders, "leaders")
-    counted = leaders.groupBy("cluster").agg(
-        F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_NODES), F.ceil(F.sum("size") / (6 * BLOCK_WORDS))).cast("int").alias("blocks")
-    )
-    blocked = leaders.join(counted, "cluster").withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int"))
-    pairs = blocked.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select(
-        "cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "text"
-    )
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        far = 3 * SIMILARITY - 2
-        for (_, i, j), group in _groups(batches, 3):
-            ours = [(node, Windows(t)) for block, node, t in group if block == i]
-            theirs = ours if i == j else [(node, Windows(t)) for block, node, t in group if block == j]
-            like = likeness([w for _, w in ours], None if i == j else [w for _, w in theirs])
-            a, b = np.nonzero(np.triu(like >= far - 1e-6, 1) if i == j else like >= far - 1e-6)
-            out, classes = [], Classes()
-            for k in np.argsort(-like[a, b], kind="stable").tolist():
-                (x, v), (y, w) = ours[a[k]], theirs[b[k]]
-                if classes.find(x) != classes.find(y) and (s := similarity(v, w, far)) >= far:
-                    out.append((x, y, 1 if s >= SIMILARITY else 2))
-                    if s >= SIMILARITY:
-                        classes.join(x, y)
-            yield _links(out)
-
-    met = scratch.put(_grouped(pairs, ["cluster", "i", "j"]).mapInArrow(compare, _LINKS), "met")
-    links = links.union(met.filter("kind = 1"))
-    suspects = met.filter("kind = 2")
-    if not suspects.take(1):
-        return links
-    labels = components(dealt.filter("shards > 1").select("node"), links.join(
-        dealt.filter("shards > 1").select(F.col("node").alias("_d")), F.col("a") == F.col("_d"), "left_semi"), scratch, "suspects")
-    left, right = (labels.select(F.col("node").alias(f"_{x}"), F.col("label").alias(f"_l{x}")) for x in "ab")
-    apart = suspects.join(left, F.col("a") == F.col("_a")).join(right, F.col("b") == F.col("_b")).filter("_la <> _lb")
-    apart = scratch.put(apart.select("a", "b").distinct(), "apart")
-    members = large.join(stars, F.col("node") == F.col("_m")).select("leader", "node", "text")
-    members = scratch.put(members, "members")
-    counts = members.groupBy("leader").agg(
-        F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_NODES), F.ceil(F.sum(F.octet_length("text")) / (6 * BLOCK_WORDS))).cast("int").alias("nb"),
-        F.count(F.lit(1)).alias("held"),
-    )
-    counts = scratch.put(counts.withColumnRenamed("leader", "_c"), "counts")
-    na, nb = (counts.select(F.col("_c").alias(f"_c{x}"), F.col("nb").alias(f"n{x}"), F.col("held").alias(f"held{x}")) for x in "ab")
-    wide = apart.join(na, F.col("a") == F.col("_ca")).join(nb, F.col("b") == F.col("_cb"))
-    # Two leaders without other members have been compared already.
-    wide = wide.filter("helda > 1 or heldb > 1").select("a", "b", "na", "nb")
-    wide = scratch.put(wide, "wide")
-    sides = []
-    for side, mine, others in (("a", "na", "nb"), ("b", "nb", "na")):
-        x = wide.join(members, F.col(side) == F.col("leader")).withColumn(
-            "mine", F.pmod(F.xxhash64("node", F.lit(2)), F.col(mine)).cast("int")
-        ).withColumn("theirs", F.explode(F.expr(f"sequence(0, {others} - 1)")))
-        i, j = ("mine", "theirs") if side == "a" else ("theirs", "mine")
-        sides.append(x.select("a", "b", F.col(i).alias("i"), F.col(j).alias("j"), F.lit(side == "a").alias("left"), "node", "text"))
-
-    def members_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, group in _groups(batches, 4):
-            held = [(left, node, Windows(t)) for left, node, t in group]
-            ours, theirs = [x for x in held if x[0]], [x for x in held if not x[0]]
-            like = likeness([w for *_, w in ours], [w for *_, w in theirs])
-            a, b = np.nonzero(like >= SIMILARITY - 1e-6)
-            order = np.argsort(-like[a, b], kind="stable")
-            pairs = ((ours[a[k]], theirs[b[k]]) for k in order.tolist())
-            hit = next(((x[1], y[1]) for x, y in pairs if similarity(x[2], y[2]) >= SIMILARITY), None)
-            yield _links([(*hit, 1)] if hit else [])
-
-    more = _grouped(sides[0].union(sides[1]), ["a", "b", "i", "j"]).mapInArrow(members_of, _LINKS)
-    return links.union(scratch.put(more, "more"))
-
-
 @shielded
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with their columns, one row of each class."""
