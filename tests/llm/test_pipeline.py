@@ -72,3 +72,54 @@ def test_run_is_the_stages(spark, sf, stages):
     key = lambda r: (r.doc_id, r.start, r.length, r.doc_tokens)
     assert sorted(map(key, got.collect())) == sorted(map(key, stages["packing"].collect()))
     assert WORD.findall("a b") == ["a", "b"]
+
+
+AWKWARD = [
+    (None, None, None, None, None),
+    (1, None, "en", "a", 0),
+    (2, "", "en", None, 0),
+    (None, "no id " * 60, "en", "a", 5),
+    (None, "no id " * 60, "en", "a", 5),
+    *((i, " ".join(f"w{i}x{k}" for k in range(80)) + ".", "en", "ab"[i % 2], 1) for i in range(3, 12)),
+    (20, " ".join(f"long{k % 4001} end{k}" for k in range(60_000)), "en", "b", 1),
+    (20, " ".join(f"long{k % 4001} end{k}" for k in range(60_000)), "en", "b", 1),
+    (21, " ".join(f"long{k % 4001} end{k}" for k in range(60_000)) + " more", "en", None, 1),
+]
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_bear_awkward_rows(spark, sf, tmp_path, name):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    stage = dict(corpus_pipeline.STAGES)[name]
+    assert stage(spark, spark.createDataFrame([], schema), sf).count() == 0
+    spark.createDataFrame(AWKWARD, schema).repartition(3).write.parquet(f"{tmp_path}/a")
+    got = [(r.doc_id, None if name == "packing" else r.text) for r in stage(spark, spark.read.parquet(f"{tmp_path}/a"), sf).collect()]
+    ids = collections.Counter(i for i, _ in got)
+    if name == "quality_rules":
+        assert not any(t is None or len(t.split()) < 50 for _, t in got) and all(ids[i] for i in range(3, 12))
+    elif name == "exact_dedup":
+        # texts: null and empty; "no id"; nine; two long ones
+        assert len(got) == 2 + 9 + 2 and ids[1] == ids[20] == ids[21] == 1 and ids[None] == 1
+    elif name == "near_dedup":
+        assert sorted(i for i in ids if i is not None) == [1, *range(3, 12), 20] and len(got) == len(ids) == 12
+    elif name == "mixing":
+        assert all(ids[r[0]] >= 1 for r in AWKWARD) and len(got) >= len(AWKWARD)
+    else:
+        assert ids[1] == ids[2] == 1 and ids[None] == 3 and ids[20] == 2 * ids[21] > 2
+
+
+def test_mixing_hands_its_order_on(spark, sf, tmp_path):
+    docs = queries.table(spark, sf, "documents")
+    from voxmill.llm import mixing
+
+    want = mixing.mix_sources(docs, max_repetition=corpus_pipeline.MAX_REPETITION).orderBy("mix_slot", "mix_order", "doc_id")
+    place = {}
+    for r in want.collect():
+        place.setdefault(r.doc_id, set()).add((r.mix_slot, r.mix_order))
+    got = [r.doc_id for r in corpus_pipeline.mix(spark, docs, sf).collect()]
+    at, bad = (0.0, ""), 0
+    for i in got:
+        later = sorted(p for p in place[i] if p >= at)
+        bad += not later
+        at = later[0] if later else at
+    assert bad == 0

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import SPACE_CLASS, Scratch, shielded, whole_text
+from .common import SPACE_CLASS, Scratch, join_hot, shielded, whole_text
 
 BLOCK_BYTES = 4096
 NAME_BUCKETS = 1 << 16
@@ -56,12 +56,12 @@ def _fingerprints(salt: int) -> str:
 
 
 def sorted_names(symbols: DataFrame, n_buckets: int = NAME_BUCKETS) -> DataFrame:
-    """Integer names of the distinct pairs (k1, k2): equal pairs get equal names, others differ."""
-    distinct = symbols.select("k1", "k2").distinct()
+    """Integer names of the distinct pairs (k1, k2), and how often each occurs: equal pairs get equal names, others differ."""
+    distinct = symbols.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("held"))
     bucketed = distinct.withColumn("_bucket", F.pmod(F.xxhash64("k1", "k2"), F.lit(n_buckets)))
     rank = F.dense_rank().over(Window.partitionBy("_bucket").orderBy("k1", "k2"))
     return bucketed.select(
-        "k1", "k2", (F.shiftleft(F.col("_bucket").cast("long"), _RANK_BITS) + rank).alias("name")
+        "k1", "k2", "held", (F.shiftleft(F.col("_bucket").cast("long"), _RANK_BITS) + rank).alias("name")
     )
 
 
@@ -98,8 +98,10 @@ def exact_groups(
     )
     finished = None
     for level in range(levels + 1):
-        named = rows.join(sorted_names(rows), ["k1", "k2"]).select("row_id", "n", "pos", "name")
-        named = scratch.put(named, f"level{level}")
+        names = scratch.put(sorted_names(rows), f"names{level}")
+        named = join_hot(rows, names, ["k1", "k2"], scratch, f"hot{level}", counted="held")
+        named = scratch.put(named.select("row_id", "n", "pos", "name"), f"level{level}")
+        scratch.drop(f"names{level}", f"hot{level}")
         if level:
             scratch.drop(f"pairs{level}")
         done = named.filter("n = 1").select("row_id", F.lit(level).alias("level"), "name")
@@ -119,8 +121,10 @@ def exact_groups(
     )
     scratch.drop(*(f"level{i}" for i in range(levels + 1)), "spine")
     first = F.min(F.struct(F.col("_id").isNull().alias("no_id"), F.col("_id"), F.col("row_id")))
-    groups = identity.groupBy("level", "name").agg(first.alias("first"), F.count(F.lit(1)).alias("group_size"))
-    return identity.join(groups, ["level", "name"]).select(
+    groups = scratch.put(
+        identity.groupBy("level", "name").agg(first.alias("first"), F.count(F.lit(1)).alias("group_size")), "groups"
+    )
+    return join_hot(identity, groups, ["level", "name"], scratch, "hot", counted="group_size").select(
         F.col("_id").alias(id_col),
         F.col("first._id").alias("keep_id"),
         F.col("group_size"),
@@ -134,11 +138,9 @@ def drop_exact_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES
 ) -> DataFrame:
     """The documents with their columns, one row of each group of equal texts."""
-    kept = (
-        exact_groups(docs, id_col, text_col, block_bytes)
-        .filter("kept")
-        .select(F.col(id_col).alias("_kept_id"), F.col("text_sha256").alias("_kept_sha"))
-    )
-    marked = docs.withColumn("_sha", F.sha2(normalised(text_col), 256)).dropDuplicates([id_col, "_sha"])
-    on = marked[id_col].eqNullSafe(kept["_kept_id"]) & (marked["_sha"] == kept["_kept_sha"])
-    return marked.join(kept, on, "left_semi").select(*(marked[c] for c in docs.columns))
+    # Plain columns for the id, so that the rows without a twin and the rows to keep meet in one exchange.
+    name = [F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("_name"), F.col(id_col).isNull().alias("_no_id")]
+    key = ["_name", "_no_id", "_sha"]
+    kept = exact_groups(docs, id_col, text_col, block_bytes).filter("kept").select(*name, F.col("text_sha256").alias("_sha"))
+    marked = docs.select("*", *name, F.sha2(normalised(text_col), 256).alias("_sha")).dropDuplicates(key)
+    return marked.join(kept, key, "left_semi").select(*(F.col(c) for c in docs.columns))

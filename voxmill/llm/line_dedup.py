@@ -16,7 +16,7 @@ share is one row for each task.  Texts of documents that lose nothing are never
 Edge cases: a null text has one empty line and stays null; chunks without a word are never removed, nor empty lines at the ends of a run; a null id
 ranks behind every other id; rows that agree in id and text are one document, and all such rows get the same
 result; of two equal cuts within one document the first stays; an empty table gives no rows; extra columns
-are kept.
+are kept, but one named like an added column is an error, which ``prefix`` avoids.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, content_key, shielded
+from .common import Scratch, content_key, join_hot, shielded
 
 #: A boundary falls behind a line with a chance of 1 in MEAN_LINES.
 MEAN_LINES = 4
@@ -202,13 +202,19 @@ def repeated_cuts(
     spans = rows.join(often, F.col("h") == F.col("_h"), "left_semi").groupBy("_k1", "_k2")
     spans = scratch.put(spans.agg(F.collect_set(F.struct("kind", "start", "end", "h")).alias("_list")), "spans")
     scratch.drop("cuts")
-    found = scratch.put(_with_bytes(docs, id_col, text_col, spans), "found")
+    found = _with_bytes(docs, id_col, text_col, spans)
+    found = scratch.put(found.select("*", F.xxhash64(F.lit(3), "body").alias("d1"), F.xxhash64(F.lit(5), "body").alias("d2")), "found")
     place = F.struct(F.col("_id").isNull().alias("no_id"), "_id", "_k1", "_k2", "start")
     # Grouping by the very bytes is the comparison; equal hashes of different bytes fall apart here.
-    groups = found.groupBy("h", "kind", "body").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    groups = groups.select(F.col("h").alias("_h"), F.col("kind").alias("_kind"), F.col("body").alias("_body"), "first")
-    same = (F.col("h") == F.col("_h")) & (F.col("kind") == F.col("_kind")) & (F.col("body") == F.col("_body"))
-    removed = found.join(groups, same).filter(
+    groups = found.groupBy("h", "kind", "d1", "d2", "body").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
+    groups = scratch.put(groups.filter("n > 1"), "groups")
+    # If no two groups share a digest, which is proven here, the digest stands for the bytes in the join.
+    key = ["h", "kind", "d1", "d2"]
+    if groups.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").take(1):
+        key.append("body")
+    removed = join_hot(
+        found.select(*key, "_k1", "_k2", "start", "end"), groups.select(*key, "first", "n"), key, scratch, "hot", counted="n"
+    ).filter(
         (F.col("_k1") != F.col("first._k1")) | (F.col("_k2") != F.col("first._k2")) | (F.col("start") != F.col("first.start"))
     )
     return scratch.put(
@@ -229,6 +235,9 @@ def remove_repeated_chunks(
     """The documents with their columns, the text without repeated chunks and long runs, and under ``prefix`` the
     columns ``n_lines`` (before), ``n_removed`` (lines), ``n_chunks`` (removed), ``n_run_lines`` (removed by long runs
     alone) and ``chunks_sha256`` (of the text without the repeated chunks only, null where that is the text)."""
+    added = [f"{prefix}{x}" for x in ("n_lines", "n_removed", "n_chunks", "n_run_lines", "chunks_sha256")]
+    if clash := set(added) & set(docs.columns):
+        raise ValueError(f"the documents have columns {sorted(clash)}; give another prefix")
     scratch = Scratch(docs.sparkSession, "lines")
     removed = repeated_cuts(docs, id_col, text_col, mean_lines, min_lines, min_words, scratch)
     joined = _with_lists(docs.select("*", *content_key(id_col, text_col)), removed, "left")

@@ -33,6 +33,10 @@ N_BLOCKS = 256
 #: A plan of at most so many rows (under 100 bytes each) is broadcast; a larger one is joined by shuffle.
 BROADCAST_ROWS = 100_000
 _GRID = 64
+#: Leading hex digits by which the places in a block that is read in part are cut first.
+_DIGITS = 4
+#: A source that would be read more often than this is an error: give a budget or a repetition limit.
+MAX_EPOCHS = 10_000
 
 
 def _hash(*parts: str | Column) -> Column:
@@ -121,6 +125,9 @@ def mix_sources(
         wanted = F.floor(F.col("w") / F.lit(totals["z"] or 1.0) * F.lit(float(budget))).cast("long")
     budgets = weighed.select(F.col("src").alias("_src"), F.col("tokens").alias("total"), F.coalesce(wanted, F.lit(0)).alias("wanted"))
 
+    most = budgets.agg(F.max(F.expr("if(total > 0, wanted / total, 1)"))).first()[0]
+    if most is not None and most > MAX_EPOCHS:
+        raise ValueError(f"a source would be read {most:.0f} times; give a budget or a repetition limit")
     passes = "sequence(1, greatest(1, cast(ceil(if(total > 0, wanted / total, 1)) as int)))"
     spread = blocks.join(budgets, F.col("src").eqNullSafe(F.col("_src"))).select(
         "src", "block", "tokens", "total", "wanted", F.explode(F.expr(passes)).alias("epoch")
@@ -146,14 +153,30 @@ def mix_sources(
     )
     if part.count() <= BROADCAST_ROWS:
         part = F.broadcast(part)
-    limits = (
+    cut = ["_s", "_b", "_e"]
+    places = (
         marked.join(part, F.col("src").eqNullSafe(F.col("_s")) & (F.col("block") == F.col("_b")))
         .groupBy("_s", "_b", F.col("epoch").alias("_e"), "rest", place.alias("place"))
         .agg(F.sum("n").alias("n"))
-        .withColumn("used", F.sum("n").over(Window.partitionBy("_s", "_b", "_e").orderBy("place")))
-        .filter("used <= rest")
-        .groupBy("_s", "_b", "_e")
-        .agg(F.max("place").alias("until"))
+    )
+    # The places are cut in two steps, by their first digits and then among those with the same, so that no task sorts
+    # a block whose documents are very many.
+    digits = F.substring("place", 1, _DIGITS).alias("digits")
+    places = scratch.put(places.select("*", digits), "places")
+    steps = places.groupBy(*cut, "rest", "digits").agg(F.sum("n").alias("n"))
+    steps = steps.withColumn("used", F.sum("n").over(Window.partitionBy(*cut).orderBy("digits")))
+    edges = steps.groupBy(*cut, "rest").agg(
+        F.max(F.when(F.col("used") <= F.col("rest"), F.col("digits"))).alias("whole"),
+        F.min(F.when(F.col("used") > F.col("rest"), F.struct("digits", F.col("used") - F.col("n")))).alias("edge"),
+    ).select(*(F.col(c).alias(f"{c}0") for c in cut), "whole", F.col("edge.digits").alias("edge"), F.col("edge.col2").alias("spent"))
+    edges = scratch.put(edges, "edges")
+    at = F.col("_s").eqNullSafe(F.col("_s0")) & (F.col("_b") == F.col("_b0")) & (F.col("_e") == F.col("_e0"))
+    inside = places.join(edges, at & (F.col("digits") == F.col("edge"))).withColumn(
+        "used", F.col("spent") + F.sum("n").over(Window.partitionBy(*cut).orderBy("place"))
+    )
+    inside = inside.filter("used <= rest").groupBy(*cut).agg(F.max("place").alias("until"))
+    limits = edges.join(inside, at, "left").select(
+        *(F.col(f"{c}0").alias(c) for c in cut), F.coalesce("until", F.concat("whole", F.lit("~"))).alias("until")
     )
     same = F.col("src").eqNullSafe(F.col("_s")) & (F.col("block") == F.col("_b")) & (F.col("epoch") == F.col("_e"))
     steps = plan.join(limits, same, "left").select(

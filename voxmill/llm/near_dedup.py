@@ -342,6 +342,7 @@ def sketch_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 ],
                 ["_k1", "_k2", "_id", "w1", "w2", "n", "sketches"],
             )
+        _WORD_HASH.clear()  # the worker may go on with another operator
 
     fields = [("_k1", T.LongType()), ("_k2", T.LongType()), ("_id", docs.schema[id_col].dataType)]
     fields += [("w1", T.LongType()), ("w2", T.LongType()), ("n", T.LongType()), ("sketches", T.ArrayType(T.LongType()))]
