@@ -78,10 +78,18 @@ def cell_cases(voxels: DataFrame) -> DataFrame:
     return cells.filter("code < 255")
 
 
-def triangles(voxels: DataFrame) -> DataFrame:
-    """(label, z0, y0, x0, ... x2): triangles in doubled coordinates, counter-clockwise seen from outside."""
+def triangles(voxels: DataFrame, begin: tuple[int, int, int] | None = None, end: tuple[int, int, int] | None = None) -> DataFrame:
+    """(label, z0, y0, x0, ... x2): triangles in doubled coordinates, counter-clockwise seen from outside.
+
+    Given the region that the voxels were cut to, cells that reach out of it are left out, so what the region cuts stays
+    open; without one all surfaces are closed.
+    """
     table = F.broadcast(case_table(voxels.sparkSession))
-    cells = cell_cases(voxels).join(table, "code")
+    cells = cell_cases(voxels)
+    if begin is not None and end is not None:
+        for a, b, e in zip("zyx", begin, end, strict=True):
+            cells = cells.filter((F.col(a) >= b) & (F.col(a) + 1 < e))
+    cells = cells.join(table, "code")
     return cells.select("label", *((2 * F.col(a) + F.col(f"{a}{i}")).alias(f"{a}{i}") for i in range(3) for a in "zyx"))
 
 

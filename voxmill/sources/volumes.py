@@ -1,23 +1,29 @@
 """Chunked volumes (Zarr 2 and 3, N5) as voxel rows.
 
-Metadata is a few small files, read through Spark's own file system layer, so any store that Spark reaches will do.
-Chunks are read as binary files, one row each, and decoded in Arrow batches; chunks outside a region are pruned by
-their name before any is opened.  Absent chunks are background.
+Metadata is a few small files, read through Spark's own file system layer, so any store that Spark reaches will do, or by
+HTTP.  Chunks are read one row each and decoded in Arrow batches.  Of a region only the chunks that it meets are opened:
+their names are listed, as a pattern for a file system and one by one for HTTP.  An absent chunk holds the fill value.
 """
 
 from __future__ import annotations
 
 import json
+import math
+import random
 import re
+import time
 import zlib
 from collections.abc import Iterator
 from typing import Any, NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import codecs
+
 
 def split_container(path: str) -> tuple[str, str]:
     """The path up to the last part that ends in .zarr or .n5, and the rest; without one, all and nothing."""
@@ -27,8 +33,40 @@ def split_container(path: str) -> tuple[str, str]:
     return path[: found[-1].end()], path[found[-1].end() :].strip("/")
 
 
+#: How often a read over HTTP is tried, and its first and longest pause in seconds.
+ATTEMPTS, PAUSE, LONGEST = 10, 1.0, 30.0
+
+
+def over_http(path: str) -> bool:
+    return path.startswith(("http://", "https://"))
+
+
+def fetched(url: str, attempts: int = ATTEMPTS, pause: float = PAUSE) -> bytes | None:
+    """What a URL gives, or None if there is nothing (404, or 403 as object stores say); other failures are tried again,
+    each time after a longer pause."""
+    from urllib.error import HTTPError
+    from urllib.request import urlopen
+
+    for attempt in range(1, attempts + 1):
+        try:
+            with urlopen(url, timeout=5 * attempt) as answer:
+                return answer.read()
+        except HTTPError as e:
+            if e.code in (403, 404, 410):
+                return None
+            if attempt == attempts:
+                raise
+        except OSError:
+            if attempt == attempts:
+                raise
+        time.sleep(min(LONGEST, pause * 1.3 ** (attempt - 1)) * (0.5 + random.random()))
+    return None
+
+
 def read_bytes(spark: SparkSession, path: str) -> bytes | None:
     """A small file's content, or None if there is none."""
+    if over_http(path):
+        return fetched(path)
     jvm, sc = spark.sparkContext._jvm, spark.sparkContext
     target = jvm.org.apache.hadoop.fs.Path(path)
     fs = target.getFileSystem(sc._jsc.hadoopConfiguration())
@@ -59,85 +97,182 @@ def attributes(spark: SparkSession, path: str) -> dict:
 
 
 class Layout(NamedTuple):
-    """Shape and chunks in order z, y, x; ``pattern`` finds a chunk's place in its file name."""
+    """Shape and chunks in the order of the stored axes (N5 turned, so that its last axis is contiguous too); ``codecs`` as
+    Zarr 3 names them; ``axes`` a name for each axis."""
 
     kind: str
+    path: str
     shape: tuple[int, ...]
     chunks: tuple[int, ...]
     dtype: str
-    codec: str
+    codecs: list[dict]
+    fill: int
+    prefix: str
     separator: str
+    axes: tuple[str, ...]
+
 
+_N5_CODECS = {"lz4": "lz4_blocks"}
 
-_V3 = {"bytes", "gzip", "zstd"}
+
+def _whole_fill(value: Any) -> int:
+    """A fill value as a label: nothing, false and not-a-number are background."""
+    if value is None or isinstance(value, str) and not value.lstrip("-").isdigit():
+        return 0
+    return int(value)
+
+
+def _axes(spark: SparkSession, path: str, n: int, named: list | None, turned: bool) -> tuple[str, ...]:
+    """Axis names from the array, its attributes or its multiscale group; else z, y, x behind whatever comes before."""
+    own = attributes(spark, path)
+    above = attributes(spark, path.rstrip("/").rpartition("/")[0])
+    group = (above.get("multiscales") or (above.get("ome") or {}).get("multiscales") or [{}])[0].get("axes")
+    for names in (named, own.get("_ARRAY_DIMENSIONS"), own.get("axis_names"), own.get("axes"), group):
+        if isinstance(names, list) and len(names) == n:
+            names = [str(x["name"] if isinstance(x, dict) else x).lower() for x in names]
+            names = names[::-1] if turned and names is not group and names[:1] == ["x"] else names
+            if set("zyx") <= set(names):
+                return tuple(names)
+    return (*(f"axis{i}" for i in range(n - 3)), *"zyx"[-min(3, n) :])
 
 
 def layout(spark: SparkSession, path: str) -> Layout:
+    """The array at a path; of a multiscale group the first dataset."""
+    path = path.rstrip("/")
     if (doc := read_json(spark, f"{path}/.zarray")) is not None:
-        codec = (doc.get("compressor") or {"id": "raw"})["id"]
-        return Layout("zarr", tuple(doc["shape"]), tuple(doc["chunks"]), doc["dtype"], codec, doc.get("dimension_separator", "."))
+        if doc.get("filters"):
+            raise ValueError(f"unsupported filters {[f.get('id') for f in doc['filters']]}")
+        shape = tuple(doc["shape"])
+        steps: list[dict] = [{"name": "bytes"}]
+        if doc.get("order", "C") == "F":
+            steps.insert(0, {"name": "transpose", "configuration": {"order": list(range(len(shape)))[::-1]}})
+        steps.append({"name": (doc.get("compressor") or {"id": "raw"})["id"]})
+        codecs.check(steps)
+        return Layout(
+            "zarr", path, shape, tuple(doc["chunks"]), doc["dtype"], steps, _whole_fill(doc.get("fill_value")), "",
+            doc.get("dimension_separator", "."), _axes(spark, path, len(shape), None, False),
+        )
     if (doc := read_json(spark, f"{path}/zarr.json")) is not None and doc.get("node_type", "array") == "array":
-        names = [c["name"] for c in doc.get("codecs", [])]
-        if set(names) - _V3:
-            raise ValueError(f"unsupported codecs {sorted(set(names) - _V3)}")
-        big = any((c.get("configuration") or {}).get("endian") == "big" for c in doc["codecs"])
-        codec = next((n for n in names if n != "bytes"), "raw")
-        dtype = np.dtype(doc["data_type"]).newbyteorder(">" if big else "<").str
-        separator = (doc.get("chunk_key_encoding", {}).get("configuration") or {}).get("separator", "/")
-        return Layout("zarr3", tuple(doc["shape"]), tuple(doc["chunk_grid"]["configuration"]["chunk_shape"]), dtype, codec, separator)
+        steps = doc.get("codecs", [{"name": "bytes"}])
+        codecs.check(steps)
+        shape, keys = tuple(doc["shape"]), doc.get("chunk_key_encoding", {})
+        plain = keys.get("name") == "v2"
+        separator = (keys.get("configuration") or {}).get("separator", "." if plain else "/")
+        dtype = codecs.dtype_of(doc["data_type"], steps).str
+        return Layout(
+            "zarr3", path, shape, tuple(doc["chunk_grid"]["configuration"]["chunk_shape"]), dtype, steps, _whole_fill(doc.get("fill_value")),
+            "" if plain else "c" + separator, separator, _axes(spark, path, len(shape), doc.get("dimension_names"), False),
+        )
     if (doc := read_json(spark, f"{path}/attributes.json")) is not None and "dimensions" in doc:
-        codec = doc.get("compression", {"type": "raw"})["type"]
-        dtype = np.dtype(doc["dataType"]).newbyteorder(">").str
-        return Layout("n5", tuple(doc["dimensions"][::-1]), tuple(doc["blockSize"][::-1]), dtype, codec, "/")
+        name = doc.get("compression", {"type": doc.get("compressionType", "raw")})["type"]
+        steps = [{"name": "bytes"}, {"name": _N5_CODECS.get(name, name)}]
+        codecs.check(steps)
+        shape, dtype = tuple(doc["dimensions"][::-1]), np.dtype(doc["dataType"]).newbyteorder(">").str
+        return Layout(
+            "n5", path, shape, tuple(doc["blockSize"][::-1]), dtype, steps, 0, "", "/", _axes(spark, path, len(shape), None, True)
+        )
+    attrs = attributes(spark, path)
+    scales = attrs.get("multiscales") or (attrs.get("ome") or {}).get("multiscales")
+    if scales and scales[0].get("datasets"):
+        return layout(spark, f"{path}/{scales[0]['datasets'][0]['path']}")
     raise FileNotFoundError(f"no array at {path}")
 
 
-def decoded(raw: bytes, spec: Layout) -> np.ndarray:
+def decoded(raw: bytes | None, spec: Layout) -> np.ndarray:
+    """A chunk, in the order of the axes; one that is absent holds the fill value."""
     shape = spec.chunks
+    if raw is None:
+        return np.full(shape, spec.fill, np.dtype(spec.dtype))
     if spec.kind == "n5":
         n = int.from_bytes(raw[2:4], "big")
         shape = tuple(int.from_bytes(raw[4 + 4 * i : 8 + 4 * i], "big") for i in range(n))[::-1]
-        raw = raw[4 + 4 * n :]
-    if spec.codec in ("gzip", "zlib"):
-        raw = zlib.decompress(raw, 47)
-    elif spec.codec == "zstd":
-        import zstandard
-
-        raw = zstandard.ZstdDecompressor().decompressobj().decompress(raw)
-    elif spec.codec not in ("raw", "bytes"):
-        raise ValueError(f"unsupported compression {spec.codec!r}; known: raw, gzip, zlib, zstd")
-    return np.frombuffer(raw, np.dtype(spec.dtype)).reshape(shape)
+        raw = raw[4 + 4 * n + (4 if int.from_bytes(raw[:2], "big") == 1 else 0) :]
+    return codecs.decode(raw, shape, np.dtype(spec.dtype), spec.codecs, spec.fill)
+
+
+def _chunk_rows(spark: SparkSession, spec: Layout, ranges: list[tuple[int, int]], whole: bool) -> DataFrame:
+    """(c0, c1, ..., content) of the chunks in half-open ranges of places; content is null where a chunk is absent, and
+    such rows are only there if they are worth reading."""
+    names = [f"c{i}" for i in range(len(spec.shape))]
+    on_disk = names[::-1] if spec.kind == "n5" else names
+    grid = spark.range(math.prod(max(0, b - a) for a, b in ranges))
+    step = 1
+    for name, (a, b) in list(zip(names, ranges, strict=True))[::-1]:
+        grid = grid.withColumn(name, F.floor(F.col("id") / step) % max(1, b - a) + a)
+        step *= max(1, b - a)
+    grid = grid.select(*(F.col(n).cast("long").alias(n) for n in names))
+    if over_http(spec.path):
+        url = F.concat(F.lit(f"{spec.path}/{spec.prefix}"), F.concat_ws(spec.separator, *(F.col(n).cast("string") for n in on_disk)))
+
+        def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i, one in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
+                    raw = fetched(one)
+                    if raw is not None or spec.fill:
+                        row = batch.slice(i, 1)
+                        yield pa.RecordBatch.from_arrays([*row.columns[:-1], pa.array([raw], pa.binary())], [*names, "content"])
+
+        spread = grid.repartition(spark.sparkContext.defaultParallelism, *names)
+        return spread.select(*names, url.alias("url")).mapInArrow(fetch, ", ".join(f"{n} long" for n in names) + ", content binary")
+    place = "/" + re.escape(spec.prefix) + re.escape(spec.separator).join(["([0-9]+)"] * len(names)) + "$"
+    files = spark.read.format("binaryFile")
+    if whole:
+        found = files.option("recursiveFileLookup", "true").load(spec.path)
+    else:
+        # A pattern that only the wanted names match, so no other chunk is opened.
+        some = lambda a, b: str(a) if b == a + 1 else "{" + ",".join(map(str, range(a, b))) + "}"
+        disk_ranges = ranges[::-1] if spec.kind == "n5" else ranges
+        try:
+            found = files.load(f"{spec.path}/{spec.prefix}" + spec.separator.join(some(a, b) for a, b in disk_ranges))
+        except AnalysisException:  # not one of them is there
+            found = spark.createDataFrame([], "path string, content binary")
+    found = found.filter(F.col("path").rlike(place)).select(
+        *(F.regexp_extract("path", place, on_disk.index(n) + 1).cast("long").alias(n) for n in names), "content"
+    )
+    if not spec.fill:
+        return found
+    there = found.select(*names)
+    return found.unionByName(grid.join(there, names, "left_anti").withColumn("content", F.lit(None).cast("binary")))
 
 
 def read_voxels(
-    spark: SparkSession, path: str, begin: tuple[int, int, int] | None = None, end: tuple[int, int, int] | None = None
+    spark: SparkSession,
+    path: str,
+    begin: tuple[int, int, int] | None = None,
+    end: tuple[int, int, int] | None = None,
+    others: dict[str, int] | None = None,
 ) -> DataFrame:
-    """(z, y, x, label) of the voxels that are not 0, of the whole volume or a half-open box."""
+    """(z, y, x, label) of the voxels that are not 0, of the whole volume or a half-open box; what lies outside the volume is
+    0.  Of further axes, as channels or times, one place is read: that in ``others``, or the first."""
     spec = layout(spark, path)
-    if len(spec.shape) != 3:
-        raise ValueError("only volumes with three axes are read as voxels")
-    sep = re.escape(spec.separator)
-    place = ("c" + sep if spec.kind == "zarr3" else "") + sep.join(["([0-9]+)"] * 3) + "$"
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    order = (3, 2, 1) if spec.kind == "n5" else (1, 2, 3)
-    chunks = files.filter(F.col("path").rlike(f"/{place}")).select(
-        *(F.regexp_extract("path", f"/{place}", i).cast("long").alias(f"c{a}") for a, i in zip("zyx", order, strict=True)), "content"
-    )
-    low, high = begin or (0, 0, 0), end or spec.shape
-    for a, size, b, e in zip("zyx", spec.chunks, low, high, strict=True):
-        chunks = chunks.filter((F.col(f"c{a}") * size < e) & ((F.col(f"c{a}") + 1) * size > b))
+    if len(spec.shape) < 3:
+        raise ValueError("a volume has three axes")
+    whole = begin is None and end is None and len(spec.shape) == 3
+    axes = [spec.axes.index(a) for a in "zyx"]
+    low, high = [0] * len(spec.shape), list(spec.shape)
+    for i, name in enumerate(spec.axes):
+        if i not in axes:
+            low[i] = (others or {}).get(name, 0)
+            high[i] = low[i] + 1
+    for i, b, e in zip(axes, begin or (0, 0, 0), end or [spec.shape[i] for i in axes], strict=True):
+        low[i], high[i] = max(0, b), min(e, spec.shape[i])
+    ranges = [(b // c, max(b // c, -(-e // c))) for b, e, c in zip(low, high, spec.chunks, strict=True)]
+    if any(a >= b for a, b in ranges):
+        return spark.createDataFrame([], "z long, y long, x long, label long")
+    chunks = _chunk_rows(spark, spec, ranges, whole)
 
     def voxels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for *at, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for k in range(batch.num_rows):
+                *at, raw = (c[k].as_py() for c in batch.columns)
                 data = decoded(raw, spec)
                 spots = np.nonzero(data)
                 label = data[spots].astype(np.int64)
                 spots = [s + c * n for s, c, n in zip(spots, at, spec.chunks, strict=True)]
                 inside = np.ones(len(label), bool)
-                for s, b, e, size in zip(spots, low, high, spec.shape, strict=True):
-                    inside &= (s >= b) & (s < min(e, size))
-                yield pa.RecordBatch.from_arrays([*(pa.array(s[inside]) for s in spots), pa.array(label[inside])], ["z", "y", "x", "label"])
+                for s, b, e in zip(spots, low, high, strict=True):
+                    inside &= (s >= b) & (s < e)
+                yield pa.RecordBatch.from_arrays([*(pa.array(spots[i][inside]) for i in axes), pa.array(label[inside])], ["z", "y", "x", "label"])
 
     return chunks.mapInArrow(voxels, "z long, y long, x long, label long")
 
