@@ -1,8 +1,10 @@
 """python -m voxmill COMMAND ...: the whole flows from files to files.
 
     meshes VOLUME OUT [--factor N] [--method M] [--reduction R] [--smoothing N] [--region "z y x z y x"]
+           [--max-blocks N] [--single-level]
     levels MESHES OUT [--lods N] [--decimation F] [--box B] [--properties CSV --id-column NAME]
     skeletons MESHES OUT [--least-branch L] [--tolerance T]
+    skeletonize-single MESH OUT
     analyze MESHES OUT
 
 Folders must be ones that all machines share.  Spark settings come from the environment, as for spark-submit.
@@ -26,6 +28,8 @@ def _write(path: str, text: str) -> None:
 
 
 def meshes(spark: SparkSession, a: argparse.Namespace) -> None:
+    from .operators import volume
+    from .operators.scratch import kept
     from .plans import pipelines
     from .sources import formats, listing, volumes
 
@@ -35,10 +39,26 @@ def meshes(spark: SparkSession, a: argparse.Namespace) -> None:
         low, high = listing.parsed_region(a.region)
         begin, end = (tuple(int(round((v - o) / s)) for v, o, s in zip(at, offset, size, strict=True)) for at in (low, high))
     voxels = volumes.read_voxels(spark, a.source, begin, end)
-    got = pipelines.meshes_of_volume(voxels, a.factor, a.method, reduction=a.reduction, smoothing=a.smoothing)
     # The lattice is in voxels; sizes and offsets are z, y, x and meshes x, y, z.
-    scale = F.transform("vertices", lambda p: F.array(*(p[i] * size[2 - i] + offset[2 - i] for i in range(3))))
-    got = got.withColumn("vertices", scale)
+    got = kept(
+        pipelines.meshes_of_volume(
+            voxels, a.factor, a.method, tuple(size[::-1]), tuple(offset[::-1]), reduction=a.reduction, smoothing=a.smoothing,
+            max_blocks=a.max_blocks, region=(begin, end) if a.region else None,
+        )
+    )
+    if a.max_blocks is not None:
+        left = pipelines.rejected_segments(volume.downsample(voxels, a.factor, a.method) if a.factor > 1 else voxels, a.max_blocks)
+        files = left.select(F.concat("segment_id", F.lit(".txt")).alias("name"), F.col("message").cast("binary").alias("payload"))
+        formats.write_payloads(files, f"{a.out}/too_big_skipped", "name")
+    if a.single_level:
+        files = kept(formats.single_level_files(got))
+        formats.write_payloads(files.select("segment_id", F.col("data").alias("payload")), a.out, "segment_id")
+        formats.write_payloads(files.select(F.concat("segment_id", F.lit(".index")).alias("name"), F.col("fragment_index").alias("payload")), a.out, "name")
+        ids = [str(r["segment_id"]) for r in files.select("segment_id").orderBy("segment_id").toLocalIterator()]
+        label = {"id": "label", "type": "label", "values": [""] * len(ids)}
+        _write(f"{a.out}/segment_properties/info", json.dumps({"@type": "neuroglancer_segment_properties", "inline": {"ids": ids, "properties": [label]}}))
+        _write(f"{a.out}/info", formats.multilod_info(properties=True))
+        return
     formats.write_payloads(formats.mesh_payloads(got), a.out, "segment_id")
     manifest = got.select(F.concat("segment_id", F.lit(":0")).alias("name"), F.to_json(F.struct(F.array(F.col("segment_id").cast("string")).alias("fragments"))).cast("binary").alias("payload"))
     formats.write_payloads(manifest, a.out, "name")
@@ -68,7 +88,7 @@ def skeletons(spark: SparkSession, a: argparse.Namespace) -> None:
     from .sources import formats
 
     found = kept(pipelines.skeletons_of_meshes(formats.read_meshes(spark, a.source)))
-    pipelines.skeleton_metrics(found, a.least_branch).coalesce(1).write.mode("overwrite").csv(f"{a.out}/metrics", header=True)
+    pipelines.skeleton_metrics(found, a.least_branch).write.mode("overwrite").csv(f"{a.out}/metrics", header=True)
 
     def packed(nodes: np.ndarray, edges: list) -> list[tuple]:
         nodes, edges = kernels.pruned(nodes, edges, a.least_branch)
@@ -78,6 +98,22 @@ def skeletons(spark: SparkSession, a: argparse.Namespace) -> None:
     _write(f"{a.out}/skeletons/info", formats.skeleton_info())
 
 
+def skeletonize_single(spark: SparkSession, a: argparse.Namespace) -> None:
+    """One mesh file, or all of a folder, to text: v x y z radius, then e i j."""
+    from .plans import pipelines
+    from .sources import formats
+
+    def text(nodes: np.ndarray, edges: list) -> list[tuple]:
+        lines = ["v %.9g %.9g %.9g %.9g" % tuple(n) for n in nodes] + [f"e {i} {j}" for i, j in edges]
+        return [("\n".join(lines).encode() + b"\n",)]
+
+    from .operators import kernels
+
+    found = pipelines.skeletons_of_meshes(formats.read_meshes(spark, a.source))
+    files = kernels.per_skeleton(found, text, "payload binary")
+    formats.write_payloads(files.withColumn("name", F.concat("skel_id", F.lit(".txt"))), a.out, "name")
+
+
 def analyze(spark: SparkSession, a: argparse.Namespace) -> None:
     from .operators import kernels
     from .operators.scratch import kept
@@ -85,14 +121,14 @@ def analyze(spark: SparkSession, a: argparse.Namespace) -> None:
     from .sources import formats
 
     vertices, faces = kernels.flat(kept(formats.read_meshes(spark, a.source)))
-    pipelines.mesh_metrics(vertices, faces).coalesce(1).write.mode("overwrite").csv(f"{a.out}/metrics", header=True)
+    pipelines.mesh_metrics(vertices, faces).write.mode("overwrite").csv(f"{a.out}/metrics", header=True)
 
 
 def main(args: list[str] | None = None, spark: SparkSession | None = None) -> None:
     parser = argparse.ArgumentParser(prog="voxmill", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
     commands = parser.add_subparsers(dest="command", required=True)
-    for f in (meshes, levels, skeletons, analyze):
-        p = commands.add_parser(f.__name__)
+    for f in (meshes, levels, skeletons, skeletonize_single, analyze):
+        p = commands.add_parser(f.__name__.replace("_", "-"))
         p.set_defaults(run=f)
         p.add_argument("source")
         p.add_argument("out")
@@ -102,6 +138,8 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> No
             p.add_argument("--reduction", type=float)
             p.add_argument("--smoothing", type=int, default=0)
             p.add_argument("--region")
+            p.add_argument("--max-blocks", type=int)
+            p.add_argument("--single-level", action="store_true")
         elif f is levels:
             p.add_argument("--lods", type=int, default=3)
             p.add_argument("--decimation", type=int, default=4)

@@ -182,13 +182,44 @@ def boundary_loops(faces: np.ndarray) -> list[list[int]]:
     return loops
 
 
+def parted_fans(vertices: np.ndarray, faces: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A vertex whose faces fall into several fans, each linked by edges, becomes one vertex for each."""
+    faces, added = faces.copy(), []
+    of = defaultdict(list)
+    for i, f in enumerate(faces.tolist()):
+        for v in f:
+            of[v].append(i)
+    for v in sorted(of):
+        rest, fans = set(of[v]), []
+        by_corner = defaultdict(list)
+        for i in of[v]:
+            for w in faces[i].tolist():
+                if w != v:
+                    by_corner[w].append(i)
+        while rest:
+            fan, queue = set(), [min(rest)]
+            while queue:
+                i = queue.pop()
+                if i in rest:
+                    rest.discard(i)
+                    fan.add(i)
+                    queue += [j for w in faces[i].tolist() if w != v for j in by_corner[w]]
+            fans.append(fan)
+        for fan in fans[1:]:
+            for i in fan:
+                faces[i][faces[i] == v] = len(vertices) + len(added)
+            added.append(vertices[v])
+    return (np.vstack([vertices, np.array(added)]) if added else vertices), faces
+
+
 def repaired(vertices: np.ndarray, faces: np.ndarray, max_hole: int = 30) -> tuple[np.ndarray, np.ndarray]:
-    """Merged and compacted; at edges with more than two faces only the first two stay; holes of up to
-    ``max_hole`` edges are closed by a fan; wound alike."""
+    """Merged and compacted; at edges with more than two faces only the first two stay; a vertex where fans of faces touch
+    becomes one for each fan; holes of up to ``max_hole`` edges are closed by a fan; wound alike."""
     vertices, faces = merged(vertices, faces)
     extra = {i for held in _edge_faces(faces).values() for i in held[2:]}
     if extra:
         faces = faces[[i for i in range(len(faces)) if i not in extra]]
+    vertices, faces = parted_fans(vertices, faces)
     vertices, faces = oriented(vertices, faces)
     caps = [(loop[0], loop[i], loop[i + 1]) for loop in boundary_loops(faces) if len(loop) <= max_hole for i in range(1, len(loop) - 1)]
     if caps:
@@ -275,6 +306,85 @@ def simplified(vertices: np.ndarray, faces: np.ndarray, target: int, keep_border
     return compacted(pos, np.array(list(alive.values()), np.int64).reshape(-1, 3))
 
 
+def reduction_target(n_faces: int, reduction: float, n_boundary: int = 0) -> int:
+    """How many faces a reduction leaves: 12 at least, and two for each border vertex that is held, as else the inside would
+    collapse into fans."""
+    return max(12, int((1 - reduction) * n_faces), 2 * n_boundary)
+
+
+def swept(vertices: np.ndarray, faces: np.ndarray, target: int, keep_border: bool = True, share: float = 0.25) -> tuple[np.ndarray, np.ndarray]:
+    """Edges are collapsed in sweeps, without a queue: in each, all edges' costs are worked out at once, and of the cheapest
+    ``share`` those go that touch nothing changed in that sweep.  Faster than ``simplified`` on large meshes, and less exact.
+    """
+    pos, tris = vertices.astype(float).copy(), faces.copy()
+    while len(tris) > target:
+        a, b, c = (pos[tris[:, i]] for i in range(3))
+        n = np.cross(b - a, c - a)
+        size = np.linalg.norm(n, axis=1, keepdims=True)
+        n = n / np.maximum(size, 1e-30)
+        plane = np.column_stack([n, -np.einsum("ij,ij->i", n, a)])
+        own = np.einsum("ij,ik->ijk", plane, plane) * size[:, :, None] / 2
+        quadric = np.zeros((len(pos), 4, 4))
+        for i in range(3):
+            np.add.at(quadric, tris[:, i], own)
+        ends = np.sort(np.vstack([tris[:, [0, 1]], tris[:, [1, 2]], tris[:, [2, 0]]]), axis=1)
+        ends, times = np.unique(ends, axis=0, return_counts=True)
+        border = np.zeros(len(pos), bool)
+        if keep_border:
+            border[ends[times == 1].ravel()] = True
+        ends = ends[~(border[ends[:, 0]] & border[ends[:, 1]])]
+        middle = (pos[ends[:, 0]] + pos[ends[:, 1]]) / 2
+        for i in range(2):
+            held = border[ends[:, i]]
+            middle[held] = pos[ends[held, i]]
+        h = np.column_stack([middle, np.ones(len(ends))])
+        cost = np.einsum("ij,ijk,ik->i", h, quadric[ends[:, 0]] + quadric[ends[:, 1]], h)
+        of = defaultdict(list)
+        for i, f in enumerate(tris.tolist()):
+            for v in f:
+                of[v].append(i)
+        dirty, gone, left = set(), set(), len(tris)
+        for k in np.argsort(cost, kind="stable")[: max(1, int(share * len(ends)))].tolist():
+            x, y = ends[k].tolist()
+            if left <= target or x in dirty or y in dirty:
+                continue
+            rx, ry = ({w for i in of[v] for w in tris[i].tolist()} for v in (x, y))
+            shared = set(of[x]) & set(of[y])
+            if dirty & (rx | ry) or len((rx & ry) - {x, y}) != len(shared):
+                continue
+            moved = [i for v in (x, y) for i in of[v] if i not in shared]
+            now = np.array([[middle[k] if v in (x, y) else pos[v] for v in tris[i].tolist()] for i in moved]).reshape(-1, 3, 3)
+            was = pos[tris[moved]].reshape(-1, 3, 3)
+            n0, n1 = (np.cross(t[:, 1] - t[:, 0], t[:, 2] - t[:, 0]) for t in (was, now))
+            if (np.einsum("ij,ij->i", n0, n1) <= 0.2 * np.linalg.norm(n0, axis=1) * np.linalg.norm(n1, axis=1)).any():
+                continue
+            pos[x] = middle[k]
+            for i in of[y]:
+                tris[i][tris[i] == y] = x
+            gone |= shared
+            left -= len(shared)
+            dirty |= rx | ry
+        if not gone:
+            break
+        keep = np.ones(len(tris), bool)
+        keep[list(gone)] = False
+        tris = tris[keep]
+    return compacted(pos, tris)
+
+
+BACKENDS = {"queue": simplified, "sweep": swept}
+
+
+def simplified_block(
+    vertices: np.ndarray, faces: np.ndarray, reduction: float, keep_border: bool = True, backend: str = "queue"
+) -> tuple[np.ndarray, np.ndarray]:
+    """One block's part of a surface, reduced by itself; with its border held, the pieces of neighbouring blocks still fit."""
+    if not len(faces):
+        return vertices, faces
+    border = {x for e, held in _edge_faces(faces).items() if len(held) == 1 for x in e} if keep_border else set()
+    return BACKENDS[backend](vertices, faces, reduction_target(len(faces), reduction, len(border)), keep_border)
+
+
 def smoothed(vertices: np.ndarray, faces: np.ndarray, iterations: int, lamb: float = 0.5, mu: float = -0.53, fixed: np.ndarray | None = None) -> np.ndarray:
     """Taubin steps on all vertices but the fixed ones."""
     pairs = np.unique(np.sort(np.vstack([faces[:, [0, 1]], faces[:, [1, 2]], faces[:, [2, 0]]]), axis=1), axis=0) if len(faces) else np.zeros((0, 2), int)
@@ -339,42 +449,74 @@ def oriented_extents(vertices: np.ndarray, steps: int = 24) -> np.ndarray:
     return np.sort(best[1])
 
 
+def first_hits(origins: np.ndarray, ways: np.ndarray, a: np.ndarray, e1: np.ndarray, e2: np.ndarray, leaf: int = 16) -> np.ndarray:
+    """How far each ray goes to the first triangle (a, a + e1, a + e2) beyond 0.001, infinity if it meets none.
+
+    Triangles are halved by their middles, along the longest side of their box, into a tree; a set of rays goes down it
+    together, and only into boxes that a ray meets before what it has met already.
+    """
+    best = np.full(len(origins), np.inf)
+    with np.errstate(divide="ignore"):
+        inverse = 1.0 / ways
+    corners = np.stack([a, a + e1, a + e2])
+    low, high, middle = corners.min(0), corners.max(0), corners.mean(0)
+    stack = [(np.arange(len(a)), np.arange(len(origins)))]
+    while stack:
+        held, rays = stack.pop()
+        with np.errstate(invalid="ignore"):
+            to_low = (low[held].min(0) - 1e-9 - origins[rays]) * inverse[rays]
+            to_high = (high[held].max(0) + 1e-9 - origins[rays]) * inverse[rays]
+        enter = np.fmax.reduce(np.fmin(to_low, to_high), axis=1)
+        leave = np.fmin.reduce(np.fmax(to_low, to_high), axis=1)
+        rays = rays[(leave >= np.maximum(enter, 0)) & (enter < best[rays])]
+        if not len(rays):
+            continue
+        if len(held) > leaf:
+            axis = int((high[held].max(0) - low[held].min(0)).argmax())
+            order = held[np.argsort(middle[held, axis], kind="stable")]
+            stack += [(order[: len(order) // 2], rays), (order[len(order) // 2 :], rays)]
+            continue
+        o, d = origins[rays, None], ways[rays, None]
+        h = np.cross(d, e2[held])
+        det = np.einsum("rtk,tk->rt", h, e1[held])
+        ok = np.abs(det) > 1e-12
+        inv = np.where(ok, 1 / np.where(ok, det, 1), 0)
+        s = o - a[held]
+        u = inv * np.einsum("rtk,rtk->rt", s, h)
+        q = np.cross(s, e1[held])
+        w = inv * np.einsum("rtk,rtk->rt", q, np.broadcast_to(d, q.shape))
+        t = inv * np.einsum("rtk,tk->rt", q, e2[held])
+        t = np.where(ok & (u >= 0) & (w >= 0) & (u + w <= 1) & (t > 1e-3), t, np.inf).min(1)
+        best[rays] = np.minimum(best[rays], t)
+    return best
+
+
 def thickness(vertices: np.ndarray, faces: np.ndarray, rays: int = 9, cone: float = math.radians(60)) -> np.ndarray:
     """Per vertex the mean length of rays inwards in a cone to the far side, lengths beyond one deviation of the median
     left out; not-a-number where none hits."""
+    out = np.full(len(vertices), np.nan)
+    if not len(faces):
+        return out
     a, b, c = (vertices[faces[:, i]] for i in range(3))
     flat_normals = np.cross(b - a, c - a)
     normal = np.zeros_like(vertices)
     for i in range(3):
         np.add.at(normal, faces[:, i], flat_normals)
     normal /= np.maximum(np.linalg.norm(normal, axis=1, keepdims=True), 1e-12)
-    out = np.full(len(vertices), np.nan)
-    e1, e2 = b - a, c - a
+    inward = -normal
+    other = np.where(np.abs(inward[:, :1]) < 0.9, [[1.0, 0, 0]], [[0, 1.0, 0]])
+    side = np.cross(inward, other)
+    side /= np.maximum(np.linalg.norm(side, axis=1, keepdims=True), 1e-12)
+    up = np.cross(inward, side)
+    origins, lengths = vertices + 1e-4 * inward, np.empty((rays, len(vertices)))
+    for k in range(rays):
+        tilt = 0.0 if k == 0 else cone / 2 * (0.5 + 0.5 * (k % 2))
+        turn = 2 * math.pi * k / max(1, rays - 1)
+        way = math.cos(tilt) * inward + math.sin(tilt) * (math.cos(turn) * side + math.sin(turn) * up)
+        lengths[k] = first_hits(origins, way, a, b - a, c - a)
     for v in range(len(vertices)):
-        inward = -normal[v]
-        side = np.cross(inward, [1.0, 0, 0] if abs(inward[0]) < 0.9 else [0, 1.0, 0])
-        side /= max(np.linalg.norm(side), 1e-12)
-        up = np.cross(inward, side)
-        lengths = []
-        for k in range(rays):
-            tilt = 0.0 if k == 0 else cone / 2 * (0.5 + 0.5 * (k % 2))
-            turn = 2 * math.pi * k / max(1, rays - 1)
-            d = math.cos(tilt) * inward + math.sin(tilt) * (math.cos(turn) * side + math.sin(turn) * up)
-            origin = vertices[v] + 1e-4 * inward
-            h = np.cross(d, e2)
-            det = np.einsum("ij,ij->i", e1, h)
-            ok = np.abs(det) > 1e-12
-            inv = np.where(ok, 1 / np.where(ok, det, 1), 0)
-            s = origin - a
-            u = inv * np.einsum("ij,ij->i", s, h)
-            q = np.cross(s, e1)
-            w = inv * (q @ d)
-            t = inv * np.einsum("ij,ij->i", e2, q)
-            hit = ok & (u >= 0) & (w >= 0) & (u + w <= 1) & (t > 1e-3)
-            if hit.any():
-                lengths.append(t[hit].min())
-        if lengths:
-            x = np.array(lengths)
+        x = lengths[np.isfinite(lengths[:, v]), v]
+        if len(x):
             near = np.abs(x - np.median(x)) <= x.std() + 1e-12
             out[v] = x[near].mean()
     return out
@@ -460,15 +602,14 @@ def _length(nodes: np.ndarray, path: list[int]) -> float:
 
 
 def pruned(nodes: np.ndarray, edges: list[tuple[int, int]], least: float) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """Again and again the shortest branch below ``least`` that ends free on just one side goes, never the whole."""
+    """Again and again the shortest branch below ``least`` with a branch point at just one of its ends goes, never the whole."""
     edges = [(min(e), max(e)) for e in edges]
     while True:
         near = _adjacent(edges)
         found = []
         for path in polylines(len(nodes), edges):
             branchy = [len(near[x]) > 2 for x in (path[0], path[-1])]
-            free = [len(near[x]) == 1 for x in (path[0], path[-1])]
-            if branchy[0] != branchy[1] and any(free) and (size := _length(nodes, path)) < least and len(path) - 1 < len(set(edges)):
+            if branchy[0] != branchy[1] and (size := _length(nodes, path)) < least and len(path) - 1 < len(set(edges)):
                 found.append((size, path))
         if not found:
             break
@@ -516,21 +657,38 @@ def simplified_skeleton(nodes: np.ndarray, edges: list[tuple[int, int]], toleran
     return np.array(out).reshape(-1, 4), links
 
 
+def _distances(nodes: np.ndarray, near: dict[int, set[int]], start: int) -> dict[int, float]:
+    known, queue = {}, [(0.0, start)]
+    while queue:
+        d, x = heapq.heappop(queue)
+        if x in known:
+            continue
+        known[x] = d
+        for y in near[x]:
+            if y not in known:
+                heapq.heappush(queue, (d + float(np.linalg.norm(nodes[x, :3] - nodes[y, :3])), y))
+    return known
+
+
 def longest_shortest_path(nodes: np.ndarray, edges: list[tuple[int, int]]) -> float:
-    """The greatest shortest distance between two connected nodes."""
+    """The greatest shortest distance between two connected nodes.
+
+    In a part without cycles the node furthest from any node is an end of the longest path, so two sweeps find it.  In a
+    part with cycles every node is tried.
+    """
     near = _adjacent(edges)
-    best = 0.0
+    best, seen = 0.0, set()
     for start in range(len(nodes)):
-        known, queue = {}, [(0.0, start)]
-        while queue:
-            d, x = heapq.heappop(queue)
-            if x in known:
-                continue
-            known[x] = d
-            for y in near[x]:
-                if y not in known:
-                    heapq.heappush(queue, (d + float(np.linalg.norm(nodes[x, :3] - nodes[y, :3])), y))
-        best = max(best, *known.values())
+        if start in seen:
+            continue
+        known = _distances(nodes, near, start)
+        seen.update(known)
+        if sum(len(near[x]) for x in known) == 2 * (len(known) - 1):
+            starts = [max(known, key=known.__getitem__)]
+        else:
+            starts = list(known)
+        for x in starts:
+            best = max(best, *_distances(nodes, near, x).values())
     return best
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import geometry as g
+from .graph import components
 
 KEY = "segment_id"
 
@@ -209,7 +210,8 @@ def denoise_seams(vertices: DataFrame, faces: DataFrame, degrees: float, k: int,
 
 
 def curvatures(vertices: DataFrame, faces: DataFrame) -> DataFrame:
-    """(segment_id, vid, gaussian, mean): angle defect and cotangent mean curvature over a third of the faces' area."""
+    """(segment_id, vid, gaussian, mean, rms, abs): angle defect and cotangent mean curvature over a third of the faces'
+    area; the root of the principal curvatures' squares, and the sum of their sizes, follow from these two."""
     soup = corners(vertices, faces)
     each = None
     for i, names in enumerate((("a", "b", "c"), ("b", "c", "a"), ("c", "a", "b"))):
@@ -227,12 +229,17 @@ def curvatures(vertices: DataFrame, faces: DataFrame) -> DataFrame:
         each = one if each is None else each.union(one)
     total = each.groupBy(KEY, "vid").agg(F.sum("angle").alias("angle"), F.sum("area").alias("area"), *(F.sum(f"l{a}").alias(f"l{a}") for a in "xyz"))
     lap = tuple(F.col(f"l{a}") for a in "xyz")
-    return total.filter("area > 0").select(
+    values = total.filter("area > 0").select(
         KEY, "vid", ((2 * math.pi - F.col("angle")) / F.col("area")).alias("gaussian"), (g.norm(lap) / (4 * F.col("area"))).alias("mean")
     )
+    k, h = F.col("gaussian"), F.col("mean")
+    # With principal curvatures p and q: h = (p + q) / 2 and k = p * q.
+    return values.withColumns(
+        {"rms": F.sqrt(F.abs(4 * h * h - 2 * k)), "abs": F.when(k >= 0, 2 * F.abs(h)).otherwise(2 * F.sqrt(h * h - k))}
+    )
 
 
-def curvature_summary(values: DataFrame, names: tuple[str, ...] = ("gaussian", "mean")) -> DataFrame:
+def curvature_summary(values: DataFrame, names: tuple[str, ...] = ("mean", "gaussian", "rms", "abs")) -> DataFrame:
     """Mean, median and population deviation of each; not-a-number counts as absent."""
     known = {n: F.when(~F.isnan(n), F.col(n)) for n in names}
     return values.groupBy(KEY).agg(
@@ -261,6 +268,17 @@ def weld_pairs(vertices: DataFrame, epsilon: float) -> DataFrame:
     return near.select(KEY, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
+def welded(vertices: DataFrame, faces: DataFrame, epsilon: float) -> tuple[DataFrame, DataFrame]:
+    """Vertices that are linked by steps of at most epsilon become the least of them; faces follow, without those that
+    degenerate or repeat."""
+    names = components(vertices, weld_pairs(vertices, epsilon))
+    left = vertices.join(names.filter("vid = component").select(KEY, "vid"), [KEY, "vid"], "left_semi")
+    out = faces.select(KEY, "v0", "v1", "v2")
+    for i in range(3):
+        out = out.join(names.select(KEY, F.col("vid").alias(f"v{i}"), F.col("component").alias(f"n{i}")), [KEY, f"v{i}"])
+    return left, cleaned_faces(out.select(KEY, *(F.col(f"n{i}").alias(f"v{i}") for i in range(3))))
+
+
 def face_counts_by_component(faces: DataFrame, labels: DataFrame) -> DataFrame:
     """(segment_id, component, n_faces) with ``labels`` (segment_id, vid, component)."""
     return faces.join(labels.withColumnRenamed("vid", "v0"), [KEY, "v0"]).groupBy(KEY, "component").agg(F.count(F.lit(1)).alias("n_faces"))
@@ -307,6 +325,16 @@ def clip_half_space(soup: DataFrame, axis: str, at: float, keep_above: bool) ->
     return out.select(*keep, "_t.a", "_t.b", "_t.c")
 
 
+def clip_to_box(soup: DataFrame, low: tuple[float, float, float], high: tuple[float, float, float]) -> DataFrame:
+    """The part of each triangle (structs a, b, c) in a box (x, y, z): six clips, then without what rounding left outside.
+    Neighbouring boxes cut an edge at the same point, so their pieces fit."""
+    for axis, lo, hi in zip("xyz", low, high, strict=True):
+        soup = clip_half_space(clip_half_space(soup, axis, lo, True), axis, hi, False)
+        for n in "abc":
+            soup = soup.filter((F.col(f"{n}.{axis}") >= lo) & (F.col(f"{n}.{axis}") <= hi))
+    return soup
+
+
 def rescaled(vertices: DataFrame, scale: tuple[float, float, float]) -> DataFrame:
     return vertices.withColumns({a: F.col(a) * s for a, s in zip("xyz", scale, strict=True)})
 

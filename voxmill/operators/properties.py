@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -94,6 +92,3 @@ def columnar(ids: DataFrame, values: DataFrame) -> dict:
         out.insert(0, {"id": "label", "type": "label", "values": [""] * len(names)})
     return {"@type": "neuroglancer_segment_properties", "inline": {"ids": names, "properties": out}}
 
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)

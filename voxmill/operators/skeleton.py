@@ -27,6 +27,17 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select(KEY, "node").join(ends, [KEY, "node"], "left").select(KEY, "node", degree.alias("degree"), kind.alias("kind"))
 
 
+def node_at(nodes: DataFrame, points: DataFrame) -> DataFrame:
+    """Of each point (skel_id, x, y, z) the first node that lies just there; points without one are left out."""
+    first = nodes.groupBy(KEY, "x", "y", "z").agg(F.min("node").alias("node"))
+    return points.select(KEY, "x", "y", "z").join(first, [KEY, "x", "y", "z"])
+
+
+def polyline_positions(lines: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(skel_id, branch, seq, x, y, z): the positions along each polyline (skel_id, branch, seq, node)."""
+    return lines.join(nodes.select(KEY, "node", "x", "y", "z"), [KEY, "node"]).select(KEY, "branch", "seq", "x", "y", "z")
+
+
 def path_lengths(points: DataFrame, order: list[str]) -> DataFrame:
     """Length and number of points of each polyline whose points follow each other in ``order``."""
     after = Window.partitionBy(KEY).orderBy(*order)

@@ -94,28 +94,39 @@ def triangles(voxels: DataFrame, begin: tuple[int, int, int] | None = None, end:
 
 
 def vertices(soup: DataFrame) -> DataFrame:
-    """(label, vid, z, y, x): distinct positions of each label, numbered in their order from 0."""
+    """(label, vid, z, y, x): distinct positions of each label, numbered in their order from 0.
+
+    They are numbered within each plane of one z, behind the number of those on planes before it, so a label of very
+    many vertices is not ranked in one task.
+    """
     corner = F.array(*(F.struct(*(F.col(f"{a}{i}").alias(a) for a in "zyx")) for i in range(3)))
     points = soup.select("label", F.explode(corner).alias("p")).select("label", "p.*").distinct()
-    number = F.dense_rank().over(Window.partitionBy("label").orderBy("z", "y", "x")) - 1
-    return points.select("label", number.cast("long").alias("vid"), "z", "y", "x")
+    planes = points.groupBy("label", "z").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("label").orderBy("z").rowsBetween(Window.unboundedPreceding, -1)
+    planes = planes.select("label", "z", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    within = F.row_number().over(Window.partitionBy("label", "z").orderBy("y", "x")) - 1
+    numbered = points.withColumn("within", within).join(planes, ["label", "z"])
+    return numbered.select("label", (F.col("first") + F.col("within")).cast("long").alias("vid"), "z", "y", "x")
 
 
 def indexed_faces(soup: DataFrame, points: DataFrame) -> DataFrame:
-    """(segment_id, v0, v1, v2) by vertex numbers."""
-    faces = soup
-    for i in range(3):
-        renamed = points.select(F.col("label").alias(f"_l{i}"), F.col("vid").alias(f"v{i}"), *(F.col(a).alias(f"_{a}{i}") for a in "zyx"))
-        on = F.col("label") == F.col(f"_l{i}")
-        for a in "zyx":
-            on = on & (F.col(f"{a}{i}") == F.col(f"_{a}{i}"))
-        faces = faces.join(renamed, on)
-    return faces.select(F.col("label").alias("segment_id"), "v0", "v1", "v2")
-
-
-def to_world(points: DataFrame, voxel: float = 1.0, offset: float = 0.0, factor: int = 1) -> DataFrame:
-    """Vertices (segment_id, vid, x, y, z) in world units; after down-sampling they move by half the larger kernel."""
-    shift = (factor - 1) / 2 * voxel
-    return points.select(
-        F.col("label").alias("segment_id"), "vid", *((F.lit(offset) + F.col(a) / 2.0 * voxel * factor + shift).alias(a) for a in "xyz")
-    )
+    """(segment_id, v0, v1, v2) by vertex numbers; corners are looked up in one join and gathered in one aggregation."""
+    slots = F.array(*(F.struct(F.lit(i).alias("i"), *(F.col(f"{a}{i}").alias(a) for a in "zyx")) for i in range(3)))
+    numbered = soup.withColumn("fid", F.monotonically_increasing_id())
+    each = numbered.select("label", "fid", F.explode(slots).alias("s")).select("label", "fid", "s.*")
+    met = each.join(points, ["label", "z", "y", "x"])
+    at = [F.max(F.when(F.col("i") == i, F.col("vid"))).alias(f"v{i}") for i in range(3)]
+    return met.groupBy(F.col("label").alias("segment_id"), "fid").agg(*at).select("segment_id", "v0", "v1", "v2")
+
+
+def to_world(
+    points: DataFrame, voxel: float | tuple[float, float, float] = 1.0, offset: float | tuple[float, float, float] = 0.0, factor: int = 1
+) -> DataFrame:
+    """Vertices (segment_id, vid, x, y, z) in world units, sizes and offsets in order x, y, z; after down-sampling they move
+    by half the larger kernel."""
+    sizes, offsets = (v if isinstance(v, tuple) else (v,) * 3 for v in (voxel, offset))
+    place = {
+        a: F.lit(float(o)) + F.col(a) / 2.0 * float(s) * factor + (factor - 1) / 2 * float(s)
+        for a, s, o in zip("xyz", sizes, offsets, strict=True)
+    }
+    return points.select(F.col("label").alias("segment_id"), "vid", *(c.alias(a) for a, c in place.items()))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..operators import graph, lod, mesh, properties, skeleton, surface, volume
+from ..operators.scratch import folder, kept
 from ..sources import adapters as a
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -261,15 +262,16 @@ def mc_vertices_dedup(spark, sf_dir):
 @query(f"""WITH {_TRIS}, d AS (
     SELECT label, [z0, y0, x0] AS p, [z1, y1, x1] AS q FROM tris UNION ALL SELECT label, [z1, y1, x1], [z2, y2, x2] FROM tris UNION ALL SELECT label, [z2, y2, x2], [z0, y0, x0] FROM tris),
   e AS (SELECT label, least(p, q) AS lo, greatest(p, q) AS hi, count(*) AS n, count(*) FILTER (p < q) AS forward FROM d GROUP BY 1, 2, 3),
-  c AS (SELECT label, count(*) AS n_edges, count(*) FILTER (n = 1) AS n_boundary, bool_and(2 * forward = n) AS balanced FROM e GROUP BY 1),
+  c AS (SELECT label, count(*) AS n_edges, count(*) FILTER (n = 1) AS n_boundary, bool_and(2 * forward = n) AS balanced,
+    bool_and(n = 2 AND forward <= 1 AND n - forward <= 1) AS sound FROM e GROUP BY 1),
   s AS (SELECT label, count(*) AS n_faces, sum(x0 * (y1 * z2 - z1 * y2) + y0 * (z1 * x2 - x1 * z2) + z0 * (x1 * y2 - y1 * x2)) / 48.0 AS volume FROM tris GROUP BY 1)
-  SELECT label AS segment_id, n_faces, n_edges, n_boundary, balanced, round(volume, 4) + 0.0 AS volume FROM c JOIN s USING (label)""")
+  SELECT label AS segment_id, n_faces, n_edges, n_boundary, balanced, round(volume, 4) + 0.0 AS volume, sound AND volume > 0 AS valid FROM c JOIN s USING (label)""")
 def mesh_validity(spark, sf_dir):
     """Surfaces of the solids are closed and wound alike everywhere, and enclose a positive volume."""
-    soup = surface.triangles(a.solids(spark, sf_dir))
-    points = surface.vertices(soup)
-    got = mesh.validity(surface.to_world(points), surface.indexed_faces(soup, points))
-    return _rounded(got.select("segment_id", "n_faces", "n_edges", "n_boundary", "balanced", "volume"), ["volume"])
+    soup = kept(surface.triangles(a.solids(spark, sf_dir)))
+    points = kept(surface.vertices(soup))
+    got = mesh.validity(surface.to_world(points), kept(surface.indexed_faces(soup, points)))
+    return _rounded(got.select("segment_id", "n_faces", "n_edges", "n_boundary", "balanced", "volume", "valid"), ["volume"])
 
 
 @query(f"""WITH {TERRAIN}, p AS (SELECT segment_id, CAST(y AS BIGINT) AS part, count(*) AS n_vertices FROM v GROUP BY 1, 2)
@@ -318,13 +320,27 @@ def mesh_inertia(spark, sf_dir):
     return _rounded(got, [c for c in got.columns if c != "segment_id"], 3)
 
 
-@query(None)
+# The eigenvalues of a symmetric matrix are the roots of its characteristic polynomial; here they are found as angles.
+_PRINCIPAL = _inertia_sql().rsplit("SELECT segment_id", 1)[0] + """, m AS (
+    SELECT *, (i_xx + i_yy + i_zz) / 3 AS q, sqrt(((i_xx - (i_xx + i_yy + i_zz) / 3) ** 2 + (i_yy - (i_xx + i_yy + i_zz) / 3) ** 2
+      + (i_zz - (i_xx + i_yy + i_zz) / 3) ** 2 + 2 * (i_xy ** 2 + i_xz ** 2 + i_yz ** 2)) / 6) AS p FROM r),
+  a AS (SELECT *, acos(least(greatest(((i_xx - q) * ((i_yy - q) * (i_zz - q) - i_yz ** 2) - i_xy * (i_xy * (i_zz - q) - i_yz * i_xz)
+      + i_xz * (i_xy * i_yz - (i_yy - q) * i_xz)) / nullif(2 * p ** 3, 0), -1), 1)) / 3 AS phi FROM m),
+  e AS (SELECT segment_id, volume, q + 2 * p * cos(coalesce(phi, pi() / 6) + 2 * pi() / 3) AS pic_0, q + 2 * p * cos(coalesce(phi, pi() / 6)) AS pic_2, 3 * q AS trace FROM a),
+  f AS (SELECT *, trace - pic_0 - pic_2 AS pic_1, sqrt(pic_0 ** 2 + (trace - pic_0 - pic_2) ** 2 + pic_2 ** 2) AS size FROM e)
+  SELECT segment_id, """ + _r("volume pic_0 pic_1 pic_2", 2) + """, round(pic_0 / size, 5) AS pic_normalized_0, round(pic_1 / size, 5) AS pic_normalized_1,
+    round(pic_2 / size, 5) AS pic_normalized_2 FROM f"""
+
+
+@query(_PRINCIPAL)
 def mesh_principal_inertia(spark, sf_dir):
     soup = surface.triangles(a.solids(spark, sf_dir))
     half = soup.select(
         F.col("label").alias("segment_id"), *(F.struct(*((F.col(f"{p}{i}") / 2.0).alias(p) for p in "xyz")).alias("abc"[i]) for i in range(3))
     )
-    return mesh.principal_values(mesh.inertia(half))
+    got = mesh.principal_values(mesh.inertia(half))
+    got = _rounded(got, ["volume", "pic_0", "pic_1", "pic_2"], 2)
+    return _rounded(got, [f"pic_normalized_{i}" for i in range(3)], 5)
 
 
 @query(f"WITH {EDGES} SELECT DISTINCT segment_id, unnest([lo, hi]) AS vid FROM e WHERE n = 1")
@@ -384,24 +400,32 @@ def k_ring(spark, sf_dir):
     return mesh.k_ring(vertices.filter("vid = 0"), mesh.neighbours(faces), 3)
 
 
-def _taubin_sql() -> str:
+def _taubin_sql(iterations: int, head: str, movable: str | None = None) -> str:
     out, now = "", "v"
-    for i, step in enumerate((0.5, -0.53) * 2):
+    moves = f"AND EXISTS (SELECT 1 FROM {movable} mv WHERE mv.segment_id = p.segment_id AND mv.vid = p.vid)" if movable else ""
+    for i, step in enumerate((0.5, -0.53) * iterations):
         out += f""", m{i} AS (SELECT a.segment_id, a.vid, avg(o.x) AS x, avg(o.y) AS y, avg(o.z) AS z FROM around a JOIN {now} o ON o.segment_id = a.segment_id AND o.vid = a.other GROUP BY 1, 2),
-          s{i} AS (SELECT p.segment_id, p.vid, {", ".join(f"CASE WHEN m.{c} IS NULL THEN p.{c} ELSE p.{c} + ({step}) * (m.{c} - p.{c}) END AS {c}" for c in "xyz")}
+          s{i} AS (SELECT p.segment_id, p.vid, {", ".join(f"CASE WHEN m.{c} IS NOT NULL {moves} THEN p.{c} + ({step}) * (m.{c} - p.{c}) ELSE p.{c} END AS {c}" for c in "xyz")}
                    FROM {now} p LEFT JOIN m{i} m ON m.segment_id = p.segment_id AND m.vid = p.vid)"""
         now = f"s{i}"
-    return f"WITH {AROUND}{out} SELECT segment_id, vid, {_r('x y z')} FROM {now}"
+    return f"WITH {head}{out} SELECT segment_id, vid, {_r('x y z')} FROM {now}"
 
 
-@query(_taubin_sql())
+@query(_taubin_sql(2, AROUND))
 def taubin_smooth(spark, sf_dir):
     return _rounded(mesh.taubin(*a.terrain(spark, sf_dir), iterations=2), ["x", "y", "z"])
 
 
-@query(None)
+_RING = _ANGLES + """,
+d AS (SELECT segment_id, v0 AS src, v1 AS dst FROM f UNION ALL SELECT segment_id, v1, v2 FROM f UNION ALL SELECT segment_id, v2, v0 FROM f),
+around AS (SELECT segment_id, src AS vid, dst AS other FROM d UNION SELECT segment_id, dst, src FROM d),
+seam AS (SELECT DISTINCT segment_id, unnest([lo, hi]) AS vid FROM dih WHERE angle >= radians(100)),
+ring AS (SELECT segment_id, vid FROM seam UNION SELECT x.segment_id, x.other FROM around x JOIN seam USING (segment_id, vid))"""
+
+
+@query(_taubin_sql(1, _RING, "ring"))
 def seam_denoise(spark, sf_dir):
-    return mesh.denoise_seams(*a.terrain(spark, sf_dir), degrees=100, k=1, iterations=1)
+    return _rounded(mesh.denoise_seams(*a.terrain(spark, sf_dir), degrees=100, k=1, iterations=1), ["x", "y", "z"])
 
 
 def _curvature_sql(name: str) -> str:
@@ -420,7 +444,8 @@ def _curvature_sql(name: str) -> str:
 
     each = " UNION ALL ".join(at(*t, i) for i, t in enumerate((("a", "b", "c"), ("b", "c", "a"), ("c", "a", "b"))))
     return f"""WITH {SOUP}, c AS ({each}), t AS (SELECT segment_id, vid, sum(angle) AS angle, sum(area) AS area, sum(lx) AS lx, sum(ly) AS ly, sum(lz) AS lz FROM c GROUP BY 1, 2),
-      k AS (SELECT segment_id, vid, (2 * pi() - angle) / area AS gaussian, sqrt(lx * lx + ly * ly + lz * lz) / (4 * area) AS mean FROM t WHERE area > 0),
+      k0 AS (SELECT segment_id, vid, (2 * pi() - angle) / area AS gaussian, sqrt(lx * lx + ly * ly + lz * lz) / (4 * area) AS mean FROM t WHERE area > 0),
+      k AS (SELECT *, sqrt(abs(4 * mean * mean - 2 * gaussian)) AS rms, CASE WHEN gaussian >= 0 THEN 2 * abs(mean) ELSE 2 * sqrt(mean * mean - gaussian) END AS abs FROM k0),
       s AS (SELECT segment_id, avg({name}) AS {name}_mean, median({name}) AS {name}_median, stddev_pop({name}) AS {name}_std FROM k GROUP BY 1)
       SELECT segment_id, {_r(f"{name}_mean {name}_median {name}_std")} FROM s"""
 
@@ -440,6 +465,16 @@ def curvature_mean(spark, sf_dir):
     return _curvature(spark, sf_dir, "mean")
 
 
+@query(_curvature_sql("rms"))
+def curvature_rms(spark, sf_dir):
+    return _curvature(spark, sf_dir, "rms")
+
+
+@query(_curvature_sql("abs"))
+def curvature_abs(spark, sf_dir):
+    return _curvature(spark, sf_dir, "abs")
+
+
 _WELD = f"WITH RECURSIVE {CLOUDS}, w AS (SELECT p.segment_id, p.vid AS a, q.vid AS b FROM cloud p JOIN cloud q ON q.segment_id = p.segment_id AND p.vid < q.vid AND (p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y) + (p.z - q.z) * (p.z - q.z) <= 0.01)"
 
 
@@ -456,6 +491,32 @@ def weld_components(spark, sf_dir):
     return graph.components(cloud, mesh.weld_pairs(cloud, 0.1))
 
 
+@query(f"""WITH RECURSIVE {TERRAIN},
+  near AS (SELECT p.segment_id, p.vid AS a, q.vid AS b FROM v p JOIN v q ON q.segment_id = p.segment_id AND p.vid <> q.vid AND (p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y) + (p.z - q.z) * (p.z - q.z) <= 1.21),
+  reach(segment_id, vid, other) AS (SELECT segment_id, vid, vid FROM v UNION SELECT r.segment_id, r.vid, n.b FROM reach r JOIN near n ON n.segment_id = r.segment_id AND n.a = r.other),
+  c AS (SELECT segment_id, vid, min(other) AS rep FROM reach GROUP BY 1, 2),
+  g AS (SELECT f.segment_id, a.rep AS v0, b.rep AS v1, e.rep AS v2 FROM f JOIN c a ON a.segment_id = f.segment_id AND a.vid = v0
+        JOIN c b ON b.segment_id = f.segment_id AND b.vid = v1 JOIN c e ON e.segment_id = f.segment_id AND e.vid = v2),
+  s AS (SELECT *, row_number() OVER (PARTITION BY segment_id, list_sort([v0, v1, v2]) ORDER BY v0, v1, v2) AS k FROM g WHERE v0 <> v1 AND v1 <> v2 AND v0 <> v2)
+  SELECT segment_id, v0, v1, v2 FROM s WHERE k = 1""")
+def weld_faces(spark, sf_dir):
+    """Height fields whose vertices nearer than 1.1 become one."""
+    vertices, faces = a.terrain(spark, sf_dir)
+    return mesh.welded(vertices, faces, 1.1)[1]
+
+
+@query(f"""WITH {EDGES}, b AS (SELECT segment_id, count(DISTINCT vid) AS n FROM (SELECT segment_id, unnest([lo, hi]) AS vid FROM e WHERE n = 1) GROUP BY 1),
+  t AS (SELECT segment_id, count(*) AS n_faces FROM f GROUP BY 1)
+  SELECT segment_id, n_faces, CAST(greatest(12, floor(0.25 * n_faces), 2 * n) AS BIGINT) AS target FROM t JOIN b USING (segment_id)""")
+def reduction_targets(spark, sf_dir):
+    """How many faces a reduction by three quarters leaves where borders are held."""
+    _, faces = a.terrain(spark, sf_dir)
+    border = mesh.boundary_vertices(faces).groupBy("segment_id").agg(F.count(F.lit(1)).alias("n"))
+    counts = faces.groupBy("segment_id").agg(F.count(F.lit(1)).alias("n_faces"))
+    target = F.greatest(F.lit(12), F.floor(F.lit(0.25) * F.col("n_faces")), 2 * F.col("n"))
+    return counts.join(border, "segment_id").select("segment_id", "n_faces", target.cast("long").alias("target"))
+
+
 @query(f"""WITH {TERRAIN}, c AS (SELECT segment_id, CAST(floor(v0 / 8) AS BIGINT) % 5 AS component, count(*) AS n_faces FROM f GROUP BY 1, 2)
   SELECT segment_id, component, n_faces FROM (SELECT *, row_number() OVER (PARTITION BY segment_id ORDER BY n_faces DESC, component) AS k FROM c) WHERE k = 1""")
 def largest_component(spark, sf_dir):
@@ -617,6 +678,19 @@ def clip_halfspace(spark, sf_dir):
     return _area(mesh.clip_half_space(soup, "z", 4.0, True), ["segment_id"])
 
 
+# The planes x = 2, x = 5, y = 1 and y = 6 pass between triangles; z = 4 cuts them as above.
+@query(f"""WITH {SOUP}, w AS (SELECT *, sqrt(nx * nx + ny * ny + nz * nz) / 2 AS area, list_sort([az, bz, cz]) AS s FROM n
+    WHERE least(ax, bx, cx) >= 2 AND greatest(ax, bx, cx) <= 5 AND least(ay, by, cy) >= 1 AND greatest(ay, by, cy) <= 6),
+  k AS (SELECT segment_id, area, s[1] AS lo, s[2] AS mid, s[3] AS hi FROM w WHERE s[3] >= 4),
+  p AS (SELECT segment_id, CASE WHEN lo >= 4 THEN area WHEN mid < 4 THEN area * (hi - 4) / (hi - lo) * (hi - 4) / (hi - mid)
+    ELSE area * (1 - (4 - lo) / (mid - lo) * (4 - lo) / (hi - lo)) END AS part FROM k)
+  SELECT segment_id, round(sum(part), 4) + 0.0 AS area FROM p GROUP BY 1 HAVING round(sum(part), 4) > 0""")
+def clip_block(spark, sf_dir):
+    """The area of each height field in one block's box."""
+    soup = mesh.clip_to_box(mesh.corners(*a.terrain(spark, sf_dir)), (2.0, 1.0, 4.0), (5.0, 6.0, 1e9))
+    return _area(soup, ["segment_id"]).filter("area > 0")
+
+
 @query(f"WITH {SOUP} SELECT segment_id, round(sum(sqrt(nx * nx + ny * ny + nz * nz)) / 2, 4) AS area FROM n GROUP BY 1")
 def decompose_fragments_area(spark, sf_dir):
     """Clipping into cells neither loses nor adds any area."""
@@ -673,6 +747,24 @@ def props_types(spark, sf_dir):
     return properties.types(_values(spark, sf_dir))
 
 
+_RANGES = [
+    ("tiny", "p_size"), ("short", "p_partkey + 300"), ("int", "p_partkey + 70000"), ("signed tiny", "p_size - 30"), ("signed short", "(p_size - 30) * 100"),
+    ("signed int", "(p_size - 30) * 100000"), ("beyond", "p_partkey * 100000000000"), ("part", "p_size + 0.5"),
+]
+
+
+@query(f"""WITH vals AS (SELECT property, value FROM part, LATERAL (VALUES {", ".join(f"('{n.replace(' ', '_')}', CAST({x} AS DOUBLE))" for n, x in _RANGES)}) c(property, value)),
+  t AS (SELECT property, min(value) AS lo, max(value) AS hi, bool_and(value = floor(value)) AS whole FROM vals GROUP BY 1)
+  SELECT property, 'number' AS type, CASE WHEN NOT whole THEN 'float32' WHEN lo >= 0 AND hi <= 255 THEN 'uint8' WHEN lo >= 0 AND hi <= 65535 THEN 'uint16'
+    WHEN lo >= 0 AND hi <= 4294967295 THEN 'uint32' WHEN lo >= -128 AND hi <= 127 THEN 'int8' WHEN lo >= -32768 AND hi <= 32767 THEN 'int16'
+    WHEN lo >= -2147483648 AND hi <= 2147483647 THEN 'int32' ELSE 'float32' END AS data_type FROM t""")
+def props_number_types(spark, sf_dir):
+    """Columns of all ranges."""
+    parts = a.table(spark, sf_dir, "part")
+    table = parts.select("p_partkey", *(F.expr(x).cast("string").alias(n) for n, x in _RANGES))
+    return properties.types(properties.joined(parts.select(F.col("p_partkey").alias("segment_id")), table, "p_partkey"))
+
+
 @query(f"""WITH {_VALUES}, k AS (SELECT property, value, row_number() OVER (PARTITION BY property ORDER BY value) - 1 AS tag FROM (SELECT DISTINCT property, value FROM vals WHERE value <> ''))
   SELECT segment_id, property, coalesce(tag, -1) AS tag FROM vals LEFT JOIN k USING (property, value)""")
 def props_tags(spark, sf_dir):
@@ -702,6 +794,29 @@ def skel_polyline_lengths(spark, sf_dir):
     return _rounded(skeleton.path_lengths(a.tracks(spark, sf_dir), ["ts", "event_id"]), ["length"])
 
 
+@query(f"""WITH {TREES}, f AS (SELECT skel_id, x, y, z, min(node) AS first FROM nodes GROUP BY 1, 2, 3, 4)
+  SELECT f.skel_id, n.node AS asked, f.first AS node FROM nodes n JOIN f ON f.skel_id = n.skel_id AND f.x = n.x AND f.y = n.y AND f.z = n.z""")
+def skel_node_at(spark, sf_dir):
+    """Which node is found at the place of each."""
+    nodes, _ = a.trees(spark, sf_dir)
+    asked = nodes.select("skel_id", F.col("node").alias("asked"), "x", "y", "z")
+    found = skeleton.node_at(nodes, asked.select("skel_id", "x", "y", "z").distinct())
+    return asked.join(found, ["skel_id", "x", "y", "z"]).select("skel_id", "asked", "node")
+
+
+@query("""SELECT CAST(user_id AS BIGINT) AS skel_id, CAST(event_id % 3 AS BIGINT) AS branch, row_number() OVER (PARTITION BY user_id, event_id % 3 ORDER BY ts, event_id) - 1 AS seq,
+  CAST(event_id % 1000 AS DOUBLE) AS x, CAST(value AS DOUBLE) AS y, CAST(event_id * 7 % 100 AS DOUBLE) AS z FROM events""")
+def skel_polyline_positions(spark, sf_dir):
+    """Each user's events in three polylines."""
+    from pyspark.sql.window import Window
+
+    tracks = a.tracks(spark, sf_dir)
+    branch = (F.col("event_id") % 3).alias("branch")
+    number = F.row_number().over(Window.partitionBy("skel_id", branch).orderBy("ts", "event_id")) - 1
+    lines = tracks.select("skel_id", branch, number.cast("long").alias("seq"), F.col("event_id").alias("node"))
+    return skeleton.polyline_positions(lines, tracks.withColumnRenamed("event_id", "node"))
+
+
 @query(f"""WITH {TREES}, o AS (SELECT src AS node, max(w) AS d1, coalesce(max(w) FILTER (k = 2), 0) AS d2 FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY w DESC) AS k FROM we WHERE dst >= 1000000000) GROUP BY 1),
   c AS (SELECT we.skel_id, src, w + coalesce(d1, 0) AS down, coalesce(d1 + d2, 0) AS best FROM we LEFT JOIN o ON o.node = dst WHERE dst BETWEEN 1000000 AND 999999999),
   c2 AS (SELECT src AS node, max(down) AS d1, coalesce(max(down) FILTER (k = 2), 0) AS d2, max(best) AS under FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY down DESC) AS k FROM c) GROUP BY 1),
@@ -786,24 +901,37 @@ def _branching(spark, sf_dir) -> DataFrame:
     return kernels.nested_skeletons(all_nodes, edges)
 
 
-@query(None)
+# From every end of a path, that is a node with other than two neighbours, walks along nodes with two; each path is walked twice.
+@query(f"""WITH RECURSIVE {TREES},
+  cu AS (SELECT parent AS skel_id, node, lead(node) OVER (PARTITION BY parent ORDER BY node) AS after FROM nodes WHERE depth = 2),
+  ed AS (SELECT skel_id, node AS a, after AS b FROM cu WHERE after IS NOT NULL UNION ALL SELECT cu.skel_id, cu.node, o.node FROM nodes o JOIN cu ON cu.node = o.parent WHERE o.depth = 3),
+  way AS (SELECT skel_id, a, b FROM ed UNION ALL SELECT skel_id, b, a FROM ed),
+  dg AS (SELECT skel_id, a AS node, count(*) AS degree FROM way GROUP BY 1, 2),
+  walk(skel_id, before, node, n) AS (
+    SELECT w.skel_id, w.a, w.b, 2 FROM way w JOIN dg ON dg.skel_id = w.skel_id AND dg.node = w.a WHERE degree <> 2
+    UNION ALL SELECT k.skel_id, k.node, w.b, k.n + 1 FROM walk k JOIN dg ON dg.skel_id = k.skel_id AND dg.node = k.node
+      JOIN way w ON w.skel_id = k.skel_id AND w.a = k.node WHERE degree = 2 AND w.b <> k.before)
+  SELECT k.skel_id, CAST(k.n AS BIGINT) AS n_points, count(*) // 2 AS n_paths FROM walk k JOIN dg ON dg.skel_id = k.skel_id AND dg.node = k.node WHERE degree <> 2 GROUP BY 1, 2""")
 def skel_polylines(spark, sf_dir):
+    """How many paths of each length the branching skeletons have."""
     from ..operators import kernels
 
-    return kernels.per_skeleton(_branching(spark, sf_dir), lambda n, e: [(i, len(p)) for i, p in enumerate(kernels.polylines(len(n), e))], "branch long, n_points long")
+    paths = kernels.per_skeleton(_branching(spark, sf_dir), lambda n, e: [(len(p),) for p in kernels.polylines(len(n), e)], "n_points long")
+    return paths.groupBy("skel_id", "n_points").agg(F.count(F.lit(1)).alias("n_paths"))
 
 
-@query(None)
+# A star has one branch point while it has three arms; arms below the limit go, the shortest first, until two are left.
+@query(f"""WITH {TREES}, arms AS (SELECT src AS skel_id, count(*) AS k, count(*) FILTER (w < 700) AS short FROM we WHERE dst >= 1000000000 GROUP BY 1)
+  SELECT skel_id, 1 + k - CASE WHEN k >= 3 THEN least(short, k - 2) ELSE 0 END AS n_nodes FROM arms""")
 def skel_prune(spark, sf_dir):
+    """Each customer with its orders as a star, without arms shorter than 700."""
     from ..operators import kernels
 
-    paths = a.tracks(spark, sf_dir)
-    nodes = paths.select("skel_id", F.col("event_id").alias("node"), "x", "y", "z", F.lit(1.0).alias("radius"))
-    from pyspark.sql.window import Window
-
-    after = F.lead("event_id").over(Window.partitionBy("skel_id").orderBy("ts", "event_id"))
-    edges = paths.select("skel_id", F.col("event_id").alias("src"), after.alias("dst")).filter("dst is not null")
-    return kernels.per_skeleton(kernels.nested_skeletons(nodes, edges), lambda n, e: [(len(kernels.pruned(n, e, 200.0)[0]),)], "n_nodes long")
+    nodes, edges = a.trees(spark, sf_dir)
+    arms = edges.filter("dst >= 1000000000").select(F.col("src").alias("skel_id"), "src", "dst")
+    place = nodes.select("node", "x", "y", "z", "radius")
+    ends = arms.select("skel_id", F.explode(F.array("src", "dst")).alias("node")).distinct().join(place, "node")
+    return kernels.per_skeleton(kernels.nested_skeletons(ends, arms), lambda n, e: [(len(kernels.pruned(n, e, 700.0)[0]),)], "n_nodes long")
 
 
 @query(None)
@@ -826,7 +954,17 @@ def ngmesh_sizes(spark, sf_dir):
     return formats.mesh_payloads(_grown(spark, sf_dir)).select("segment_id", F.octet_length("payload").cast("long").alias("n_bytes"))
 
 
-@query(None)
+def _meshify_sql() -> str:
+    """The chain of the surface queries on the solids at half the size."""
+    small = """small AS (SELECT z, y, x, label FROM (SELECT *, row_number() OVER (PARTITION BY z, y, x ORDER BY n DESC, label) AS k, sum(n) OVER (PARTITION BY z, y, x) AS total
+      FROM (SELECT CAST(floor(z / 2) AS BIGINT) AS z, CAST(floor(y / 2) AS BIGINT) AS y, CAST(floor(x / 2) AS BIGINT) AS x, label, count(*) AS n FROM solids GROUP BY 1, 2, 3, 4))
+      WHERE k = 1 AND 8 - total < n)"""
+    chain = _POINTS.replace(SOLIDS, SOLIDS + ", " + small).replace("FROM solids, (SELECT unnest([0, 1]) AS dz)", "FROM small, (SELECT unnest([0, 1]) AS dz)")
+    return f"""WITH {chain}, p AS (SELECT label, count(*) AS n FROM pts GROUP BY 1), t AS (SELECT label, count(*) AS n FROM tris GROUP BY 1)
+      SELECT label AS segment_id, CAST(p.n AS INTEGER) AS n_vertices, CAST(t.n AS INTEGER) AS n_faces FROM p JOIN t USING (label)"""
+
+
+@query(_meshify_sql())
 def meshify_pipeline(spark, sf_dir):
     from . import pipelines
 
@@ -854,3 +992,86 @@ def mesh_metric_table(spark, sf_dir):
     from . import pipelines
 
     return pipelines.mesh_metrics(*a.terrain(spark, sf_dir))
+
+
+# ------------------------------------------------------------------------------------------------ files and back
+
+
+@query(f"""WITH {_CELLS} SELECT segment_id, lod, row_number() OVER (PARTITION BY segment_id, lod ORDER BY {_CODE}) - 1 AS place, fx, fy, fz, n_bytes FROM al""")
+def index_roundtrip(spark, sf_dir):
+    """Fragments written to index files and read from them."""
+    from ..sources import formats
+
+    placed = lod.in_curve_order(_filled(spark, sf_dir), ["segment_id", "lod"])
+    rows = placed.groupBy("segment_id").agg(F.array_sort(F.collect_list(F.struct("lod", "place", "fx", "fy", "fz", "n_bytes"))).alias("f"))
+    return formats.index_rows(formats.index_files(rows))
+
+
+@query(f"WITH {TREES} SELECT skel_id, src, dst FROM we")
+def skeleton_roundtrip(spark, sf_dir):
+    """Edges of skeletons written to their binary form and read from it, by the nodes' places."""
+    from ..operators import kernels
+    from ..sources import formats
+
+    nodes, edges = a.trees(spark, sf_dir)
+    order = nodes.groupBy("skel_id").agg(F.array_sort(F.collect_list("node")).alias("names"))
+    packed = kernels.per_skeleton(kernels.nested_skeletons(nodes, edges), lambda n, e: [(formats.packed_skeleton(n, e),)], "payload binary")
+
+    def read(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            out = [[list(e) for e in formats.unpacked_skeleton(raw)[1]] for raw in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.list_(pa.int64())))], ["skel_id", "e"])
+
+    back = packed.mapInArrow(read, "skel_id long, e array<array<long>>").join(order, "skel_id")
+    each = back.select("skel_id", "names", F.explode("e").alias("e"))
+    at = lambda i: F.get("names", F.get("e", F.lit(i)).cast("int"))
+    return each.select("skel_id", at(0).alias("src"), at(1).alias("dst"))
+
+
+@query(f"""WITH {CLOUDS}, c AS (SELECT segment_id, vid, x::FLOAT::DOUBLE AS x, y::FLOAT::DOUBLE AS y, z::FLOAT::DOUBLE AS z FROM cloud),
+  r AS (SELECT 'spatial0/0_0_0' AS name, * FROM c UNION ALL SELECT 'relationships/' || segment_id, * FROM c)
+  SELECT name, vid, {_r("x y z")}, CAST(segment_id AS DOUBLE) AS held FROM r""")
+def annotation_pack(spark, sf_dir):
+    """Points written to an annotation layer's files, related to their segments, and read from them."""
+    from ..sources import formats
+
+    points = a.clouds(spark, sf_dir).withColumnRenamed("vid", "id")
+    files = formats.annotation_files(points, ["x", "y", "z"], ["segment_id"], "segment_id")
+
+    def read(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for name, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                ids, at, held = formats.unpacked_annotations(raw, 3, 1)
+                columns = [pa.array([name] * len(ids)), pa.array(ids, pa.int64()), *(pa.array(c.astype(float)) for c in (*at.T, held[:, 0]))]
+                yield pa.RecordBatch.from_arrays(columns, ["name", "vid", "x", "y", "z", "held"])
+
+    return _rounded(files.mapInArrow(read, "name string, vid long, x double, y double, z double, held double"), ["x", "y", "z"])
+
+
+def _stored(spark, sf_dir, **how) -> str:
+    """The noisy volume written as chunks to the folder that all machines share."""
+    from ..sources import volumes
+
+    path = f"{folder(spark)}/v.zarr"
+    volumes.write_voxels(a.voxels(spark, sf_dir), path, (32, 32, 32), (8, 16, 10), **how)
+    return path
+
+
+@query(f"WITH {VOXELS} SELECT z, y, x, label FROM voxels")
+def read_orders(spark, sf_dir):
+    """The volume stored with its chunks in column-major order, and read."""
+    from ..sources import volumes
+
+    return volumes.read_voxels(spark, _stored(spark, sf_dir, order="F"))
+
+
+@query(f"WITH {VOXELS} SELECT z, y, x, label FROM voxels WHERE z >= 5 AND z < 19 AND y >= 0 AND y < 16 AND x >= 11 AND x < 30")
+def read_roi(spark, sf_dir):
+    """A region of the stored volume."""
+    from ..sources import volumes
+
+    return volumes.read_voxels(spark, _stored(spark, sf_dir), (5, 0, 11), (19, 16, 30))

@@ -17,20 +17,41 @@ from ..sources import formats
 STRATEGIES = ("decimate", "downsample")
 
 
+Steps = float | tuple[float, float, float]
+
+
+def block_counts(voxels: DataFrame, block: int = 64) -> DataFrame:
+    """(segment_id, block) of every voxel."""
+    at = F.struct(*(F.floor(F.col(a) / block) for a in "zyx"))
+    return voxels.select(F.col("label").alias("segment_id"), at.alias("block"))
+
+
+def rejected_segments(voxels: DataFrame, max_blocks: int, block: int = 64) -> DataFrame:
+    """(segment_id, n_blocks, message) of the labels that ``meshes_of_volume`` leaves out."""
+    _, large = mesh.cut_off(block_counts(voxels, block), "block", max_blocks)
+    text = F.concat_ws("", F.lit("Mesh "), "segment_id", F.lit(" has too many blocks "), "n_blocks", F.lit(f">={max_blocks}. Skipping."))
+    return large.select("segment_id", "n_blocks", text.alias("message"))
+
+
 def meshes_of_volume(
-    voxels: DataFrame, factor: int = 1, method: str = "mode_suppress_zero", voxel: float = 1.0, offset: float = 0.0,
+    voxels: DataFrame, factor: int = 1, method: str = "mode_suppress_zero", voxel: Steps = 1.0, offset: Steps = 0.0,
     reduction: float | None = None, smoothing: int = 0, max_blocks: int | None = None, block: int = 64,
+    region: tuple[tuple[int, int, int], tuple[int, int, int]] | None = None,
 ) -> DataFrame:
     """(segment_id, vertices, faces) of every label: down-sampled, meshed on the whole-number lattice, and, if a
-    reduction is given, simplified and smoothed.  Labels that reach into ``max_blocks`` blocks or more are left out."""
+    reduction is given, simplified and smoothed in world units.  Labels that reach into ``max_blocks`` blocks or more are left
+    out (``rejected_segments`` lists them).  What a ``region`` (begin and end, in voxels) cuts stays open.  Voxel sizes and
+    offsets are in order x, y, z."""
     if factor > 1:
         voxels = volume.downsample(voxels, factor, method)
     if max_blocks is not None:
-        at = F.struct(*(F.floor(F.col(a) / block) for a in "zyx"))
-        small, _ = mesh.cut_off(voxels.select(F.col("label").alias("segment_id"), at.alias("block")), "block", max_blocks)
+        small, _ = mesh.cut_off(block_counts(voxels, block), "block", max_blocks)
         voxels = voxels.join(small.select(F.col("segment_id").alias("label")), "label", "left_semi")
-    soup = surface.triangles(voxels)
-    points = surface.vertices(soup)
+    begin = end = None
+    if region is not None:
+        begin, end = tuple(b // factor for b in region[0]), tuple(-(-e // factor) for e in region[1])
+    soup = kept(surface.triangles(voxels, begin, end))
+    points = kept(surface.vertices(soup))
     nested = kernels.nested_meshes(surface.to_world(points, voxel, offset, factor), surface.indexed_faces(soup, points))
     if reduction is None:
         return nested

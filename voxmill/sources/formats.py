@@ -143,15 +143,130 @@ def unpacked_index(raw: bytes) -> tuple[list[float], list[float], list[tuple[np.
     return head[:3].tolist(), head[3:].tolist(), levels
 
 
+def index_files(rows: DataFrame) -> DataFrame:
+    """(segment_id, payload) of segments' index files; ``rows`` has an array f of (lod, place, fx, fy, fz, n_bytes) in order."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for held in batch.column(1).to_pylist():
+                own = [[x for x in held if x["lod"] == level] for level in range(held[-1]["lod"] + 1)]
+                levels = [(np.array([[x["fx"], x["fy"], x["fz"]] for x in at]), np.array([x["n_bytes"] for x in at])) for at in own]
+                out.append(packed_index([1.0] * 3, [0.0] * 3, levels))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["segment_id", "payload"])
+
+    return rows.select("segment_id", "f").mapInArrow(pack, "segment_id long, payload binary")
+
+
+def index_rows(files: DataFrame) -> DataFrame:
+    """(segment_id, lod, place, fx, fy, fz, n_bytes) of index files (segment_id, payload)."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for segment, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for level, (positions, sizes) in enumerate(unpacked_index(raw)[2]):
+                    n = len(sizes)
+                    columns = [pa.array([segment] * n, pa.int64()), pa.array([level] * n, pa.int32()), pa.array(range(n), pa.int64())]
+                    columns += [pa.array(c.astype(np.int64)) for c in (*positions.T, sizes)]
+                    yield pa.RecordBatch.from_arrays(columns, ["segment_id", "lod", "place", "fx", "fy", "fz", "n_bytes"])
+
+    return files.select("segment_id", "payload").mapInArrow(read, "segment_id long, lod int, place long, fx long, fy long, fz long, n_bytes long")
+
+
+def _varint(n: int) -> bytes:
+    out = bytearray()
+    while n > 127:
+        out.append(n & 127 | 128)
+        n >>= 7
+    return bytes((*out, n))
+
+
+def _read_varint(raw: bytes, at: int) -> tuple[int, int]:
+    n = shift = 0
+    while True:
+        n |= (raw[at] & 127) << shift
+        at, shift = at + 1, shift + 7
+        if raw[at - 1] < 128:
+            return n, at
+
+
+# Fixed values of the public Draco bit stream, version 2.2: a triangle mesh, coded in sequence, corners as plain numbers;
+# one attribute, the position, as three unsigned 16-bit numbers, stored as they are.
+_DRACO_HEAD = b"DRACO" + bytes([2, 2, 1, 0, 0, 0])
+_DRACO_POSITION = bytes([1, 1, 0, 4, 3, 0, 0, 0])
+
+
 def packed_fragment(steps: np.ndarray, faces: np.ndarray) -> bytes:
-    """A fragment's quantized vertices and its faces, uncompressed.  This is this library's own form behind the seam
-    where a compressing encoder would go; it is not the Draco bit stream that viewers expect."""
-    return struct.pack("<II", len(steps), len(faces)) + np.asarray(steps, "<u2").tobytes() + np.asarray(faces, "<u4").tobytes()
+    """A fragment's quantized vertices and its faces as a Draco bit stream, with the methods that do not compress."""
+    n, corners = len(steps), np.asarray(faces, np.int64).ravel()
+    if n < 1 << 8:
+        held = corners.astype("<u1").tobytes()
+    elif n < 1 << 16:
+        held = corners.astype("<u2").tobytes()
+    elif n < 1 << 21:
+        held = b"".join(map(_varint, corners.tolist()))
+    else:
+        held = corners.astype("<u4").tobytes()
+    return _DRACO_HEAD + _varint(len(corners) // 3) + _varint(n) + b"\1" + held + _DRACO_POSITION + np.asarray(steps, "<u2").tobytes()
 
 
 def unpacked_fragment(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n, m = struct.unpack_from("<II", raw)
-    return np.frombuffer(raw, "<u2", 3 * n, 8).reshape(-1, 3), np.frombuffer(raw, "<u4", 3 * m, 8 + 6 * n).reshape(-1, 3)
+    """Of such a stream; one that is compressed is an error."""
+    if raw[:11] != _DRACO_HEAD:
+        raise ValueError("not a Draco mesh coded in sequence" if raw[:5] == b"DRACO" else "not a Draco bit stream")
+    m, at = _read_varint(raw, 11)
+    n, at = _read_varint(raw, at)
+    if raw[at] != 1:
+        raise ValueError("compressed corners are not read")
+    at += 1
+    if 1 << 16 <= n < 1 << 21:
+        corners = np.empty(3 * m, np.int64)
+        for i in range(3 * m):
+            corners[i], at = _read_varint(raw, at)
+    else:
+        kind = np.dtype("<u1" if n < 1 << 8 else "<u2" if n < 1 << 16 else "<u4")
+        corners = np.frombuffer(raw, kind, 3 * m, at)
+        at += 3 * m * kind.itemsize
+    if raw[at : at + len(_DRACO_POSITION)] != _DRACO_POSITION:
+        raise ValueError("only plain 16-bit positions are read")
+    return np.frombuffer(raw, "<u2", 3 * n, at + len(_DRACO_POSITION)).reshape(-1, 3), corners.reshape(-1, 3).astype(np.int64)
+
+
+def unpacked_levels(index: bytes, data: bytes, bits: int = 16) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(vertices, faces) of each level in model space, from the two files of a segment; fragments follow each other."""
+    chunk, origin, levels = unpacked_index(index)
+    out, at = [], 0
+    for level, (positions, sizes) in enumerate(levels):
+        vertices, faces, n = [np.zeros((0, 3))], [np.zeros((0, 3), np.int64)], 0
+        for place, size in zip(positions, sizes.tolist(), strict=True):
+            if size:
+                steps, held = unpacked_fragment(data[at : at + size])
+                vertices.append((steps / (2**bits - 1) + place) * np.array(chunk) * 2**level + origin)
+                faces.append(held + n)
+                n += len(steps)
+            at += size
+        out.append((np.vstack(vertices), np.vstack(faces)))
+    return out
+
+
+def single_level_files(meshes: DataFrame, bits: int = 16) -> DataFrame:
+    """(segment_id, data, fragment_index) of meshes with one level: one fragment, as large as the mesh's own box.  A mesh
+    without faces gives no bytes."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, index = [], []
+            for v, f in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                points = np.array(v, float).reshape(-1, 3)
+                low = points.min(0) if len(points) else np.zeros(3)
+                chunk = points.max(0) - low if len(points) else np.zeros(3)
+                most = 2**bits - 1
+                steps = np.clip(np.rint((points - low) / np.where(chunk > 0, chunk, 1) * most), 0, most)
+                data.append(packed_fragment(steps, np.array(f, np.int64)) if f else b"")
+                index.append(packed_index(chunk.tolist(), low.tolist(), [(np.zeros((1, 3), int), np.array([len(data[-1])]))]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary()), pa.array(index, pa.binary())], ["segment_id", "data", "fragment_index"])
+
+    return meshes.select("segment_id", "vertices", "faces").mapInArrow(pack, "segment_id long, data binary, fragment_index binary")
 
 
 def packed_skeleton(nodes: np.ndarray, edges: list[tuple[int, int]]) -> bytes:
@@ -178,6 +293,25 @@ def unpacked_annotations(raw: bytes, n_coordinates: int, n_properties: int = 0)
     return np.frombuffer(raw, "<u8", n, 8 + 4 * n * wide).tolist(), rows[:, :n_coordinates], rows[:, n_coordinates:]
 
 
+def annotation_files(rows: DataFrame, coordinates: list[str], properties: list[str], relationship: str | None = None) -> DataFrame:
+    """(name, payload) of an annotation layer's files, from rows with a column ``id``: all rows in ``spatial0/0_0_0``, and for
+    each value of ``relationship`` its rows in ``relationships``.  One file is one row, as the layout has one cell."""
+    row = F.struct("id", F.array(*(F.col(c).cast("double") for c in coordinates)).alias("at"), F.array(*(F.col(c).cast("double") for c in properties)).alias("held"))
+    named = [rows.select(F.lit("spatial0/0_0_0").alias("name"), row.alias("r"))]
+    if relationship:
+        known = rows.filter(F.col(relationship).isNotNull())
+        named.append(known.select(F.concat(F.lit("relationships/"), F.col(relationship).cast("string")), row))
+    each = named[0] if len(named) == 1 else named[0].union(named[1])
+    held = each.groupBy("name").agg(F.array_sort(F.collect_list("r")).alias("rows"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [packed_annotations([r["id"] for r in x], np.array([r["at"] for r in x]), np.array([r["held"] for r in x]) if properties else None) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["name", "payload"])
+
+    return held.mapInArrow(pack, "name string, payload binary")
+
+
 # ---------------------------------------------------------------- metadata documents
 
 _IDENTITY = [1, 0, 0, 0, 0, 1, 0, 0, 0, 0, 1, 0]
@@ -201,12 +335,12 @@ def skeleton_info(properties: bool = False) -> str:
     return json.dumps(doc | ({"segment_properties": "segment_properties"} if properties else {}))
 
 
-def annotation_info(kind: str, properties: list[str], low: list[float], high: list[float], unit: str = "nm") -> str:
+def annotation_info(kind: str, properties: list[str], low: list[float], high: list[float], unit: str = "nm", relationships: list[str] | None = None) -> str:
     return json.dumps(
         {
             "@type": "neuroglancer_annotations_v1", "dimensions": {a: [1, unit] for a in "xyz"}, "lower_bound": [int(x) for x in low],
             "upper_bound": [int(x + 1) for x in high], "annotation_type": kind, "properties": [{"id": p, "type": "float32"} for p in properties],
-            "relationships": [], "by_id": {"key": "by_id"}, "spatial": [{"key": "spatial0", "grid_shape": [1, 1, 1], "chunk_size": [max(1, int(h + 1) - int(l)) for l, h in zip(low, high, strict=True)], "limit": 1}],
+            "relationships": [{"id": r, "key": "relationships"} for r in relationships or []], "by_id": {"key": "by_id"}, "spatial": [{"key": "spatial0", "grid_shape": [1, 1, 1], "chunk_size": [max(1, int(h + 1) - int(l)) for l, h in zip(low, high, strict=True)], "limit": 1}],
         }
     )
 
@@ -214,20 +348,25 @@ def annotation_info(kind: str, properties: list[str], low: list[float], high: li
 def write_payloads(rows: DataFrame, folder: str, name: str, payload: str = "payload") -> None:
     """One file for each row, by its name, written by the tasks.
 
-    ``folder`` must be one that all machines share.  A task that runs again writes the same files again.
+    ``folder`` must be one that all machines share: a path, or the address of a store that Arrow's file systems know.  A
+    task that runs again writes the same files again.
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
         import uuid
 
-        os.makedirs(folder, exist_ok=True)
+        from pyarrow import fs
+
+        system, root = fs.FileSystem.from_uri(folder if "://" in folder else "file://" + os.path.abspath(folder))
         for batch in batches:
             for n, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                part = f"{folder}/.{n}.{uuid.uuid4().hex}"
-                with open(part, "wb") as f:
+                target = f"{root}/{n}"
+                system.create_dir(target.rpartition("/")[0], recursive=True)
+                part = f"{target.rpartition('/')[0]}/.{uuid.uuid4().hex}"
+                with system.open_output_stream(part) as f:
                     f.write(raw)
-                os.replace(part, f"{folder}/{n}")
+                system.move(part, target)
             yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
 
     rows.select(F.col(name).cast("string"), F.col(payload)).mapInArrow(write, "n long").agg(F.sum("n")).collect()

@@ -277,6 +277,33 @@ def read_voxels(
     return chunks.mapInArrow(voxels, "z long, y long, x long, label long")
 
 
+def write_voxels(
+    voxels: DataFrame, path: str, shape: tuple[int, int, int], chunks: tuple[int, int, int], dtype: str = "<u4", order: str = "C", fill: int = 0
+) -> None:
+    """Voxels (z, y, x, label) as a Zarr 2 array; each chunk that holds any is written by one task.  ``path`` must lie in a
+    folder that all machines share."""
+    from . import formats
+
+    place = {f"c{a}": F.floor(F.col(a) / n).cast("long") for a, n in zip("zyx", chunks, strict=True)}
+    inside = F.struct(*((F.col(a) % n).cast("int").alias(a) for a, n in zip("zyx", chunks, strict=True)), "label")
+    held = voxels.withColumns(place).groupBy(*place).agg(F.collect_list(inside).alias("v"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, out = [], []
+            for *at, spots in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                data = np.full(chunks, fill, np.dtype(dtype))
+                data[tuple([s[a] for s in spots] for a in "zyx")] = [s["label"] for s in spots]
+                names.append(".".join(map(str, at)))
+                out.append(zlib.compress(data.tobytes(order=order), 1))
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(out, pa.binary())], ["name", "payload"])
+
+    meta = {"zarr_format": 2, "shape": shape, "chunks": chunks, "dtype": dtype, "order": order, "fill_value": fill, "filters": None, "compressor": {"id": "zlib", "level": 1}}
+    files = held.mapInArrow(pack, "name string, payload binary")
+    about = voxels.sparkSession.createDataFrame([(".zarray", bytearray(json.dumps(meta).encode()))], "name string, payload binary")
+    formats.write_payloads(files.union(about), path, "name")
+
+
 def write_zarr(path: str, data: np.ndarray, chunks: tuple[int, ...], attrs: dict | None = None, version: int = 2, codec: str | None = "zlib") -> None:
     """A small local volume, for examples and tests."""
     import os
