@@ -230,7 +230,8 @@ def repaired(vertices: np.ndarray, faces: np.ndarray, max_hole: int = 30) -> tup
 def simplified(vertices: np.ndarray, faces: np.ndarray, target: int, keep_border: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Edges are collapsed, the cheapest by the quadric error first, until at most ``target`` faces are left.
 
-    An edge collapses only if its ends share just the two corners beside it, no face flips, and no border vertex moves.
+    An edge collapses only if its ends share just the two corners beside it, no face flips, no border vertex moves, and no
+    new edge joins two border vertices, as the piece beyond the border may have that edge too.
     """
     pos = vertices.astype(float).copy()
     alive = {i: list(f) for i, f in enumerate(faces.tolist())}
@@ -287,6 +288,8 @@ def simplified(vertices: np.ndarray, faces: np.ndarray, target: int, keep_border
         place = np.array(spot)
         if not shared or len(around(x) & around(y)) != len(shared) or flips(x, y, place) or flips(y, x, place):
             continue
+        if (x in border) != (y in border) and border & (around(y) - around(x) - {x} if x in border else around(x) - around(y) - {y}):
+            continue
         for i in shared:
             for v in alive[i]:
                 of[v].discard(i)
@@ -352,6 +355,8 @@ def swept(vertices: np.ndarray, faces: np.ndarray, target: int, keep_border: boo
             shared = set(of[x]) & set(of[y])
             if dirty & (rx | ry) or len((rx & ry) - {x, y}) != len(shared):
                 continue
+            if border[x] != border[y] and any(border[w] for w in (ry - rx if border[x] else rx - ry)):
+                continue
             moved = [i for v in (x, y) for i in of[v] if i not in shared]
             now = np.array([[middle[k] if v in (x, y) else pos[v] for v in tris[i].tolist()] for i in moved]).reshape(-1, 3, 3)
             was = pos[tris[moved]].reshape(-1, 3, 3)
