@@ -309,7 +309,9 @@ def clip_half_space(soup: DataFrame, axis: str, at: float, keep_above: bool) ->
 
     def cut(m: str, n: str) -> Column:
         t = F.try_divide(at - F.col(f"{m}.{axis}"), F.col(f"{n}.{axis}") - F.col(f"{m}.{axis}"))
-        return F.struct(*((F.col(f"{m}.{a}") + (F.col(f"{n}.{a}") - F.col(f"{m}.{a}")) * t).alias(a) for a in "xyz"))
+        # On the plane itself, not next to it by rounding, so that what is cut at one plane fits.
+        between = {a: F.col(f"{m}.{a}") + (F.col(f"{n}.{a}") - F.col(f"{m}.{a}")) * t for a in "xyz" if a != axis}
+        return F.struct(*(between.get(a, F.lit(float(at))).alias(a) for a in "xyz"))
 
     three = lambda a, b, c: F.struct(a.alias("a"), b.alias("b"), c.alias("c"))
     p, q, r = (F.col(f"_{n}") for n in "pqr")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 WIDTH = 8  # of a terrain's grid
-SPACE = 48  # edge of the solids' volume
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,11 +23,16 @@ def voxels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def solids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Balls around the parts' places, labelled by size; where they overlap the least label wins."""
-    parts = table(spark, sf_dir, "part").select(
-        *((F.col("p_partkey") * k % SPACE).cast("long").alias(f"c{a}") for a, k in (("z", 37), ("y", 53), ("x", 29))),
-        F.col("p_size").cast("long").alias("label"), (F.col("p_size") % 2 + 2).cast("long").alias("r"),
-    ).distinct()
+    """A ball for each part in a cube that grows with their number; five neighbours in a row are one label.  Where balls
+    overlap the least label wins."""
+    table_of_parts = table(spark, sf_dir, "part")
+    edge = math.ceil(table_of_parts.count() ** (1 / 3))
+    q = F.col("p_partkey")
+    place = {"z": F.floor(q / (edge * edge)), "y": F.floor(q / edge) % edge, "x": q % edge}
+    parts = table_of_parts.select(
+        *((c * 4 + 3 + (F.col("p_partkey") % 2 if a == "y" else 0)).cast("long").alias(f"c{a}") for a, c in place.items()),
+        (F.floor(q / 5) + 1).cast("long").alias("label"), (F.col("p_size") % 2 + 1).cast("long").alias("r"),
+    )
     out = parts
     for a in "zyx":
         out = out.withColumn(f"d{a}", F.explode(F.expr("sequence(-r, r)")))
