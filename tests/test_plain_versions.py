@@ -313,3 +313,14 @@ def test_command_line_flags(spark, tmp_path):
     assert k.boundary_loops(f) and v[:, 0].max() <= 60  # the region's side at x = 60 is open
     main(["skeletonize-single", f"{tmp_path}/cut/7", f"{tmp_path}/text"], spark)
     assert (tmp_path / "text/7.txt").read_text().startswith("v ")
+
+
+def test_subdivision_keeps_the_surface(ball):
+    v, f = k.subdivided(*ball)
+    assert len(f) == 4 * len(ball[1]) and k.is_valid(v, f)
+    assert k.signed_volume(v, f) == pytest.approx(k.signed_volume(*ball), rel=0.05)
+    flat = np.array([[0, 0, 0], [2, 0, 0], [2, 2, 0], [0, 2, 0.0]]), np.array([[0, 1, 2], [0, 2, 3]])
+    v, f = k.subdivided(*flat)
+    assert len(v) == 9 and len(f) == 8 and [1, 0, 0] in v.tolist() and len(k.boundary_loops(f)[0]) == 8
+    nodes, edges = k.skeleton_of_mesh(*ball, subdivisions=1)
+    assert len(nodes) and all(0 <= x < len(nodes) for e in edges for x in e)

@@ -220,12 +220,12 @@ def skeleton_metrics(skeletons: DataFrame, least_branch: float = 100.0) -> DataF
     return got.orderBy(F.desc("lsp"), "skel_id")
 
 
-def skeletons_of_meshes(meshes: DataFrame) -> DataFrame:
+def skeletons_of_meshes(meshes: DataFrame, subdivisions: int = 0) -> DataFrame:
     """(skel_id, nodes, edges) by contraction."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [kernels.skeleton_of_mesh(np.array(v, float).reshape(-1, 3), np.array(f, np.int64).reshape(-1, 3)) for v, f in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            out = [kernels.skeleton_of_mesh(np.array(v, float).reshape(-1, 3), np.array(f, np.int64).reshape(-1, 3), subdivisions=subdivisions) for v, f in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([n.tolist() for n, _ in out], pa.list_(pa.list_(pa.float64()))), pa.array([[list(e) for e in x] for _, x in out], pa.list_(pa.list_(pa.int64())))],
                 ["skel_id", "nodes", "edges"],
