@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm import fixtures
-from voxmill.llm import common, packing, pii, quality_classifier, quality_rules, queries, secrets
+from voxmill.llm import chat, common, line_dedup, mixing, near_dedup, packing, pii, quality_classifier, quality_rules, queries, secrets
 from voxmill.llm.gazetteers import Gazetteers
 
 SF01 = "/root/testdata/sf0.01"
@@ -310,3 +310,72 @@ def test_packing_with_clashing_names(spark):
     got = packing.pack_documents(docs, queries.word_tokenizer())
     assert got.columns == ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "input_ids"]
     assert got.filter("start = 0").count() == docs.count()
+
+
+# --- both sides of each switch that a size throws -------------------------------------------------------------------------
+
+
+def test_joins_by_shuffle_give_what_broadcasts_give(spark, sf, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    work = {
+        line_dedup: lambda: line_dedup.remove_repeated_chunks(docs).select("doc_id", "text", "line_n_removed"),
+        near_dedup: lambda: near_dedup.near_classes(docs).select("doc_id", "class_id", "class_size", "kept"),
+        mixing: lambda: mixing.mix_sources(docs, max_repetition=2.0).select("doc_id", "mix_epoch", "mix_order"),
+    }
+    for module, run in work.items():
+        small = sorted(map(str, run().collect()))
+        monkeypatch.setattr(module, "BROADCAST_ROWS", -1)
+        assert sorted(map(str, run().collect())) == small
+
+
+def test_places_are_cut_in_two_steps(spark, monkeypatch):
+    """However many first digits are used, the same documents are read."""
+    rows = [(i, "w " * (i % 13), "big" if i < 900 else f"small{i % 3}") for i in range(1100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = []
+    for digits in (1, 4, 12):
+        monkeypatch.setattr(mixing, "_DIGITS", digits)
+        mixed = mixing.mix_sources(docs, target_entropy=1.9, budget=2500, n_blocks=3)
+        got.append(sorted((r.doc_id, r.mix_epoch) for r in mixed.collect()))
+    assert got[0] == got[1] == got[2] and 0 < len(got[0])
+
+
+def test_too_many_epochs_are_an_error(spark):
+    rows = [(1, "w", "tiny"), *((i, "w " * 5000, "big") for i in range(2, 9))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    with pytest.raises(ValueError, match="read"):
+        mixing.mix_sources(docs, target_entropy=1.0)
+
+
+def test_digests_that_clash_are_told_apart(spark, monkeypatch):
+    """If digests of repeated parts were alike, their bytes would be compared in the join, too."""
+    from pyspark.sql import functions
+
+    long = [" ".join(f"v{k}x{i}" for i in range(60)) for k in range(3)]
+    docs = spark.createDataFrame([(i, f"a{i}\n{long[i % 3]}\nb{i}") for i in range(9)], "doc_id long, text string")
+    want = sorted(map(tuple, line_dedup.remove_repeated_chunks(docs).select("doc_id", "text").collect()))
+    real = functions.xxhash64
+    monkeypatch.setattr(line_dedup.F, "xxhash64", lambda *c: F.lit(7).cast("long") if "body" in map(str, c) else real(*c))
+    assert sorted(map(tuple, line_dedup.remove_repeated_chunks(docs).select("doc_id", "text").collect())) == want
+    assert sum(len(t.split()) < 10 for _, t in want) == 6
+
+
+# --- chat ------------------------------------------------------------------------------------------------------------
+
+
+def test_chat_bears_awkward_tables(spark):
+    schema = "conv_id long, turn long, role string, text string, example long, formatted string, _conv long, w string"
+    assert chat.chat_examples(spark.createDataFrame([], schema)).count() == 0
+    extra = (1, "x", 2, "y")
+    rows = [(1, 0, "user", "hi", *extra), (1, 1, "assistant", "same", *extra), (1, 1, "assistant", "same", *extra), (2, None, None, None, *extra)]
+    rows += [(3, 0, "user", "w" * 300_000, *extra), (3, 1, "assistant", "\\" * 5, *extra)]
+    got = collections.defaultdict(list)
+    for r in chat.chat_examples(spark.createDataFrame(rows, schema)).collect():
+        got[r.conv_id].append(r)
+    assert [(r.trainable, r.formatted[r.loss_start : r.loss_end]) for r in sorted(got[1], key=lambda r: r.example)] == [(True, "same")] * 2
+    assert [(r.trainable, r.last) for r in got[2]] == [(False, True)] and got[2][0].formatted == "<|im_start|>\n<|im_end|>\n"
+    assert len(got[3][0].formatted) > 300_000 and got[3][0].formatted[got[3][0].loss_start : got[3][0].loss_end] == "\\" * 10
+    clash = spark.createDataFrame([(1, "a\nb")], "doc_id long, text string").withColumn("line_n_lines", F.lit(0))
+    with pytest.raises(ValueError, match="prefix"):
+        line_dedup.remove_repeated_chunks(clash)
+    assert "line_n_lines" in line_dedup.remove_repeated_chunks(clash, prefix="out_").columns

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, content_key, join_hot, shielded
+from .common import Scratch, content_key, join_hot, shielded, slices
 
 #: A boundary falls behind a line with a chance of 1 in MEAN_LINES.
 MEAN_LINES = 4
@@ -126,7 +126,7 @@ def _cut_rows(docs: DataFrame, id_col: str, text_col: str, mean_lines: int, min_
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        for batch in batches:
+        for batch in slices(batches):
             rows: list[tuple[int, int, int, int]] = []
             at: list[int] = []
             for i, text in enumerate(batch.column(2).to_pylist()):
@@ -153,7 +153,7 @@ def _with_bytes(docs: DataFrame, id_col: str, text_col: str, spans: DataFrame) -
     source = _with_lists(source, spans).select("_k1", "_k2", "_id", "_text", "_list")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows: list[tuple[int, int, int, int, str]] = []
             at: list[int] = []
             for i, (text, spans) in enumerate(zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)):
@@ -244,7 +244,7 @@ def remove_repeated_chunks(
     joined = joined.select(F.struct(*(F.col(c) for c in docs.columns if c != text_col)).alias("doc"), F.col(text_col).alias("text"), F.col("_list").alias("gone"))
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out, digests, counts = [], [], []
             for text, gone in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 before, digest = (text or "").count("\n") + 1, None

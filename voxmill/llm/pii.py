@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch
+from .common import Scratch, slices
 from .gazetteers import Gazetteers, issuer_known, public_address
 
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -318,7 +318,7 @@ def candidate_rows(docs: DataFrame, id_col: str, text_col: str, lists: Gazetteer
 
     def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("s", pa.int32()), ("r", pa.int32()), ("e", pa.int32()), ("v", pa.int32()), ("f", pa.list_(pa.int32()))]))
-        for batch in batches:
+        for batch in slices(batches):
             got = [[dict(zip("srevf", x, strict=True)) for x in candidates(t.as_py() or "", lists)] for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, kind)], ["id", "found"])
 
@@ -351,7 +351,7 @@ def find_personal_data(
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = sent.value
-        for batch in batches:
+        for batch in slices(batches):
             out = [chosen([(x["s"], x["r"], x["e"], x["f"]) for x in held], w, threshold) for held in batch.column(1).to_pylist()]
             rows = [[dict(start=s, end=e, kind=KINDS[r], base=r < len(BASE_KINDS), score=p) for s, r, e, p in spans] for spans in out]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(span))], ["id", "spans"])

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import slices
 from .textstats import SYMBOLS, WORDS, Statistics, ratios, statistics
 
 FIT_ROWS = 4096
@@ -235,8 +236,10 @@ def classify_quality(
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def pattern(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got: Counter[int] = Counter()
         for batch in batches:
-            got = Counter(votes(words, found) for words, found in map(_measured, batch.column(0)))
+            got.update(votes(words, found) for words, found in map(_measured, batch.column(0)))
+        if got:
             yield pa.RecordBatch.from_arrays([pa.array(list(got), pa.int64()), pa.array(list(got.values()), pa.int64())], ["votes", "n"])
 
     counted = source.select("text").mapInArrow(pattern, "votes long, n long").groupBy("votes").agg(F.sum("n").alias("n"))
@@ -245,7 +248,7 @@ def classify_quality(
     posterior = dict(zip([r[0] for r in rows], found.good.tolist(), strict=True))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             target, got = [], []
             for words, found in map(_measured, batch.column(0)):
                 target.append(posterior[votes(words, found)])
@@ -278,7 +281,7 @@ def classify_quality(
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, known = sent.value
-        for batch in batches:
+        for batch in slices(batches):
             found, scores = [], []
             for words, measured in map(_measured, batch.column(1)):
                 found.append(votes(words, measured))
