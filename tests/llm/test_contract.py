@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm import fixtures
-from voxmill.llm import chat, exact_dedup, line_dedup, mixing, near_dedup, packing, pii, quality_classifier, quality_rules, queries, secrets
+from voxmill.llm import chat, common, exact_dedup, line_dedup, mixing, near_dedup, packing, pii, quality_classifier, quality_rules, queries, secrets
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SPACE = re.compile(r"[\x20\x09-\x0D]+")
@@ -511,6 +511,7 @@ def test_op9_many_shards(spark, monkeypatch):
 def test_op9_leaders_and_blocks(spark, monkeypatch):
     """Copies drift from one to the next, so leaders miss links that only the full comparison finds."""
     monkeypatch.setattr(near_dedup, "ROUNDS", 1)
+    monkeypatch.setattr(common, "FEW_ROWS", 100)
     monkeypatch.setattr(near_dedup, "BLOCK_NODES", 6)
     monkeypatch.setattr(near_dedup, "MEMBERS", 4)
     import random

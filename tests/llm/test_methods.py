@@ -253,13 +253,14 @@ def test_long_credentials_in_urls(spark):
 
 def test_hot_keys_join_like_others(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(common, "HOT_LEAST", 2)
+    monkeypatch.setattr(common, "FEW_ROWS", 0)
     monkeypatch.setattr(common, "HOT_PARTS", 4)
     left = spark.createDataFrame([(i, "a" if i < 40 else f"k{i % 7}" if i % 5 else None) for i in range(70)], "i long, k string")
     right = spark.createDataFrame([("a", 1), *((f"k{i}", i) for i in range(5))], "k string, v long")
     scratch = common.Scratch(spark, "test")
     left = scratch.put(left, "left")
     for how in ("inner", "left"):
-        got = common.join_hot(left, right, ["k"], scratch, f"hot-{how}", how)
+        got = common.join_hot(left, right, ["k"], how)
         want = left.join(right, ["k"], how)
         assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
         assert "BroadcastHashJoin" in got._jdf.queryExecution().toString()

@@ -63,30 +63,31 @@ class Scratch:
 
 #: A key that holds more than one in HOT_PARTS of all rows is joined by broadcast; there are fewer than HOT_PARTS of them.
 HOT_PARTS = 2000
-#: Keys with no more rows than this are never hot.
-HOT_LEAST = 20
+#: Keys with no more rows than this are never hot, nor are any in a table with no more than FEW_ROWS.
+HOT_LEAST, FEW_ROWS = 20, 2000
 
 
-def join_hot(
-    left: DataFrame, right: DataFrame, keys: list[str], scratch: Scratch, name: str, how: str = "inner", counted: str | None = None
-) -> DataFrame:
+def join_hot(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", counted: str | None = None) -> DataFrame:
     """``left`` joined on ``keys`` with ``right``, which has one row a key; a hot key does not land in one task.
 
-    Keys of many rows are counted first, unless ``right`` has their rows in the column ``counted``.  Their rows of
-    ``right``, fewer than ``HOT_PARTS``, are broadcast; all other keys are joined by shuffle.  ``left`` should be a table,
-    as it is read three times.
+    Keys of many rows are counted first, unless ``right`` has their rows in the column ``counted``; the hashes of these
+    keys, fewer than ``HOT_PARTS``, come to the driver.  Their rows of ``right`` are broadcast; all other keys are joined by
+    shuffle.  Both sides should be tables, as they are read more than once.
     """
-    least = max(HOT_LEAST, left.count() // HOT_PARTS)
+    n = left.count()
+    if n <= FEW_ROWS:
+        return left.join(right, keys, how)
+    least, mark = max(HOT_LEAST, n // HOT_PARTS), F.xxhash64(*keys)
     if counted:
-        hot = right.filter(F.col(counted) > least).select(*keys)
+        hot = right.filter(F.col(counted) > least)
     else:
-        hot = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > least).select(*keys)
-    hot = scratch.put(hot.na.drop(), name)
-    if not hot.take(1):
+        hot = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > least)
+    marks = [r[0] for r in hot.na.drop(subset=keys).select(mark).collect()]
+    if not marks:
         return left.join(right, keys, how)
-    few = F.broadcast(right.join(F.broadcast(hot), keys, "left_semi"))
-    split = left.join(F.broadcast(hot), keys, "left_semi").join(few, keys, how)
-    return split.unionByName(left.join(F.broadcast(hot), keys, "left_anti").join(right, keys, how))
+    # A key whose hash is that of a hot one goes with it, on both sides.
+    few = F.broadcast(right.filter(mark.isin(marks)))
+    return left.filter(mark.isin(marks)).join(few, keys, how).unionByName(left.filter(~mark.isin(marks)).join(right.filter(~mark.isin(marks)), keys, how))
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
@@ -94,6 +95,7 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.Re
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
+    pa.default_memory_pool().release_unused()  # the worker lives on for other tasks
 
 
 def whole_text(col: str | Column) -> Column:

@@ -99,7 +99,7 @@ def exact_groups(
     finished = None
     for level in range(levels + 1):
         names = scratch.put(sorted_names(rows), f"names{level}")
-        named = join_hot(rows, names, ["k1", "k2"], scratch, f"hot{level}", counted="held")
+        named = join_hot(rows, names, ["k1", "k2"], counted="held")
         named = scratch.put(named.select("row_id", "n", "pos", "name"), f"level{level}")
         scratch.drop(f"names{level}", f"hot{level}")
         if level:
@@ -124,7 +124,7 @@ def exact_groups(
     groups = scratch.put(
         identity.groupBy("level", "name").agg(first.alias("first"), F.count(F.lit(1)).alias("group_size")), "groups"
     )
-    return join_hot(identity, groups, ["level", "name"], scratch, "hot", counted="group_size").select(
+    return join_hot(identity, groups, ["level", "name"], counted="group_size").select(
         F.col("_id").alias(id_col),
         F.col("first._id").alias("keep_id"),
         F.col("group_size"),

@@ -213,7 +213,7 @@ def repeated_cuts(
     if groups.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").take(1):
         key.append("body")
     removed = join_hot(
-        found.select(*key, "_k1", "_k2", "start", "end"), groups.select(*key, "first", "n"), key, scratch, "hot", counted="n"
+        found.select(*key, "_k1", "_k2", "start", "end"), groups.select(*key, "first", "n"), key, counted="n"
     ).filter(
         (F.col("_k1") != F.col("first._k1")) | (F.col("_k2") != F.col("first._k2")) | (F.col("start") != F.col("first.start"))
     )

@@ -14,7 +14,8 @@ Scale: texts with the same words are one node.  All nodes with one sketch are a
 least node leads it and is compared with the others; those linked to it leave with it, the rest stay for the next round.
 A node meets a leader once, however many buckets they share, and the members of a leader are dealt to several tasks.
 That gives classes.  What could still link two of them is compared in full: a node that its leader is not linked to
-but is 0.4 or more alike, with the leader's links (nodes less alike than that can't be linked to any of them); and the
+but is 0.4 or more alike, with the leader's links (nodes less alike than that can't be linked to any of them, nor those
+further from the leader than its furthest link and 0.2 more); and the
 nodes that a bucket has left after ``ROUNDS`` rounds, with each other.  Both in pairs of bounded blocks of similar
 lengths, and only where classes differ.  So no link among candidates is lost, no pairs of a group are listed, and no task
 holds more than two blocks.  Classes are connected components of the links.
@@ -22,7 +23,7 @@ holds more than two blocks.  Classes are connected components of the links.
 What is lost is a link whose texts share no sketch.  With c windows in common of u in all, the chance is
 (1 - c (c - 1) / (u (u - 1))) ** 24: for c / u = 0.8 about 10 ** -11, for 0.6 2 in 10 ** 5, for 0.5 0.1 %, for 0.4 1.5 %,
 for 0.3 10 %.  Edits that lie far apart cost most windows: 3 scattered edits in 100 words leave c / u = 0.73, 6 leave
-0.53.  Texts under seven words have too few windows to be found unless they share the first one or two.
+0.53.  In a text under some twenty words one edit in its middle can cost all windows, so such links are often lost.
 
 Edge cases: a null text counts as empty; texts without words are one node; a text with fewer than five words has one
 window of all its words; a null id ranks behind all others; repeated rows fall into one class; an empty table
@@ -41,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, content_key, join_hot, shielded
+from .common import Scratch, content_key, join_hot, shielded, slices
 from .textstats import WORDS
 
 SHINGLE = 5
@@ -53,10 +54,10 @@ TUPLE = 2
 #: Rounds in which each bucket has a leader.
 ROUNDS = 3
 #: Members that one task compares with a leader.
-MEMBERS = 500
+MEMBERS = 100
 #: A block holds about so many nodes, and about so many words, unless one node has more.
-BLOCK_NODES = 1000
-BLOCK_WORDS = 2_000_000
+BLOCK_NODES = 2500
+BLOCK_WORDS = 1_200_000
 #: The keys of at most so many nodes (about 40 bytes each) are broadcast to the texts; more are joined by shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -74,7 +75,7 @@ class _WordHash(dict):
     def __missing__(self, word: str) -> int:
         import xxhash
 
-        if len(self) > 250_000:
+        if len(self) > 100_000:
             self.clear()
         out = self[word] = xxhash.xxh3_64_intdigest(word.encode())
         return out
@@ -117,9 +118,13 @@ def sketches(windows: np.ndarray, n: int = SKETCHES, size: int = TUPLE) -> np.nd
     """For each hash function one number: the least windows in text order."""
     size = min(size, len(windows))
     least = np.empty((n, size), np.int64)
-    step = max(1, 1_000_000 // len(windows))
+    step = max(1, 250_000 // len(windows))
     for i in range(0, n, step):
-        least[i : i + step] = np.argpartition(_mixed(windows ^ _seeds(n)[i : i + step, None]), size - 1, axis=1)[:, :size]
+        hashed = _mixed(windows ^ _seeds(n)[i : i + step, None])
+        row = np.arange(len(hashed))
+        for k in range(size):
+            least[i : i + step, k] = at = hashed.argmin(1)
+            hashed[row, at] = np.iinfo(np.uint64).max
     least.sort(axis=1)
     out = np.arange(n, dtype=np.uint64)
     for column in windows[least].T:
@@ -216,7 +221,7 @@ class Classes:
 
 
 #: Cells of the dense table that counts shared words, filled column block by column block.
-_TABLE_CELLS = 8_000_000
+_TABLE_CELLS = 4_000_000
 
 
 def likeness(left: list[Words], right: list[Words] | None = None) -> np.ndarray:
@@ -243,8 +248,11 @@ def likeness(left: list[Words], right: list[Words] | None = None) -> np.ndarray:
             cells[row[lo:hi], column[lo:hi] - first] = 1
             shared += cells[: len(left)] @ (cells if right is None else cells[len(left) :]).T
     n, m = (np.array([w.n for w in x], np.float32) for x in (left, left if right is None else right))
-    total = n[:, None] + m[None, :] - shared
-    return np.where(total > 0, shared / np.maximum(total, 1), 1.0)
+    total = n[:, None] + m[None, :]
+    np.subtract(total, shared, out=total)
+    shared[total <= 0] = 1
+    np.maximum(total, 1, out=total)
+    return np.divide(shared, total, out=shared)
 
 
 def block_links(ours: list[tuple], theirs: list[tuple] | None) -> list[tuple[int, int]]:
@@ -271,7 +279,7 @@ def _groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[tu
     """Rows by their first columns; equal keys follow each other.  Rows are read one by one, as they are asked for."""
 
     def rows() -> Iterator[tuple]:
-        for batch in batches:
+        for batch in slices(batches):
             narrow = [c.to_pylist() for c in batch.columns[:-1]]
             for i, text in enumerate(batch.columns[-1]):
                 yield (*(c[i] for c in narrow), text.as_py())
@@ -300,7 +308,7 @@ def components(nodes: DataFrame, links: DataFrame, scratch: Scratch, name: str)
     step = 0
     while True:
         step += 1
-        told = join_hot(both, labels.withColumnRenamed("node", "b"), ["b"], scratch, f"{name}-{step}h")
+        told = join_hot(both, labels.withColumnRenamed("node", "b"), ["b"])
         heard = told.groupBy(F.col("a").alias("_n")).agg(F.min("label").alias("_l"))
         moved = labels.join(heard, F.col("node") == F.col("_n"), "left").select(
             "node", F.col("label").alias("was"), F.least("label", F.coalesce("_l", "label")).alias("label")
@@ -309,7 +317,7 @@ def components(nodes: DataFrame, links: DataFrame, scratch: Scratch, name: str)
         # Jump: the label of one's label; a label that many nodes have is joined apart.
         apart = scratch.put(moved.filter("label <> node"), f"{name}-{step}b")
         far = moved.select(F.col("node").alias("label"), F.col("label").alias("_l"))
-        jumped = join_hot(apart, far, ["label"], scratch, f"{name}-{step}j").select("node", "was", F.col("_l").alias("label"))
+        jumped = join_hot(apart, far, ["label"]).select("node", "was", F.col("_l").alias("label"))
         new = scratch.put(jumped.union(moved.filter("label = node")), f"{name}-{step}")
         scratch.drop(f"{name}-{step - 1}", *(f"{name}-{step}{x}" for x in "habj"))
         labels = new.select("node", "label")
@@ -323,7 +331,7 @@ def sketch_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     source = docs.select(*content_key(id_col, text_col), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             names, sizes, found = [], [], []
             for text in batch.column(3):
                 words = word_hashes(text.as_py())
@@ -361,10 +369,10 @@ def _with_texts(docs: DataFrame, id_col: str, text_col: str, nodes: DataFrame, s
 
 
 def _compared(pairs: DataFrame, texts: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """(leader, node, state) of the pairs (leader, node): 2 linked, 1 not, but perhaps alike enough to share a link, 0 else."""
+    """(leader, node, n, alike) of the pairs (leader, node): the node's words, and their similarity, 0 if it is less than FAR."""
     counts = pairs.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("parts"))
     counts = scratch.put(counts, f"{name}-counts")
-    dealt = join_hot(pairs, counts, ["leader"], scratch, f"{name}-hot").select(
+    dealt = join_hot(pairs, counts, ["leader"]).select(
         "leader", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), "node"
     )
     members = dealt.join(texts, "node").select("leader", "part", "node", "text")
@@ -378,15 +386,18 @@ def _compared(pairs: DataFrame, texts: DataFrame, scratch: Scratch, name: str) -
             first = Words(next(rows)[1])  # the leader's row has no node, so it comes first
             for node, text in rows:
                 words = Words(text)
-                shared = common_words(first, words)
-                near = shared >= FAR * (first.n + words.n - shared)
-                out.append((leader, node, 2 if similarity(first, words) else int(near)))
+                # Most pairs are settled in the narrow band.
+                out.append((leader, node, words.n, similarity(first, words) or similarity(first, words, FAR)))
             if len(out) > 10_000:
-                yield _pairs(out, ["leader", "node", "state"])
+                yield told(out)
                 out = []
-        yield _pairs(out, ["leader", "node", "state"])
+        yield told(out)
 
-    found = _grouped(members.union(leaders), ["leader", "part"], "node").mapInArrow(compare, "leader long, node long, state long")
+    def told(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64())
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["leader", "node", "n", "alike"])
+
+    found = _grouped(members.union(leaders), ["leader", "part"], "node").mapInArrow(compare, "leader long, node long, n long, alike double")
     return scratch.put(found, name)
 
 
@@ -398,13 +409,13 @@ def _in_blocks(groups: DataFrame, texts: DataFrame, scratch: Scratch, name: str)
     # Texts linked differ in length by a quarter at most, so only neighbouring bands of lengths meet.
     one = (F.col("held") <= BLOCK_NODES) & (F.col("words") <= BLOCK_WORDS)
     band = F.when(one, 0).otherwise(F.floor(F.log(F.greatest("n", F.lit(1))) / math.log(1 / SIMILARITY) - 1e-9)).cast("int")
-    banded = join_hot(groups, sizes, ["g"], scratch, f"{name}-hot").select("g", "side", "node", "label", "n", band.alias("band"))
+    banded = join_hot(groups, sizes, ["g"]).select("g", "side", "node", "label", "n", band.alias("band"))
     banded = scratch.put(banded, f"{name}-banded")
     parts = banded.groupBy("g", "band").agg(
         F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_NODES), F.ceil(F.sum("n") / BLOCK_WORDS)).cast("int").alias("p")
     )
     parts = scratch.put(parts.groupBy("g").agg(F.map_from_entries(F.collect_list(F.struct("band", "p"))).alias("parts")), f"{name}-parts")
-    held = join_hot(banded, parts, ["g"], scratch, f"{name}-hot2")
+    held = join_hot(banded, parts, ["g"])
     held = held.withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.expr("parts[band]")).cast("int"))
     place = F.expr(
         """concat(
@@ -430,7 +441,7 @@ def _links(docs: DataFrame, id_col: str, text_col: str, nodes: DataFrame, scratc
     each = nodes.select("node", "n", F.explode("sketches").alias("sketch"))
     buckets = each.groupBy("sketch").agg(F.min(F.struct("node", "n")).alias("first"), F.count(F.lit(1)).alias("held")).filter("held > 1")
     buckets = scratch.put(buckets.select("sketch", F.col("first.node").alias("leader"), F.col("first.n").alias("nl"), "held"), "buckets")
-    active = scratch.put(join_hot(each, buckets, ["sketch"], scratch, "hot", counted="held").drop("held"), "active0")
+    active = scratch.put(join_hot(each, buckets, ["sketch"], counted="held").drop("held"), "active0")
     wanted = nodes.join(active.select("node").distinct(), "node", "left_semi")
     wanted = wanted.select("node", F.col("first._k1").alias("_f1"), F.col("first._k2").alias("_f2"))
     texts = _with_texts(docs, id_col, text_col, scratch.put(wanted, "wanted"), scratch)
@@ -441,36 +452,53 @@ def _links(docs: DataFrame, id_col: str, text_col: str, nodes: DataFrame, scratc
         ratio = F.least("n", "nl") / F.greatest("n", "nl")
         met = scratch.put(met.withColumn("ratio", ratio), f"met{r}")
         found = _compared(met.filter(F.col("ratio") >= SIMILARITY).select("leader", "node"), texts, scratch, f"found{r}")
-        short = met.filter(F.col("ratio") < SIMILARITY).select("leader", "node", (F.col("ratio") >= FAR).cast("long").alias("state"))
-        found = found.unionByName(short)
-        new = found.filter("state = 2").select(F.col("leader").alias("a"), F.col("node").alias("b"))
+        # Texts of such different lengths are not compared; they are as alike as their lengths at most.
+        found = found.unionByName(met.filter(F.col("ratio") < SIMILARITY).select("leader", "node", "n", F.col("ratio").alias("alike")))
+        linked = F.col("alike") >= SIMILARITY
+        new = found.filter(linked).select(F.col("leader").alias("a"), F.col("node").alias("b"), "n", "alike")
         links = new if links is None else links.union(new)
-        near = found.filter("state = 1").select("leader", "node")
+        # A text linked to one of the leader's links is at most so much shorter or longer than the leader.
+        lengths = F.least("n", "nl") >= SIMILARITY**2 * F.greatest("n", "nl")
+        near = found.filter(~linked & (F.col("alike") >= FAR)).join(met.filter(lengths).select("leader", "node"), ["leader", "node"], "left_semi")
         maybe = near if maybe is None else maybe.union(near)
-        left = active.join(found.filter("state < 2").select("leader", "node"), ["leader", "node"]).select("sketch", "node", "n")
+        left = active.join(found.filter(~linked).select("leader", "node"), ["leader", "node"]).select("sketch", "node", "n")
         left = scratch.put(left, f"left{r}")
         leads = left.groupBy("sketch").agg(F.min(F.struct("node", "n")).alias("first"), F.count(F.lit(1)).alias("held")).filter("held > 1")
         leads = scratch.put(leads.select("sketch", F.col("first.node").alias("leader"), F.col("first.n").alias("nl"), "held"), f"leads{r}")
-        active = join_hot(left, leads, ["sketch"], scratch, f"hot{r}", counted="held").drop("held")
+        active = join_hot(left, leads, ["sketch"], counted="held").drop("held")
         active = scratch.put(active, f"active{r + 1}")
         scratch.drop(f"active{r}", f"left{r}", f"leads{r}", f"hot{r}")
+        if not active.take(1):
+            break
 
     # What could still link two classes.
     labels = components(nodes.join(texts.select("node"), "node", "left_semi"), links, scratch, "first")
     labelled = scratch.put(labels.join(nodes.select("node", "n"), "node"), "labelled")
+    # A leader's links that lie r from it at most can reach a text that lies r + 0.2 from it at most.
+    stars = scratch.put(links.select(F.col("a").alias("leader"), F.col("b").alias("node"), "n", "alike"), "all-stars")
+    reach = stars.groupBy("leader").agg(F.min("alike").alias("least"))
+    maybe = join_hot(scratch.put(maybe, "perhaps"), reach, ["leader"])
+    maybe = maybe.filter(F.col("alike") >= F.col("least") - (1 - SIMILARITY) - 1e-9).select("leader", "node", "n", "alike").distinct()
+    maybe = scratch.put(maybe.join(labels, "node"), "maybe")
     of_leader = labels.select(F.col("node").alias("leader"), F.col("label").alias("ll"))
-    maybe = scratch.put(maybe.distinct().join(labelled, "node"), "maybe")
-    maybe = join_hot(maybe, of_leader, ["leader"], scratch, "maybe-hot").filter("label <> ll")
-    maybe = scratch.put(maybe.select(F.col("leader").alias("g"), F.lit(1).alias("side"), "node", "label", "n"), "apart")
-    stars = links.select(F.col("a").alias("g"), F.col("b").alias("node")).distinct()
-    stars = stars.join(maybe.select("g").distinct(), "g", "left_semi").join(labelled, "node")
-    members = maybe.union(stars.select("g", F.lit(2).alias("side"), "node", "label", "n"))
-    rest = scratch.put(active.select(F.col("sketch").alias("g"), "node").join(labelled, "node"), "rest-rows")
-    mixed = rest.groupBy("g").agg((F.min("label") < F.max("label")).alias("mixed"), F.count(F.lit(1)).alias("held")).filter("mixed")
-    rest = join_hot(rest, mixed, ["g"], scratch, "rest-hot", counted="held")
-    rest = rest.select("g", F.lit(0).alias("side"), "node", "label", "n")
-    more = _in_blocks(members, texts, scratch, "members").union(_in_blocks(rest, texts, scratch, "rest"))
-    return links.union(more)
+    maybe = join_hot(maybe, of_leader, ["leader"]).filter("label <> ll").withColumnRenamed("leader", "g")
+    maybe = scratch.put(maybe, "apart")
+    # A leader's links have its label; those too near to it reach none of these texts.
+    wanted = maybe.groupBy(F.col("g").alias("leader")).agg(F.any_value("ll").alias("label"), F.max("alike").alias("most"))
+    stars = join_hot(stars, wanted, ["leader"]).filter(F.col("alike") <= F.col("most") + (1 - SIMILARITY) + 1e-9)
+    stars = stars.select(F.col("leader").alias("g"), F.lit(2).alias("side"), "node", "label", "n").distinct()
+    members = maybe.select("g", F.lit(1).alias("side"), "node", "label", "n").union(stars)
+    links = links.select("a", "b")
+    if maybe.take(1):
+        links = links.union(_in_blocks(members, texts, scratch, "members"))
+    if active.take(1):
+        rest = scratch.put(active.select(F.col("sketch").alias("g"), "node").join(labelled, "node"), "left-over")
+        several = rest.groupBy("g").agg((F.min("label") < F.max("label")).alias("several"), F.count(F.lit(1)).alias("held"))
+        several = scratch.put(several.filter("several").drop("several"), "several")
+        rest = join_hot(rest, several, ["g"], counted="held")
+        rest = rest.select("g", F.lit(0).alias("side"), "node", "label", "n")
+        links = links.union(_in_blocks(rest, texts, scratch, "rest"))
+    return links
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -493,11 +521,11 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
     named = scratch.put(named, "named")
     whole = scratch.put(named.groupBy("label").agg(F.min("first").alias("best"), F.sum("copies").alias("class_size")), "whole")
-    result = join_hot(named, whole, ["label"], scratch, "hot-label").select("w1", "w2", "n", "best", "class_size", "n_links")
+    result = join_hot(named, whole, ["label"]).select("w1", "w2", "n", "best", "class_size", "n_links")
     result = scratch.put(result, "result")
     held = scratch.put(rows.drop("sketches"), "held")
     scratch.drop("nodes", "named", "links", "texts", "texts1", "rows", "whole")
-    return join_hot(held, result, ["w1", "w2", "n"], scratch, "hot-words").select(
+    return join_hot(held, result, ["w1", "w2", "n"]).select(
         F.col("_id").alias(id_col),
         F.col("best._id").alias("class_id"),
         "class_size",

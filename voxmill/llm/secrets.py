@@ -139,7 +139,7 @@ def find_secrets(
     copied = (F.col("n_owners") >= example_owners) | ((F.col("n_owners") > 1) & (F.col("n_repos") >= example_repos))
     kind = F.element_at(F.array(*map(F.lit, KINDS)), F.col("r") + 1)
     judged = (
-        join_hot(each, counts, ["v"], scratch, "hot")
+        join_hot(each, counts, ["v"])
         .withColumn("live", ~copied)
         .filter((F.col("r") < len(BASE_KINDS)) | F.col("live"))
         .groupBy("row_id")
