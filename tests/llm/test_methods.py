@@ -79,6 +79,40 @@ def test_threshold_is_the_least_that_spares_good_rows():
     assert quality_rules.calibrated(scores, good, 0.25) == pytest.approx(0.325)
 
 
+def test_every_labelled_row_counts(spark):
+    """Forest and threshold of 5000 labelled rows are those of all their ratios in one array."""
+    rng = random.Random(11)
+    words = ["oak", "river", "stone", "walks", "quietly", "Amber", "LOUD", "seven!", "#tag", "hill."]
+    made = [(i, " ".join(rng.choices(words, k=rng.randint(8, 40))), int(i % 9 > 0)) for i in range(5000)]
+    docs = spark.createDataFrame([r[:2] for r in made], "doc_id long, text string")
+    verdict = quality_rules.fit_verdict(docs, spark.createDataFrame([r[::2] for r in made], "doc_id long, quality int"))
+    values = np.array([quality_rules.ratios(quality_rules.statistics(t)) for _, t, _ in made])
+    good = np.array([q == 1 for _, _, q in made])
+    plain = quality_rules.IsolationForest(values[good])
+    assert verdict.forest.sample == plain.sample == good.sum()
+    assert all(np.array_equal(a, b) for x, y in zip(verdict.forest.trees, plain.trees, strict=True) for a, b in zip(x, y, strict=True))
+    assert verdict.threshold == quality_rules.calibrated(plain.score(values), good)
+    for feature, cut, left, right, depth in plain.trees[:3]:  # nodes hold the rows that a walk brings there
+        count = collections.Counter()
+        for row in values[good]:
+            at = 0
+            while feature[at] >= 0:
+                at = left[at] if row[feature[at]] < cut[at] else right[at]
+            count[at] += 1
+        assert sum(count.values()) == good.sum()
+        assert all(depth[at] == pytest.approx(int(math.log2(at + 1)) + quality_rules._mean_path(n)) for at, n in count.items())
+
+
+def test_threshold_of_a_table_is_that_of_an_array(spark):
+    rng = np.random.default_rng(5)
+    for n, step in ((400, 1e-17), (400, 0.05), (9, 0.2)):  # close together, many ties, few
+        scores, good = 0.5 + np.round(rng.random(n) / step) * step * 0.4, rng.random(n) < 0.8
+        lines = [(int(g), int(b)) for g, b in zip(good, scores.view(np.int64), strict=True)]
+        table = spark.createDataFrame(lines, "label int, bits long")
+        for part in (0.0, 0.002, 0.3):
+            assert quality_rules.calibrated_spread(table, part) == quality_rules.calibrated(scores, good, part)
+
+
 # --- quality classifier ----------------------------------------------------------------------------------------------
 
 
