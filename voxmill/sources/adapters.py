@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators import spread
+
 WIDTH = 8  # of a terrain's grid
+BALL = 33  # voxels of the largest solid
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,22 +25,34 @@ def voxels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.groupBy(cell("l_orderkey", "z"), cell("l_partkey", "y"), cell("l_suppkey", "x")).agg(F.min("l_linenumber").cast("long").alias("label"))
 
 
+def most_solid(spark: SparkSession, sf_dir: str) -> int:
+    """The solids have no more voxels than this; the table is not read for it."""
+    return BALL * table(spark, sf_dir, "part").count()
+
+
 def solids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A ball for each part in a cube that grows with their number; five neighbours in a row are one label.  Where balls
-    overlap the least label wins."""
+    overlap the least label wins.
+
+    Parts go to the blocks that their balls meet, and a block's voxels are made in one task: parts cross the network, not voxels.
+    """
     table_of_parts = table(spark, sf_dir, "part")
-    edge = math.ceil(table_of_parts.count() ** (1 / 3))
+    n_parts = table_of_parts.count()
+    edge = math.ceil(n_parts ** (1 / 3))
     q = F.col("p_partkey")
     place = {"z": F.floor(q / (edge * edge)), "y": F.floor(q / edge) % edge, "x": q % edge}
     parts = table_of_parts.select(
         *((c * 4 + 3 + (F.col("p_partkey") % 2 if a == "y" else 0)).cast("long").alias(f"c{a}") for a, c in place.items()),
         (F.floor(q / 5) + 1).cast("long").alias("label"), (F.col("p_size") % 2 + 1).cast("long").alias("r"),
     )
-    out = parts
+    low, high = ({a: F.col(f"c{a}") + F.col("r") * s for a in "zyx"} for s in (-1, 1))
+    out = spread.dealt(parts, spread.tasks(spark, n_parts * BALL), low, high)
     for a in "zyx":
-        out = out.withColumn(f"d{a}", F.explode(F.expr("sequence(-r, r)")))
-    inside = out.filter("dz * dz + dy * dy + dx * dx <= r * r")
-    return inside.groupBy(*((F.col(f"c{a}") + F.col(f"d{a}")).alias(a) for a in "zyx")).agg(F.min("label").alias("label"))
+        first = F.col(f"b{a}") * spread.BLOCK
+        out = out.withColumn(a, F.explode(F.sequence(F.greatest(low[a], first), F.least(high[a], first + (spread.BLOCK - 1)))))
+    d = {a: F.col(a) - F.col(f"c{a}") for a in "zyx"}
+    inside = out.filter(d["z"] * d["z"] + d["y"] * d["y"] + d["x"] * d["x"] <= F.col("r") * F.col("r"))
+    return inside.groupBy(*spread.BLOCKS, "z", "y", "x").agg(F.min("label").alias("label")).select("z", "y", "x", "label")
 
 
 def terrain(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
