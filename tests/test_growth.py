@@ -1,10 +1,11 @@
 """What one task, one worker or the disk holds does not grow with the tables; the ways that keep it so agree with the plain ones."""
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from voxmill.operators import mesh, spread, surface
-from voxmill.sources import adapters
+from voxmill.operators import mesh, objects, spread, surface
+from voxmill.sources import adapters, formats
 
 VOXELS = "z long, y long, x long, label long"
 
@@ -63,3 +64,23 @@ def test_validity_of_voxels_is_that_of_their_meshes(spark):
     assert [r[:-1] for r in got] == [r[:-1] for r in want] and len(got) == 4
     assert np.allclose([r[-1] for r in got], [r[-1] for r in want])
     assert plan(surface.validity(voxels, 10)).count("Exchange hash") == 2  # of voxels, and of the sums of labels
+
+
+def test_objects_are_taken_off_a_stream():
+    """Whole, whatever the batches; null is an object; batches that go back are small."""
+    rows = [(k, i) for k, n in ((1, 3), (2, 1), (None, 4), (7, 6)) for i in range(n)]
+    kind = pa.schema([("k", pa.int64()), ("i", pa.int64())])
+    for size in (1, 2, 5, 50):
+        batches = [pa.RecordBatch.from_pydict({"k": [r[0] for r in rows[i : i + size]], "i": [r[1] for r in rows[i : i + size]]}, schema=kind) for i in range(0, len(rows), size)]
+        got = [(k, held["i"].to_pylist()) for k, held in objects.runs([batches[0].slice(0, 0), *batches])]
+        assert got == [(1, [0, 1, 2]), (2, [0]), (None, [0, 1, 2, 3]), (7, [0, 1, 2, 3, 4, 5])]
+    out = list(objects.batched(((i, b"x" * objects.BYTES) for i in range(3)), pa.schema([("k", pa.int64()), ("v", pa.binary())])))
+    assert [b.num_rows for b in out] == [1, 1, 1]
+
+
+def test_index_files_from_flat_rows(spark):
+    """Rows of a segment that lie apart come together, in order; no worker gets all segments at once."""
+    rows = [(s, lod, p, p + s, 2 * p, lod, 10 * p) for s in range(30) for lod in (0, 1) for p in range(4 - lod)]
+    df = spark.createDataFrame(rows, "segment_id long, lod int, place long, fx long, fy long, fz long, n_bytes long").repartition(3)
+    assert rows_of(formats.index_rows(formats.index_files(df))) == rows_of(df)
+    assert "collect_list" not in plan(formats.index_files(df))

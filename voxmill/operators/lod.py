@@ -66,8 +66,9 @@ def with_placeholders(fragments: DataFrame, boxes: DataFrame) -> DataFrame:
         last = (F.ceil(F.col(f"hi_{a}") / F.pow(F.lit(2), F.col("lod"))) - 1).cast("long")
         cells = cells.filter(first <= last).withColumn(f"f{a}", F.explode(F.sequence(first, last)))
     key = ["segment_id", "lod", "fx", "fy", "fz"]
-    empty = cells.select(*key).join(fragments, key, "left_anti").withColumn("n_bytes", F.lit(0).cast("long"))
-    return empty.unionByName(fragments.select(*key, "n_bytes"))
+    empty = cells.select(*key, F.lit(0).cast("long").alias("n_bytes"))
+    # A sum with the fragment where there is one, not a join: rows that lie together by segment stay where they are.
+    return empty.unionByName(fragments.select(*key, "n_bytes")).groupBy(*key).agg(F.sum("n_bytes").alias("n_bytes"))
 
 
 def decomposed(soup: DataFrame, box: float) -> DataFrame:

@@ -10,7 +10,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from ..operators import objects
 from ..operators.kernels import MESH
 
 
@@ -144,18 +146,22 @@ def unpacked_index(raw: bytes) -> tuple[list[float], list[float], list[tuple[np.
 
 
 def index_files(rows: DataFrame) -> DataFrame:
-    """(segment_id, payload) of segments' index files; ``rows`` has an array f of (lod, place, fx, fy, fz, n_bytes) in order."""
+    """(segment_id, payload) of segments' index files; ``rows`` are (segment_id, lod, place, fx, fy, fz, n_bytes)."""
+    schema = pa.schema([("segment_id", pa.int64()), ("payload", pa.binary())])
+
+    def files(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for segment, held in objects.runs(batches):
+            lod, at, sizes = objects.numbers(held, "lod")[:, 0], objects.numbers(held, "fx", "fy", "fz"), objects.numbers(held, "n_bytes")[:, 0]
+            levels = [(at[lod == level], sizes[lod == level]) for level in range(int(lod[-1]) + 1)]
+            yield segment, packed_index([1.0] * 3, [0.0] * 3, levels)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for held in batch.column(1).to_pylist():
-                own = [[x for x in held if x["lod"] == level] for level in range(held[-1]["lod"] + 1)]
-                levels = [(np.array([[x["fx"], x["fy"], x["fz"]] for x in at]), np.array([x["n_bytes"] for x in at])) for at in own]
-                out.append(packed_index([1.0] * 3, [0.0] * 3, levels))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["segment_id", "payload"])
+        return objects.batched(files(batches), schema)
 
-    return rows.select("segment_id", "f").mapInArrow(pack, "segment_id long, payload binary")
+    # The window brings a segment's rows together, unless they are, and sorts them.
+    together = rows.withColumn("at", F.row_number().over(Window.partitionBy("segment_id").orderBy("lod", "place")))
+    together = together.sortWithinPartitions("segment_id", "lod", "place")
+    return together.select("segment_id", "lod", "fx", "fy", "fz", "n_bytes", "at").mapInArrow(pack, "segment_id long, payload binary")
 
 
 def index_rows(files: DataFrame) -> DataFrame:
