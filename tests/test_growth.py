@@ -2,9 +2,11 @@
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
-from voxmill.operators import mesh, objects, spread, surface
+from voxmill.operators import kernels as k
+from voxmill.operators import mesh, objects, spread, surface, volume
 from voxmill.sources import adapters, formats
 
 VOXELS = "z long, y long, x long, label long"
@@ -68,12 +70,14 @@ def test_validity_of_voxels_is_that_of_their_meshes(spark):
 
 def test_objects_are_taken_off_a_stream():
     """Whole, whatever the batches; null is an object; batches that go back are small."""
-    rows = [(k, i) for k, n in ((1, 3), (2, 1), (None, 4), (7, 6)) for i in range(n)]
+    rows = [(key, i) for key, n in ((1, 3), (2, 1), (None, 4), (7, 6)) for i in range(n)]
     kind = pa.schema([("k", pa.int64()), ("i", pa.int64())])
     for size in (1, 2, 5, 50):
         batches = [pa.RecordBatch.from_pydict({"k": [r[0] for r in rows[i : i + size]], "i": [r[1] for r in rows[i : i + size]]}, schema=kind) for i in range(0, len(rows), size)]
-        got = [(k, held["i"].to_pylist()) for k, held in objects.runs([batches[0].slice(0, 0), *batches])]
+        got = [(key, held["i"].to_pylist()) for key, held in objects.runs([batches[0].slice(0, 0), *batches])]
         assert got == [(1, [0, 1, 2]), (2, [0]), (None, [0, 1, 2, 3]), (7, [0, 1, 2, 3, 4, 5])]
+        parts = [(key, [i for part in held for i in part["i"].to_pylist()]) for key, held in objects.run_parts(batches)]
+        assert parts == got
     out = list(objects.batched(((i, b"x" * objects.BYTES) for i in range(3)), pa.schema([("k", pa.int64()), ("v", pa.binary())])))
     assert [b.num_rows for b in out] == [1, 1, 1]
 
@@ -84,3 +88,64 @@ def test_index_files_from_flat_rows(spark):
     df = spark.createDataFrame(rows, "segment_id long, lod int, place long, fx long, fy long, fz long, n_bytes long").repartition(3)
     assert rows_of(formats.index_rows(formats.index_files(df))) == rows_of(df)
     assert "collect_list" not in plan(formats.index_files(df))
+
+
+def test_paths_in_arrays_are_those_in_sets(monkeypatch):
+    rng = np.random.default_rng(3)
+    for n, m in ((1, 1), (12, 9), (40, 45), (60, 50)):
+        edges = rng.integers(0, n, (m, 2))
+        edges = np.vstack([edges, edges[:3, ::-1], [[n, n + 1], [n + 1, n + 2], [n + 2, n]]])
+        want = k.polylines(n + 3, [tuple(e) for e in edges.tolist()])
+        monkeypatch.setattr(k, "LARGE", 0)
+        assert k.polylines(n + 3, edges) == want
+        monkeypatch.undo()
+        assert k.polylines(n + 3, edges) == want
+
+
+def tree(spark):
+    nodes = [(s, 10 * i + s, float(i), float(s), None if i == 2 else 0.5, 1.0) for s in (1, 2, 3) for i in range(5 + s)]
+    edges = [(s, 10 * (i // 2) + s, 10 * i + s) for s in (1, 2, 3) for i in range(1, 5 + s)]
+    return spark.createDataFrame(nodes, "skel_id long, node long, x double, y double, z double, radius double").repartition(3), spark.createDataFrame(edges, "skel_id long, src long, dst long").repartition(2)
+
+
+def test_skeleton_files_from_flat_rows(spark):
+    nodes, edges = tree(spark)
+    files = formats.skeleton_files(nodes, edges)
+    nested = {r.skel_id: formats.packed_skeleton(np.array(r.nodes, float), r.edges) for r in k.nested_skeletons(nodes, edges).collect()}
+    assert {r.skel_id: bytes(r.payload) for r in files.collect()} == nested
+    assert rows_of(formats.skeleton_edges(files, nodes)) == rows_of(edges)
+    sizes = k.each_skeleton(nodes, edges, lambda n, e: [(len(n), len(e))], "n long, e long")
+    assert rows_of(sizes) == [(1, 6, 5), (2, 7, 6), (3, 8, 7)]
+    for df in (files, sizes, k.nested_skeletons(nodes, edges)):
+        assert "collect_list" not in plan(df)
+
+
+def test_meshes_from_flat_rows(spark):
+    """Also a mesh without faces; one without vertices is none; a face whose vertex is missing is an error."""
+    v = spark.createDataFrame([(s, 7 * i, float(i), float(s), None) for s in (1, 2) for i in range(4)], "segment_id long, vid long, x double, y double, z double").repartition(3)
+    f = spark.createDataFrame([(1, 21, 0, 7), (1, 0, 7, 14), (3, 0, 7, 14)], "segment_id long, v0 long, v1 long, v2 long")
+    got = {r.segment_id: r for r in k.nested_meshes(v, f.filter("segment_id < 3")).collect()}
+    assert sorted(got) == [1, 2] and got[1].faces == [[0, 1, 2], [3, 0, 1]] and got[2].faces == [] and got[2].vertices[3][:2] == [3.0, 2.0]
+    assert k.nested_meshes(v, f).count() == 2 and "collect_list" not in plan(k.nested_meshes(v, f))
+    with pytest.raises(Exception, match="not there"):
+        k.nested_meshes(v, spark.createDataFrame([(1, 0, 7, 15)], f.schema)).collect()
+
+
+def test_meshes_of_soup_are_those_of_numbered_vertices(spark):
+    soup = surface.triangles(noise(spark, 8))
+    points = surface.vertices(soup)
+    how = (1.5, 2.0, 3.0), (0.25, -1.0, 7.0), 2
+    want = k.nested_meshes(surface.to_world(points, *how), surface.indexed_faces(soup, points))
+    assert rows_of(k.meshes_of_soup(soup, *how)) == rows_of(want)
+
+
+def test_many_meshes_come_in_small_batches(spark):
+    out = list(k.mesh_batches((i, np.zeros((objects.BYTES // 40, 3)), np.zeros((0, 3), int)) for i in range(6)))
+    assert [b.num_rows for b in out] == [2, 2, 2]
+    assert [(i, len(v), len(f)) for i, v, f in k.opened_meshes(out)] == [(i, objects.BYTES // 40, 0) for i in range(6)]
+
+
+def test_dealt_downsampling_is_the_same(spark):
+    voxels = noise(spark)
+    for method in volume.METHODS:
+        assert rows_of(volume.downsample(voxels, 3, method, tasks=5)) == rows_of(volume.downsample(voxels, 3, method))

@@ -14,9 +14,9 @@ import pyarrow as pa
 BYTES, ROWS = 4_000_000, 2000
 
 
-def runs(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int | None, pa.Table]]:
-    """(key, rows) of each run of equal values in the first column; null equals null."""
-    held: list[pa.RecordBatch] = []
+def _pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[bool, pa.RecordBatch]]:
+    """Slices of batches with one key in the first column each, and if the key is not that of the slice before; null equals null."""
+    last = ()
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -25,14 +25,40 @@ def runs(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int | None, pa.Tab
         new = (value[1:] != value[:-1]) | (known[1:] != known[:-1])
         ends = [0, *(np.flatnonzero(new) + 1).tolist(), len(value)]
         for i, j in zip(ends, ends[1:], strict=False):
-            if held and (i or held[-1].column(0)[0].as_py() != key[0].as_py()):
-                yield held[0].column(0)[0].as_py(), pa.Table.from_batches(held)
-                held = []
-            held.append(batch.slice(i, j - i))
+            now = (key[i].as_py(),)
+            yield now != last, batch.slice(i, j - i)
+            last = now
+
+
+def runs(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int | None, pa.Table]]:
+    """(key, rows) of each run of equal values in the first column."""
+    held: list[pa.RecordBatch] = []
+    for new, piece in _pieces(batches):
+        if new and held:
+            yield held[0].column(0)[0].as_py(), pa.Table.from_batches(held)
+            held = []
+        held.append(piece)
     if held:
         yield held[0].column(0)[0].as_py(), pa.Table.from_batches(held)
 
 
+def run_parts(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int | None, Iterator[pa.RecordBatch]]]:
+    """The same, with the rows as an iterator of batches that must be used up before the next run."""
+    stream = _pieces(batches)
+    ahead = next(stream, None)
+
+    def parts() -> Iterator[pa.RecordBatch]:
+        nonlocal ahead
+        while ahead is not None:
+            yield ahead[1]
+            ahead = next(stream, None)
+            if ahead is not None and ahead[0]:
+                return
+
+    while ahead is not None:
+        yield ahead[1].column(0)[0].as_py(), parts()
+
+
 def numbers(rows: pa.Table, *names: str) -> np.ndarray:
     """Columns side by side; of whole numbers, or with not-a-number for null."""
     return np.column_stack([rows[n].to_numpy() for n in names])

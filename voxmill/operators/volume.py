@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import spread
+
 AXES = ("z", "y", "x")
 NEIGHBOURS = ((0, 0, 1), (0, 0, -1), (0, 1, 0), (0, -1, 0), (1, 0, 0), (-1, 0, 0))
 
@@ -85,14 +87,19 @@ def _capacity(factors: tuple[int, int, int], box: tuple[tuple[int, int], ...] |
     return size
 
 
-def _counted(voxels: DataFrame, factors: tuple[int, int, int]) -> DataFrame:
+def _counted(voxels: DataFrame, factors: tuple[int, int, int], tasks: int | None) -> DataFrame:
+    """Voxels of each cell and label, with the block (bz, by, bx) of the cell; dealt by it if the number of tasks is given."""
     cells = [_cell(a, f) for a, f in zip(AXES, factors, strict=True)]
-    return voxels.filter("label <> 0").groupBy(*cells, "label").agg(F.count(F.lit(1)).alias("n"))
+    held = voxels.filter("label <> 0").select(*cells, "label")
+    held = held.select("*", *(spread.block(F.col(a)).alias(f"b{a}") for a in AXES))
+    if tasks:
+        held = held.repartition(tasks, *spread.BLOCKS)
+    return held.groupBy(*spread.BLOCKS, *AXES, "label").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _mode(voxels: DataFrame, factors: tuple, box, with_zero: bool) -> DataFrame:
+def _mode(voxels: DataFrame, factors: tuple, box, tasks: int | None, with_zero: bool) -> DataFrame:
     # Most voxels first, then the smaller label: the least of (-n, label).
-    best = _counted(voxels, factors).groupBy(*AXES).agg(F.min(F.struct((-F.col("n")).alias("m"), "label")).alias("b"), F.sum("n").alias("total"))
+    best = _counted(voxels, factors, tasks).groupBy(*spread.BLOCKS, *AXES).agg(F.min(F.struct((-F.col("n")).alias("m"), "label")).alias("b"), F.sum("n").alias("total"))
     out = best
     if with_zero:
         # Background takes part with what no voxel covers, and wins ties, being smallest.
@@ -100,12 +107,12 @@ def _mode(voxels: DataFrame, factors: tuple, box, with_zero: bool) -> DataFrame:
     return out.select(*AXES, F.col("b.label").alias("label"))
 
 
-def _binary(voxels: DataFrame, factors: tuple, box, least: Callable[[Column], Column]) -> DataFrame:
-    total = _counted(voxels, factors).groupBy(*AXES).agg(F.sum("n").alias("total"))
+def _binary(voxels: DataFrame, factors: tuple, box, tasks: int | None, least: Callable[[Column], Column]) -> DataFrame:
+    total = _counted(voxels, factors, tasks).groupBy(*spread.BLOCKS, *AXES).agg(F.sum("n").alias("total"))
     return total.filter(F.col("total") > least(_capacity(factors, box))).select(*AXES, F.lit(1).cast("long").alias("label"))
 
 
-def _nearest(voxels: DataFrame, factors: tuple, box, start: tuple[int, int, int] = (0, 0, 0)) -> DataFrame:
+def _nearest(voxels: DataFrame, factors: tuple, box, tasks: int | None = None, start: tuple[int, int, int] = (0, 0, 0)) -> DataFrame:
     on = F.lit(True)
     for a, f, s in zip(AXES, factors, start, strict=True):
         on = on & (F.pmod(F.col(a) - s, F.lit(f)) == 0)
@@ -113,24 +120,26 @@ def _nearest(voxels: DataFrame, factors: tuple, box, start: tuple[int, int, int]
 
 
 METHODS = {
-    "mode": lambda v, f, b: _mode(v, f, b, True),
-    "mode_suppress_zero": lambda v, f, b: _mode(v, f, b, False),
-    "binary": lambda v, f, b: _binary(v, f, b, lambda size: F.floor(size / 2)),
-    "binary_suppress_zero": lambda v, f, b: _binary(v, f, b, lambda size: F.lit(0)),
+    "mode": lambda v, f, b, t: _mode(v, f, b, t, True),
+    "mode_suppress_zero": lambda v, f, b, t: _mode(v, f, b, t, False),
+    "binary": lambda v, f, b, t: _binary(v, f, b, t, lambda size: F.floor(size / 2)),
+    "binary_suppress_zero": lambda v, f, b, t: _binary(v, f, b, t, lambda size: F.lit(0)),
     "nearest": _nearest,
 }
 
 
 def downsample(
-    voxels: DataFrame, factors: int | tuple[int, int, int], method: str = "mode_suppress_zero", box: tuple[tuple[int, int], ...] | None = None
+    voxels: DataFrame, factors: int | tuple[int, int, int], method: str = "mode_suppress_zero", box: tuple[tuple[int, int], ...] | None = None,
+    tasks: int | None = None,
 ) -> DataFrame:
-    """One voxel for each cell of the global grid; ``box`` clips the cells at the edge of the data."""
+    """One voxel for each cell of the global grid; ``box`` clips the cells at the edge of the data.  Blocks of cells are dealt to so
+    many tasks, if the number is given."""
     if method not in METHODS:
         raise ValueError(f"Unknown downsample_method {method!r}; known: {', '.join(METHODS)}")
     factors = (factors,) * 3 if isinstance(factors, int) else tuple(factors)
     if factors == (1, 1, 1) and not method.startswith("binary"):
         return voxels.filter("label <> 0").select(*AXES, "label")
-    return METHODS[method](voxels, factors, box)
+    return METHODS[method](voxels, factors, box, tasks)
 
 
 def downsampled_box(low: Column, high: Column, factor: int) -> tuple[Column, Column]:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import kernels, lod, mesh, surface, volume
+from ..operators import kernels, lod, mesh, objects, spread, surface, volume
 from ..operators.scratch import kept
 from ..sources import formats
 
@@ -36,23 +36,27 @@ def rejected_segments(voxels: DataFrame, max_blocks: int, block: int = 64) -> Da
 def meshes_of_volume(
     voxels: DataFrame, factor: int = 1, method: str = "mode_suppress_zero", voxel: Steps = 1.0, offset: Steps = 0.0,
     reduction: float | None = None, smoothing: int = 0, max_blocks: int | None = None, block: int = 64,
-    region: tuple[tuple[int, int, int], tuple[int, int, int]] | None = None,
+    region: tuple[tuple[int, int, int], tuple[int, int, int]] | None = None, rows: int | None = None,
 ) -> DataFrame:
     """(segment_id, vertices, faces) of every label: down-sampled, meshed on the whole-number lattice, and, if a
     reduction is given, simplified and smoothed in world units.  Labels that reach into ``max_blocks`` blocks or more are left
     out (``rejected_segments`` lists them).  What a ``region`` (begin and end, in voxels) cuts stays open.  Voxel sizes and
-    offsets are in order x, y, z."""
+    offsets are in order x, y, z.  ``rows``: about how many voxels there are, for the number of tasks; else they are written once
+    and counted."""
     if factor > 1:
-        voxels = volume.downsample(voxels, factor, method)
+        voxels = volume.downsample(voxels, factor, method, tasks=rows and spread.tasks(voxels.sparkSession, rows))
     if max_blocks is not None:
         small, _ = mesh.cut_off(block_counts(voxels, block), "block", max_blocks)
         voxels = voxels.join(small.select(F.col("segment_id").alias("label")), "label", "left_semi")
     begin = end = None
     if region is not None:
         begin, end = tuple(b // factor for b in region[0]), tuple(-(-e // factor) for e in region[1])
-    soup = kept(surface.triangles(voxels, begin, end))
-    points = kept(surface.vertices(soup))
-    nested = kernels.nested_meshes(surface.to_world(points, voxel, offset, factor), surface.indexed_faces(soup, points))
+    if rows is None:
+        voxels = kept(voxels)
+        rows = voxels.count()
+    sizes, offsets = (v if isinstance(v, tuple) else (v,) * 3 for v in (voxel, offset))
+    soup = surface.triangles(voxels, begin, end, rows)
+    nested = kernels.meshes_of_soup(soup, tuple(map(float, sizes)), tuple(map(float, offsets)), factor, spread.tasks(voxels.sparkSession, rows))
     if reduction is None:
         return nested
     return kernels.per_mesh(nested, partial(kernels.simplified_and_smoothed, reduction=reduction, iterations=smoothing))
@@ -224,12 +228,7 @@ def skeletons_of_meshes(meshes: DataFrame, subdivisions: int = 0) -> DataFrame:
     """(skel_id, nodes, edges) by contraction."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [kernels.skeleton_of_mesh(np.array(v, float).reshape(-1, 3), np.array(f, np.int64).reshape(-1, 3), subdivisions=subdivisions) for v, f in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([n.tolist() for n, _ in out], pa.list_(pa.list_(pa.float64()))), pa.array([[list(e) for e in x] for _, x in out], pa.list_(pa.list_(pa.int64())))],
-                ["skel_id", "nodes", "edges"],
-            )
+        return kernels.skeleton_batches((i, n, np.array(e, np.int64).reshape(-1, 2)) for i, v, f in kernels.opened_meshes(batches) for n, e in [kernels.skeleton_of_mesh(v, f, subdivisions=subdivisions)])
 
     return meshes.select("segment_id", "vertices", "faces").mapInArrow(run, kernels.SKELETON)
 
@@ -238,17 +237,16 @@ def shape_metrics(meshes: DataFrame) -> DataFrame:
     """(segment_id, ob_0..2, ob_normalized_0..2, thickness_mean/median/std) of each mesh."""
     names = [*(f"ob_{i}" for i in range(3)), *(f"ob_normalized_{i}" for i in range(3)), "thickness_mean", "thickness_median", "thickness_std"]
 
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for segment, points, faces in kernels.opened_meshes(batches):
+            box = kernels.oriented_extents(points)
+            size = np.linalg.norm(box) or 1.0
+            thick = kernels.thickness(points, faces)
+            thick = thick[~np.isnan(thick)]
+            yield segment, *box, *(box / size), *((thick.mean(), np.median(thick), thick.std()) if len(thick) else (None,) * 3)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for v, f in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                points, faces = np.array(v, float).reshape(-1, 3), np.array(f, np.int64).reshape(-1, 3)
-                box = kernels.oriented_extents(points)
-                size = np.linalg.norm(box) or 1.0
-                thick = kernels.thickness(points, faces)
-                thick = thick[~np.isnan(thick)]
-                rows.append([*box, *(box / size), *((thick.mean(), np.median(thick), thick.std()) if len(thick) else (None,) * 3)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in rows], pa.float64()) for i in range(len(names)))], ["segment_id", *names])
+        return objects.batched(measured(batches), pa.schema([("segment_id", pa.int64()), *((n, pa.float64()) for n in names)]))
 
     return meshes.select("segment_id", "vertices", "faces").mapInArrow(run, "segment_id long, " + ", ".join(f"{n} double" for n in names))
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators import objects
-from ..operators.kernels import MESH
+from ..operators.kernels import MESH, opened_meshes, placed, together
 
 
 def packed_mesh(vertices: np.ndarray, faces: np.ndarray) -> bytes:
@@ -110,11 +110,10 @@ def read_meshes(spark: SparkSession, path: str) -> DataFrame:
 
 def mesh_payloads(meshes: DataFrame) -> DataFrame:
     """(segment_id, payload): packed meshes."""
+    schema = pa.schema([("segment_id", pa.int64()), ("payload", pa.binary())])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [packed_mesh(np.array(v, float).reshape(-1, 3), np.array(f, int).reshape(-1, 3)) for v, f in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["segment_id", "payload"])
+        return objects.batched(((segment, packed_mesh(v, f)) for segment, v, f in opened_meshes(batches)), schema)
 
     return meshes.select("segment_id", "vertices", "faces").mapInArrow(pack, "segment_id long, payload binary")
 
@@ -284,6 +283,57 @@ def unpacked_skeleton(raw: bytes) -> tuple[np.ndarray, list[tuple[int, int]]]:
     return np.frombuffer(raw, "<f4", 3 * n, 8).reshape(-1, 3).astype(float), [tuple(e) for e in np.frombuffer(raw, "<u4", 2 * m, 8 + 12 * n).reshape(-1, 2).tolist()]
 
 
+def skeleton_files(nodes: DataFrame, edges: DataFrame, n: int | None = None) -> DataFrame:
+    """(skel_id, payload) of ``packed_skeleton`` from flat nodes and edges; a skeleton is held as the numbers of its file."""
+    v = nodes.select("skel_id", F.lit(0).alias("kind"), F.col("node").alias("p"), F.lit(0).cast("long").alias("q"), *(F.col(a).cast("float").alias(a) for a in "xyz"))
+    e = edges.select("skel_id", F.lit(1).alias("kind"), F.col("src").alias("p"), F.col("dst").alias("q"), *(F.lit(0.0).cast("float").alias(a) for a in "xyz"))
+    schema = pa.schema([("skel_id", pa.int64()), ("payload", pa.binary())])
+
+    def files(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for skeleton, parts in objects.run_parts(batches):
+            held = [bytearray() for _ in range(3)]
+            names = None
+            for part in parts:
+                m = int((np.asarray(part["kind"]) == 0).sum())
+                held[0] += np.asarray(part["p"][:m], "<i8").tobytes()
+                held[1] += np.column_stack([part[a][:m].to_numpy(zero_copy_only=False) for a in "xyz"]).astype("<f4").tobytes()
+                if m < part.num_rows:
+                    names = np.frombuffer(bytes(held[0]), "<i8") if names is None else names
+                    held[2] += placed(names, np.column_stack([np.asarray(part[a][m:]) for a in "pq"])).astype("<u4").tobytes()
+            if held[0]:
+                raw = struct.pack("<II", len(held[0]) // 8, len(held[2]) // 8) + held[1] + held[2]
+                del held, names
+                yield skeleton, bytes(raw)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return objects.batched(files(batches), schema)
+
+    return together(v.unionByName(e), "skel_id", ["kind", "p", "q", *"xyz"], n).mapInArrow(pack, "skel_id long, payload binary")
+
+
+def skeleton_edges(files: DataFrame, nodes: DataFrame, n: int | None = None) -> DataFrame:
+    """(skel_id, src, dst): the edges of files (skel_id, payload), with the names of the nodes (skel_id, node) at their places."""
+    v = nodes.select("skel_id", F.lit(0).alias("kind"), F.col("node").alias("p"), F.lit(None).cast("binary").alias("payload"))
+    rows = v.unionByName(files.select("skel_id", F.lit(1).alias("kind"), F.lit(0).cast("long").alias("p"), "payload"))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for skeleton, parts in objects.run_parts(batches):
+            held = bytearray()
+            for part in parts:
+                m = int((np.asarray(part["kind"]) == 0).sum())
+                held += np.asarray(part["p"][:m], "<i8").tobytes()
+                names = np.frombuffer(bytes(held), "<i8") if m < part.num_rows else None
+                for k in range(m, part.num_rows):
+                    raw = part["payload"][k].as_buffer()
+                    size, many = struct.unpack_from("<II", raw)
+                    ends = np.frombuffer(raw, "<u4", 2 * many, 8 + 12 * size).reshape(-1, 2)
+                    for i in range(0, many, 100_000):
+                        some = names[ends[i : i + 100_000]]
+                        yield pa.RecordBatch.from_arrays([pa.array([skeleton] * len(some), pa.int64()), pa.array(some[:, 0]), pa.array(some[:, 1])], ["skel_id", "src", "dst"])
+
+    return together(rows, "skel_id", ["kind", "p"], n).mapInArrow(read, "skel_id long, src long, dst long")
+
+
 def packed_annotations(ids: list[int], coordinates: np.ndarray, properties: np.ndarray | None = None) -> bytes:
     """Count, then coordinates and properties of each, then the ids."""
     rows = np.asarray(coordinates, "<f4").reshape(len(ids), -1)
