@@ -1,5 +1,7 @@
 """What one task, one worker or the disk holds does not grow with the tables; the ways that keep it so agree with the plain ones."""
 
+import tracemalloc
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -7,6 +9,7 @@ from pyspark.sql import functions as F
 
 from voxmill.operators import kernels as k
 from voxmill.operators import mesh, objects, spread, surface, volume
+from voxmill.plans import pipelines
 from voxmill.sources import adapters, formats
 
 VOXELS = "z long, y long, x long, label long"
@@ -149,3 +152,44 @@ def test_dealt_downsampling_is_the_same(spark):
     voxels = noise(spark)
     for method in volume.METHODS:
         assert rows_of(volume.downsample(voxels, 3, method, tasks=5)) == rows_of(volume.downsample(voxels, 3, method))
+
+
+def field(n):
+    """A height field eight wide, as in ``adapters.terrain``."""
+    i = np.arange(n)
+    c = i[(i % 8 < 7) & (i + 9 < n)]
+    v = np.column_stack([i % 8, i // 8, np.random.default_rng(1).uniform(-1, 10, n)]).astype(float)
+    return v, np.stack([np.column_stack([c, c + 1, c + 8]), np.column_stack([c + 1, c + 9, c + 8])], 1).reshape(-1, 3)
+
+
+def test_collapses_take_little_memory():
+    """Sets, dictionaries and tuples of floats took 2500 bytes a vertex."""
+    v, f = field(1000)
+    tracemalloc.start()
+    k.simplified(v, f, len(f) // 4)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1250 * len(v)
+
+
+def test_edges_in_arrays(spark):
+    faces = np.random.default_rng(2).integers(0, 9, (40, 3))
+    held = {}
+    for a, b, c in faces.tolist():
+        for p, q in ((a, c), (b, a), (c, b)):
+            held[min(p, q), max(p, q)] = held.get((min(p, q), max(p, q)), 0) + 1
+    ends, times = k.edge_counts(faces)
+    assert dict(zip(map(tuple, ends.tolist()), times.tolist(), strict=True)) == held and len(held) == len(ends)
+    assert k.border_vertices(faces) == {v for e, n in held.items() if n == 1 for v in e}
+    assert len(k.oriented(np.zeros((0, 3)), faces[:0])[1]) == 0 and k.boundary_loops(faces[:0]) == []
+
+
+def test_levels_are_packed_off_a_stream(spark):
+    meshes = spark.createDataFrame([(i, v.tolist(), f.tolist()) for i in range(3) for v, f in [field(80 + i)]], k.MESH)
+    levels = pipelines.levels_by_decimation(meshes, 2, 2, least=12)
+    levels_plan = pipelines.level_plan(levels, 20)
+    pieces = pipelines.fragments(levels, levels_plan)
+    files = pipelines.multires_files(pieces, levels_plan)
+    assert "collect_list" not in plan(pieces) and "collect_list" not in plan(files)
+    total = {r.segment_id: r.n for r in pieces.groupBy("segment_id").agg(F.sum("n_bytes").alias("n")).collect()}
+    assert {r.segment_id: len(r.data) for r in files.collect()} == total and len(total) == 3

@@ -14,26 +14,27 @@ import pyarrow as pa
 BYTES, ROWS = 4_000_000, 2000
 
 
-def _pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[bool, pa.RecordBatch]]:
-    """Slices of batches with one key in the first column each, and if the key is not that of the slice before; null equals null."""
+def _pieces(batches: Iterable[pa.RecordBatch], n_keys: int = 1) -> Iterator[tuple[bool, pa.RecordBatch]]:
+    """Slices of batches with one key in the first columns each, and if the key is not that of the slice before; null equals null."""
     last = ()
     for batch in batches:
         if not batch.num_rows:
             continue
-        key = batch.column(0)
-        value, known = np.asarray(key.fill_null(0)), np.asarray(key.is_valid())
-        new = (value[1:] != value[:-1]) | (known[1:] != known[:-1])
-        ends = [0, *(np.flatnonzero(new) + 1).tolist(), len(value)]
+        new = np.zeros(batch.num_rows - 1, bool)
+        for key in batch.columns[:n_keys]:
+            value, known = np.asarray(key.fill_null(0)), np.asarray(key.is_valid())
+            new |= (value[1:] != value[:-1]) | (known[1:] != known[:-1])
+        ends = [0, *(np.flatnonzero(new) + 1).tolist(), batch.num_rows]
         for i, j in zip(ends, ends[1:], strict=False):
-            now = (key[i].as_py(),)
+            now = tuple(key[i].as_py() for key in batch.columns[:n_keys])
             yield now != last, batch.slice(i, j - i)
             last = now
 
 
-def runs(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int | None, pa.Table]]:
-    """(key, rows) of each run of equal values in the first column."""
+def runs(batches: Iterable[pa.RecordBatch], n_keys: int = 1) -> Iterator[tuple[int | None, pa.Table]]:
+    """(first key, rows) of each run of equal values in the first columns."""
     held: list[pa.RecordBatch] = []
-    for new, piece in _pieces(batches):
+    for new, piece in _pieces(batches, n_keys):
         if new and held:
             yield held[0].column(0)[0].as_py(), pa.Table.from_batches(held)
             held = []

@@ -136,34 +136,33 @@ def fragments(levels: DataFrame, plan: DataFrame, bits: int = 16) -> DataFrame:
         )
     pieces = lod.decomposed(soup.select("segment_id", "lod", *(c.alias(n) for n, c in unit.items())), 1.0)
     cell = {a: F.floor(F.col(f"f{a}") / half).cast("long") for a in "xyz"}
-    flat = lambda n: F.array(*(F.col(f"{n}.{a}") for a in "xyz"))
-    sides = F.array(*((F.col(f"f{a}") - cell[a] * half).cast("double") for a in "xyz"))
-    held = pieces.groupBy("segment_id", "lod", *(c.alias(f"f{a}") for a, c in cell.items())).agg(F.array_sort(F.collect_list(F.array(flat("a"), flat("b"), flat("c"), sides))).alias("t"))
+    key = ["segment_id", "lod", "fx", "fy", "fz"]
+    corner = [F.col(f"{n}.{a}").alias(f"{n}{a}") for n in "abc" for a in "xyz"]
+    side = [(F.col(f"f{a}") - cell[a] * half).cast("double").alias(f"s{a}") for a in "xyz"]
+    rows = pieces.select("segment_id", "lod", *(c.alias(f"f{a}") for a, c in cell.items()), *corner, *side)
+    names = rows.columns[5:]
+    together = rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, *key).sortWithinPartitions(*key, *names)
+    kind = [("segment_id", pa.int64()), ("lod", pa.int32()), *((n, pa.int64()) for n in ("fx", "fy", "fz", "n_faces", "n_bytes")), ("payload", pa.binary())]
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for _, found in objects.runs(batches, 5):
+            at = [found[n][0].as_py() for n in key]
+            held = objects.numbers(found, *names).reshape(-1, 4, 3)
+            split = 2 if at[1] else 1
+            steps = _steps(held[:, :3] / split - np.array(at[2:]), bits)
+            if at[1]:
+                steps = _snapped(steps, held[:, 3:].astype(int), bits)
+            same = [(steps[:, i] == steps[:, i - 1]).all(1) for i in range(3)]
+            steps = steps[~(same[0] | same[1] | same[2])]
+            if len(steps):
+                points, inverse = np.unique(steps.reshape(-1, 3), axis=0, return_inverse=True)
+                raw = formats.packed_fragment(points, inverse.reshape(-1, 3))
+                yield *at, len(steps), len(raw), raw
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep, counts, out = [], [], []
-            keys = zip(*(batch.column(i).to_pylist() for i in range(1, 5)), batch.column(5).to_pylist(), strict=True)
-            for row, (level, x, y, z, tris) in enumerate(keys):
-                held = np.array(tris, float).reshape(-1, 4, 3)
-                split = 2 if level else 1
-                steps = _steps(held[:, :3] / split - np.array([x, y, z]), bits)
-                if level:
-                    steps = _snapped(steps, held[:, 3:].astype(int), bits)
-                same = [(steps[:, i] == steps[:, i - 1]).all(1) for i in range(3)]
-                steps = steps[~(same[0] | same[1] | same[2])]
-                if len(steps):
-                    points, inverse = np.unique(steps.reshape(-1, 3), axis=0, return_inverse=True)
-                    keep.append(row)
-                    counts.append(len(steps))
-                    out.append(formats.packed_fragment(points, inverse.reshape(-1, 3)))
-            where = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [*(c.take(where) for c in batch.columns[:5]), pa.array(counts, pa.int64()), pa.array([len(x) for x in out], pa.int64()), pa.array(out, pa.binary())],
-                ["segment_id", "lod", "fx", "fy", "fz", "n_faces", "n_bytes", "payload"],
-            )
-
-    return held.mapInArrow(pack, "segment_id long, lod int, fx long, fy long, fz long, n_faces long, n_bytes long, payload binary")
+        return objects.batched(packed(batches), pa.schema(kind))
+
+    return together.mapInArrow(pack, "segment_id long, lod int, fx long, fy long, fz long, n_faces long, n_bytes long, payload binary")
 
 
 def _steps(inside: np.ndarray, bits: int) -> np.ndarray:
@@ -188,22 +187,21 @@ def multires_files(pieces: DataFrame, plan: DataFrame) -> DataFrame:
     placed = lod.in_curve_order(filled, ["segment_id", "lod"]).join(
         pieces.select("segment_id", "lod", "fx", "fy", "fz", "payload"), ["segment_id", "lod", "fx", "fy", "fz"], "left"
     )
-    rows = placed.groupBy("segment_id").agg(F.array_sort(F.collect_list(F.struct("lod", "place", "fx", "fy", "fz", "n_bytes", "payload"))).alias("f"))
-    rows = rows.join(plan.select("segment_id", F.array(*(f"box_{a}" for a in "xyz")).alias("box"), F.array(*(f"origin_{a}" for a in "xyz")).alias("origin")), "segment_id")
+    grid = plan.select("segment_id", F.array(*(f"box_{a}" for a in "xyz")).alias("box"), F.array(*(f"origin_{a}" for a in "xyz")).alias("origin"))
+    rows = placed.select("segment_id", "lod", "place", "fx", "fy", "fz", "n_bytes", "payload").join(grid, "segment_id")
+    schema = pa.schema([("segment_id", pa.int64()), ("data", pa.binary()), ("fragment_index", pa.binary())])
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for segment, held in objects.runs(batches):
+            data = b"".join(x.as_py() or b"" for x in held["payload"])
+            level, at, sizes = objects.numbers(held, "lod")[:, 0], objects.numbers(held, "fx", "fy", "fz"), objects.numbers(held, "n_bytes")[:, 0]
+            levels = [(at[level == i], sizes[level == i]) for i in range(int(level[-1]) + 1)]
+            yield segment, data, formats.packed_index(held["box"][0].as_py(), held["origin"][0].as_py(), levels)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, index = [], []
-            for held, box, origin in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                data.append(b"".join(x["payload"] or b"" for x in held))
-                levels = []
-                for level in range(held[-1]["lod"] + 1):
-                    own = [x for x in held if x["lod"] == level]
-                    levels.append((np.array([[x["fx"], x["fy"], x["fz"]] for x in own]), np.array([x["n_bytes"] for x in own])))
-                index.append(formats.packed_index(box, origin, levels))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary()), pa.array(index, pa.binary())], ["segment_id", "data", "fragment_index"])
-
-    return rows.mapInArrow(pack, "segment_id long, data binary, fragment_index binary")
+        return objects.batched(packed(batches), schema)
+
+    return kernels.together(rows, "segment_id", ["lod", "place"]).mapInArrow(pack, "segment_id long, data binary, fragment_index binary")
 
 
 def multires_of_levels(levels: DataFrame, target_faces: int = lod.TARGET_FACES, box: int | None = None, bits: int = 16) -> DataFrame:
