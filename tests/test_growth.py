@@ -193,3 +193,18 @@ def test_levels_are_packed_off_a_stream(spark):
     assert "collect_list" not in plan(pieces) and "collect_list" not in plan(files)
     total = {r.segment_id: r.n for r in pieces.groupBy("segment_id").agg(F.sum("n_bytes").alias("n")).collect()}
     assert {r.segment_id: len(r.data) for r in files.collect()} == total and len(total) == 3
+
+
+def test_joins_of_meshes_send_nothing_to_the_driver(spark, sf):
+    """Small sides were broadcast by way of the driver, and tasks were merged by their compressed bytes."""
+    vertices, faces = adapters.terrain(spark, "/root/testdata/sf0.01")
+    for df in (mesh.corners(vertices, faces, 7), mesh.curvatures(vertices, faces), mesh.denoise_seams(vertices, faces, 100, 1, 1)):
+        assert len(df.collect()) and "Broadcast" not in plan(df)
+    assert mesh.corners(vertices, faces, 7).rdd.getNumPartitions() == 7
+    assert mesh.neighbours(faces, 7).rdd.getNumPartitions() == 7
+
+
+def test_rings_in_tasks_are_the_same(spark):
+    vertices, faces = adapters.terrain(spark, "/root/testdata/sf0.01")
+    seeds = vertices.filter("vid in (0, 17)")
+    assert rows_of(mesh.k_ring(seeds, mesh.neighbours(faces, 5), 2, 5)) == rows_of(mesh.k_ring(seeds, mesh.neighbours(faces), 2))

@@ -9,21 +9,29 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import geometry as g
+from . import spread
 from .graph import components
 
 KEY = "segment_id"
 
 
-def corners(vertices: DataFrame, faces: DataFrame) -> DataFrame:
+def face_tasks(faces: DataFrame) -> int:
+    """Tasks for the corners of faces, which are counted."""
+    return spread.tasks(faces.sparkSession, 3 * faces.count())
+
+
+def corners(vertices: DataFrame, faces: DataFrame, n: int | None = None) -> DataFrame:
     """Faces with the positions of their corners, as structs a, b, c, and a face number fid if they have none.
 
-    The corners are gathered in one aggregation, so the faces cross the network once, not three times.
+    The corners are gathered in one aggregation, so the faces cross the network once, not three times.  It has n tasks, or as
+    many as the number of faces asks for.
     """
+    n = n or face_tasks(faces)
     if "fid" not in faces.columns:
         faces = faces.withColumn("fid", F.monotonically_increasing_id())
     slots = F.array(*(F.struct(F.lit(i).alias("i"), F.col(f"v{i}").alias("vid")) for i in range(3)))
     each = faces.select(KEY, "fid", "v0", "v1", "v2", F.explode(slots).alias("s")).select(KEY, "fid", "v0", "v1", "v2", "s.*")
-    met = each.join(vertices.select(KEY, "vid", F.struct("x", "y", "z").alias("p")), [KEY, "vid"])
+    met = spread.matched(each, vertices.select(KEY, "vid", F.struct("x", "y", "z").alias("p")), [KEY, "vid"], n).repartition(n, KEY, "fid")
     at = lambda i: F.max(F.when(F.col("i") == i, F.col("p")))
     return met.groupBy(KEY, "fid", "v0", "v1", "v2").agg(at(0).alias("a"), at(1).alias("b"), at(2).alias("c"))
 
@@ -148,34 +156,42 @@ def concatenated(parts: DataFrame, order: str) -> DataFrame:
     return parts.withColumn("first_vid", before)
 
 
-def dihedral_angles(vertices: DataFrame, faces: DataFrame) -> DataFrame:
+def dihedral_angles(vertices: DataFrame, faces: DataFrame, tasks: int | None = None) -> DataFrame:
     """(segment_id, lo, hi, angle): the angle between the two faces at each edge that has just two."""
-    soup = corners(vertices, faces)
+    tasks = tasks or face_tasks(faces)
+    soup = corners(vertices, faces, tasks)
     n = _normal()
     size = g.norm(n)
     face = soup.filter(size > 0).select(KEY, "v0", "v1", "v2", F.struct(*((x / size).alias(a) for x, a in zip(n, "xyz", strict=True))).alias("n"))
     ends = F.array(*(F.struct(F.least(p, q).alias("lo"), F.greatest(p, q).alias("hi")) for p, q in (("v0", "v1"), ("v1", "v2"), ("v2", "v0"))))
-    each = face.select(KEY, "n", F.explode(ends).alias("e")).select(KEY, "e.*", "n")
+    each = face.select(KEY, "n", F.explode(ends).alias("e")).select(KEY, "e.*", "n").repartition(tasks, KEY, "lo", "hi")
     pair = each.groupBy(KEY, "lo", "hi").agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("p"), F.max("n").alias("q")).filter("k = 2")
     angle = F.acos(g.clip(g.dot(g.vector("p"), g.vector("q")), F.lit(-1.0), F.lit(1.0)))
     return pair.select(KEY, "lo", "hi", angle.alias("angle"))
 
 
-def seam_vertices(vertices: DataFrame, faces: DataFrame, degrees: float) -> DataFrame:
-    sharp = dihedral_angles(vertices, faces).filter(F.col("angle") >= math.radians(degrees))
+def seam_vertices(vertices: DataFrame, faces: DataFrame, degrees: float, tasks: int | None = None) -> DataFrame:
+    sharp = dihedral_angles(vertices, faces, tasks).filter(F.col("angle") >= math.radians(degrees))
     return sharp.select(KEY, F.explode(F.array("lo", "hi")).alias("vid")).distinct()
 
 
-def neighbours(faces: DataFrame) -> DataFrame:
-    """(segment_id, vid, other): both ways of every edge, once."""
+def neighbours(faces: DataFrame, tasks: int | None = None) -> DataFrame:
+    """(segment_id, vid, other): both ways of every edge, once; in so many tasks, if the number is given."""
     e = directed_edges(faces).filter("src <> dst")
-    return e.select(KEY, F.col("src").alias("vid"), F.col("dst").alias("other")).union(
+    both = e.select(KEY, F.col("src").alias("vid"), F.col("dst").alias("other")).union(
         e.select(KEY, F.col("dst").alias("vid"), F.col("src").alias("other"))
-    ).distinct()
+    )
+    return (both.repartition(tasks, KEY, "vid") if tasks else both).distinct()
 
 
-def k_ring(seeds: DataFrame, around: DataFrame, k: int) -> DataFrame:
+def k_ring(seeds: DataFrame, around: DataFrame, k: int, tasks: int | None = None) -> DataFrame:
     """Vertices within k edges of the seeds."""
+    if tasks:
+        reached = seeds.select(KEY, "vid").repartition(tasks, KEY, "vid").distinct()
+        for _ in range(k):
+            step = around.join(reached.hint("merge"), [KEY, "vid"], "left_semi").select(KEY, F.col("other").alias("vid"))
+            reached = reached.union(step).repartition(tasks, KEY, "vid").distinct()
+        return reached
     reached = seeds.select(KEY, "vid").distinct()
     for _ in range(k):
         step = around.join(reached, [KEY, "vid"], "left_semi").select(KEY, F.col("other").alias("vid"))
@@ -183,50 +199,52 @@ def k_ring(seeds: DataFrame, around: DataFrame, k: int) -> DataFrame:
     return reached
 
 
-def taubin(vertices: DataFrame, faces: DataFrame, iterations: int = 10, lamb: float = 0.5, mu: float = -0.53, movable: DataFrame | None = None) -> DataFrame:
+def taubin(
+    vertices: DataFrame, faces: DataFrame, iterations: int = 10, lamb: float = 0.5, mu: float = -0.53, movable: DataFrame | None = None, tasks: int | None = None
+) -> DataFrame:
     """Smoothed vertices: in each iteration a step by lamb and one by mu towards the mean neighbour, all at once.
 
     ``movable`` (segment_id, vid) restricts which vertices move.
     """
-    around = neighbours(faces)
-    now = vertices.select(KEY, "vid", "x", "y", "z")
+    n = tasks or face_tasks(faces)
+    around = neighbours(faces, n).repartition(n, KEY, "other")
+    now = vertices.select(KEY, "vid", "x", "y", "z").repartition(n, KEY, "vid")
     if movable is not None:
-        now = now.join(movable.select(KEY, "vid", F.lit(True).alias("moves")), [KEY, "vid"], "left")
+        now = now.join(movable.select(KEY, "vid", F.lit(True).alias("moves")).hint("merge"), [KEY, "vid"], "left")
         now = now.withColumn("moves", F.coalesce("moves", F.lit(False)))
     else:
         now = now.withColumn("moves", F.lit(True))
     for step in (lamb, mu) * iterations:
         there = now.select(KEY, F.col("vid").alias("other"), *(F.col(a).alias(f"o{a}") for a in "xyz"))
-        mean = around.join(there, [KEY, "other"]).groupBy(KEY, "vid").agg(*(F.avg(f"o{a}").alias(f"m{a}") for a in "xyz"))
+        mean = around.join(there.hint("merge"), [KEY, "other"]).repartition(n, KEY, "vid").groupBy(KEY, "vid").agg(*(F.avg(f"o{a}").alias(f"m{a}") for a in "xyz"))
         moved = {a: F.when(F.col("moves") & F.col(f"m{a}").isNotNull(), F.col(a) + step * (F.col(f"m{a}") - F.col(a))).otherwise(F.col(a)) for a in "xyz"}
-        now = now.join(mean, [KEY, "vid"], "left").select(KEY, "vid", *(c.alias(a) for a, c in moved.items()), "moves")
+        now = now.join(mean.hint("merge"), [KEY, "vid"], "left").select(KEY, "vid", *(c.alias(a) for a, c in moved.items()), "moves")
     return now.drop("moves")
 
 
 def denoise_seams(vertices: DataFrame, faces: DataFrame, degrees: float, k: int, iterations: int, lamb: float = 0.5, mu: float = -0.53) -> DataFrame:
     """Smooths within k edges of sharp seams alone."""
-    ring = k_ring(seam_vertices(vertices, faces, degrees), neighbours(faces), k)
-    return taubin(vertices, faces, iterations, lamb, mu, ring)
+    n = face_tasks(faces)
+    ring = k_ring(seam_vertices(vertices, faces, degrees, n), neighbours(faces, n), k, n)
+    return taubin(vertices, faces, iterations, lamb, mu, ring, n)
 
 
 def curvatures(vertices: DataFrame, faces: DataFrame) -> DataFrame:
     """(segment_id, vid, gaussian, mean, rms, abs): angle defect and cotangent mean curvature over a third of the faces'
     area; the root of the principal curvatures' squares, and the sum of their sizes, follow from these two."""
-    soup = corners(vertices, faces)
-    each = None
+    n = face_tasks(faces)
+    soup = corners(vertices, faces, n)
+    three = []
     for i, names in enumerate((("a", "b", "c"), ("b", "c", "a"), ("c", "a", "b"))):
         p, q, r = map(g.vector, names)
         u, w = g.minus(q, p), g.minus(r, p)
         size = g.norm(g.cross(u, w))
         cot = lambda m, n: F.try_divide(g.dot(m, n), g.norm(g.cross(m, n)))
         at_q, at_r = cot(g.minus(p, q), g.minus(r, q)), cot(g.minus(p, r), g.minus(q, r))
-        one = soup.select(
-            KEY, F.col(f"v{i}").alias("vid"),
-            F.acos(g.clip(F.try_divide(g.dot(u, w), g.norm(u) * g.norm(w)), F.lit(-1.0), F.lit(1.0))).alias("angle"),
-            (size / 6).alias("area"),
-            *((at_r * (-u[k]) + at_q * (-w[k])).alias(f"l{a}") for k, a in enumerate("xyz")),
-        )
-        each = one if each is None else each.union(one)
+        angle = F.acos(g.clip(F.try_divide(g.dot(u, w), g.norm(u) * g.norm(w)), F.lit(-1.0), F.lit(1.0)))
+        lap = ((at_r * (-u[k]) + at_q * (-w[k])).alias(f"l{a}") for k, a in enumerate("xyz"))
+        three.append(F.struct(F.col(f"v{i}").alias("vid"), angle.alias("angle"), (size / 6).alias("area"), *lap))
+    each = soup.select(KEY, F.explode(F.array(*three)).alias("t")).select(KEY, "t.*").repartition(n, KEY, "vid")
     total = each.groupBy(KEY, "vid").agg(F.sum("angle").alias("angle"), F.sum("area").alias("area"), *(F.sum(f"l{a}").alias(f"l{a}") for a in "xyz"))
     lap = tuple(F.col(f"l{a}") for a in "xyz")
     values = total.filter("area > 0").select(
@@ -242,6 +260,8 @@ def curvatures(vertices: DataFrame, faces: DataFrame) -> DataFrame:
 def curvature_summary(values: DataFrame, names: tuple[str, ...] = ("mean", "gaussian", "rms", "abs")) -> DataFrame:
     """Mean, median and population deviation of each; not-a-number counts as absent."""
     known = {n: F.when(~F.isnan(n), F.col(n)) for n in names}
+    # A median holds its segment's values, so segments are spread over tasks; how many values there are is not asked.
+    values = values.repartition(spread.keyed(values.sparkSession, 1), KEY)
     return values.groupBy(KEY).agg(
         *(f(c).alias(f"{n}_{s}") for n, c in known.items() for s, f in (("mean", F.avg), ("median", F.median), ("std", F.stddev_pop)))
     )

@@ -30,3 +30,14 @@ def dealt(rows: DataFrame, n: int, first: dict[str, Column], last: dict[str, Col
     for a in "zyx":
         rows = rows.withColumn(f"b{a}", F.explode(F.sequence(block(first[a]), block(last[a]))))
     return rows.repartition(n, *BLOCKS)
+
+
+def matched(left: DataFrame, right: DataFrame, keys: list[str], n: int, how: str = "inner") -> DataFrame:
+    """A join in n tasks.  Adaptive execution would merge small tasks by their compressed bytes, which says little of the rows they
+    hold, and send a side of up to ten compressed megabytes to the driver and to all workers."""
+    return left.repartition(n, *keys).join(right.repartition(n, *keys).hint("merge"), keys, how)
+
+
+def keyed(spark: SparkSession, n: int) -> int:
+    """Tasks for rows that few keys share: several for each core, so that keys seldom meet."""
+    return max(n, 4 * spark.sparkContext.defaultParallelism)

@@ -57,10 +57,13 @@ def solids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def terrain(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """One height field for each nation: its customers in a grid, their balance as height."""
-    number = F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey")) - 1
-    customers = table(spark, sf_dir, "customer").withColumn("r", number)
+    held = table(spark, sf_dir, "customer")
+    n = spread.keyed(spark, spread.tasks(spark, held.count()))
+    held = held.select(F.col("c_nationkey").cast("long").alias("segment_id"), "c_custkey", "c_acctbal").repartition(n, "segment_id")
+    number = F.row_number().over(Window.partitionBy("segment_id").orderBy("c_custkey")) - 1
+    customers = held.withColumn("r", number)
     vertices = customers.select(
-        F.col("c_nationkey").cast("long").alias("segment_id"), F.col("r").cast("long").alias("vid"),
+        "segment_id", F.col("r").cast("long").alias("vid"),
         (F.col("r") % WIDTH).cast("double").alias("x"), F.floor(F.col("r") / WIDTH).cast("double").alias("y"), (F.col("c_acctbal") / 1000).alias("z"),
     )
     whole = Window.partitionBy("segment_id")
